@@ -4,18 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import ngram_join
+from quarry.llm import decontamination, mixing, ngram_join, quality_classifier, quality_rules
 from quarry.session import table
 
 
+def _held_out(fold: int, remainder: int) -> Column:
+    """Whether crc32 of doc_id as text has this remainder; a null doc_id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == remainder, F.lit(False))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_to_targets(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.scanned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_classifier.scored(docs, quality_classifier.trained(docs, table(spark, sf_dir, "labels")), "score")
+    predicted = (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", predicted)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE_SQL,
+    "op4_decontamination": decontamination.ORACLE_SQL,
+    "op9_quality_rules": quality_rules.ORACLE_SQL,
+}
