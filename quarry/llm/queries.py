@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, mixing, ngram_join, quality_classifier, quality_rules
+from quarry.llm import decontamination, language_id, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, toxicity
 from quarry.session import table
 
 
@@ -16,6 +16,16 @@ def _held_out(fold: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == remainder, F.lit(False))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identified(docs.select("doc_id", "text"), language_id.trained(docs))
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.model_scores(table(spark, sf_dir, "documents"), _held_out(10, 0))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_to_targets(table(spark, sf_dir, "documents"))
 
@@ -36,14 +46,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")), "score")
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", predicted)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
