@@ -22,13 +22,15 @@ Allocation by cost, in three schemes:
 A pair is found in the first scheme in which its larger set has enough weight. The
 sample only moves cost between schemes; links don't depend on it.
 
-Groups of a signature: up to `ALL_PAIRS` sets give all pairs. A larger group gives
-each member with its least one (a star). Sets that stars tie together are a family. If
-the verified links leave a family in several components, its sets are compared in
-blocks of `BLOCK` with each other, each pair of blocks a task of its own, which gives
-back at most a spanning forest of the links between components that it finds. So every
-link between different components is tried; no group of rows is joined with itself and
-nothing is capped.
+Groups of a signature: up to `ALL_PAIRS` sets give all pairs, of which those stay whose
+sizes allow a link and that share as many signatures as a link implies (each unshared
+segment of the larger set is a difference). A larger group gives each member with its
+least one (a star). Sets that such pairs tie together are a family, and all sets of a
+family are compared exactly: a family of up to `BLOCK` sets in one piece, a larger one
+in blocks, each pair of blocks a task of its own. A set's tokens travel once to each
+piece, not once to each pair. A piece gives back a spanning forest of its links, which
+is all that components need. So every pair that shares a signature and could link is
+tried; no group of rows is joined with itself and nothing is capped.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
@@ -46,13 +48,17 @@ from quarry.session import checkpointed
 
 ALL_PAIRS = 24
 BLOCK = 256
-#: Documents of the sample from which frequent shingles are taken, and the share of it that makes one frequent.
-SAMPLE_DOCUMENTS, FREQUENT_SHARE = 4_000, 1 / 250
+#: Frequent shingles are those in FREQUENT_COUNT documents or more of one in SAMPLE_PART; so many are kept at most.
+SAMPLE_PART, FREQUENT_COUNT, MOST_FREQUENT = 20, 8, 200_000
+#: Signature rows that a task holds before it packs them.
+HELD_ROWS = 800_000
+#: Sets of small families that are verified by one call.
+PIECE = 1_000
 #: Bits of the filter that keeps shingle sets of documents without a candidate from the verification's shuffle.
 FILTER_BITS = 1 << 23
 
 NODE_SCHEMA = "doc_id long, n_shingles long, node long, tokens binary"
-PAIR_SCHEMA = "star boolean, u long, v long"
+PAIR_SCHEMA = "star boolean, u long, v long, shared long, needed long"
 
 
 def larger_budget(sizes: np.ndarray) -> np.ndarray:
@@ -72,32 +78,27 @@ def set_node(tokens: np.ndarray) -> np.ndarray:
         return mixed(np.array([mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(tokens))])).view(np.int64)
 
 
-def _segments(sets: list[np.ndarray], sizes: np.ndarray, low: np.ndarray, scheme: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, set index, weight of each set) for sets indexed in the bands of `low`.
-
-    sizes: of the whole sets, of which `sets` may hold the tokens that have a segment.
-    """
+def _segments(sets: list[np.ndarray], low: np.ndarray, scheme: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, set index, weight of each set) of sorted sets in the schemes of the bands `low`."""
     lengths = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), lengths)
     tokens = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
     weight = np.zeros(len(sets), np.int64)
     if not len(tokens):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), weight
-    salted = mixed(tokens + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     band = np.log2(low).astype(np.uint64)
+    value = mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D))
     if scheme == 2:
-        return mixed(salted + (band[owner] << np.uint64(8))), owner, lengths
-    counts = np.array([segment_count(int(x), scheme) for x in np.unique(low)], np.uint64)[np.searchsorted(np.unique(low), low)]
-    segment = ((salted >> np.uint64(32)) * counts[owner]) >> np.uint64(32)
-    order = np.argsort(owner.astype(np.uint64) << np.uint64(32) | segment, kind="stable")
-    owner, segment = owner[order], segment[order]
-    value = mixed(salted[order] ^ np.uint64(0x2545F4914F6CDD1D))
+        return mixed(value + (band[owner] << np.uint64(8))), owner, lengths
+    bands, at = np.unique(low, return_inverse=True)
+    counts = np.array([segment_count(int(x), scheme) for x in bands], np.uint64)[at]
+    segment = ((tokens >> np.uint64(32)) * counts[owner]) >> np.uint64(32)  # in order, as the tokens are
     starts = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (segment[1:] != segment[:-1])]))
     held = np.diff(np.append(starts, len(owner)))
     total = np.add.reduceat(value, starts)
     place = mixed(segment[starts] + (band[owner[starts]] << np.uint64(32)) + np.uint64((scheme + 1) << 48))
     signatures, owners = mixed(total + place), owner[starts]
-    np.add.at(weight, owners, np.where(held >= 2, 2, 1) if scheme == 1 else 1)
+    weight = np.bincount(owners, np.where(held >= 2, 2, 1) if scheme == 1 else None, len(sets)).astype(np.int64)
     if scheme == 1:
         group = np.repeat(np.arange(len(starts)), held)
         several = held[group] >= 2
@@ -106,13 +107,16 @@ def _segments(sets: list[np.ndarray], sizes: np.ndarray, low: np.ndarray, scheme
     return signatures, owners, weight
 
 
-def signatures(sets: list[np.ndarray], frequent: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, set index): two linked, different sets share a signature at least.
+def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, set index, weights): two linked, different sets share a signature at least.
 
+    weights: of each set in scheme 0, or 0 where that isn't enough: a set of weight w and
+    size n shares w - (n + m) // 7 signatures or more with each linked set of m <= n tokens.
     frequent: sorted tokens that get no segment in scheme 0. Sets of up to three tokens
     link with equal sets only (H is 0) and have no signature.
     """
     found_s, found_o = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    weights = np.zeros(len(sets), np.int64)
     index = np.array([i for i, s in enumerate(sets) if len(s) > 3], np.int64)
     for scheme in (0, 1, 2):
         if not len(index):
@@ -121,13 +125,16 @@ def signatures(sets: list[np.ndarray], frequent: np.ndarray, seed: int = 0) -> t
         sizes = np.array([len(s) for s in full], np.int64)
         kept = [s[~_member(s, frequent)] for s in full] if scheme == 0 and len(frequent) else full
         low = 1 << np.floor(np.log2(sizes)).astype(np.int64)
-        own_s, own_o, weight = _segments(kept, sizes, low, scheme, seed)
+        own_s, own_o, weight = _segments(kept, low, scheme)
         up = np.flatnonzero(4 * sizes >= 3 * 2 * low)
-        next_s, next_o, _ = _segments([kept[i] for i in up], sizes[up], 2 * low[up], scheme, seed)
+        next_s, next_o, _ = _segments([kept[i] for i in up], 2 * low[up], scheme)
         found_s += [own_s, next_s]
         found_o += [index[own_o], index[up[next_o]]]
-        index = index[weight <= larger_budget(sizes)]
-    return np.concatenate(found_s), np.concatenate(found_o)
+        short = weight <= larger_budget(sizes)
+        if scheme == 0:
+            weights[index[~short]] = weight[~short]
+        index = index[short]
+    return np.concatenate(found_s), np.concatenate(found_o), weights
 
 
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -136,7 +143,7 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -148,11 +155,11 @@ def _sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _index_rows(frequent: np.ndarray, buckets: int):
-    """Packed (signature, node) rows of each bucket of signatures, once for each set of a task."""
+    """Packed signature rows of each bucket of signatures, once for each set of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         rows = 0
         for batch in _batches(batches):
             fresh = []
@@ -161,10 +168,11 @@ def _index_rows(frequent: np.ndarray, buckets: int):
                     seen.add(name)
                     fresh.append((name, tokens))
             if fresh:
-                sigs, owner = signatures([t for _, t in fresh], frequent)
-                held.append((sigs, np.array([n for n, _ in fresh], np.int64)[owner]))
+                sigs, owner, weights = signatures([t for _, t in fresh], frequent)
+                names, sizes = np.array([n for n, _ in fresh], np.int64), np.array([len(t) for _, t in fresh], np.int32)
+                held.append((sigs, names[owner], sizes[owner], weights.astype(np.int32)[owner]))
                 rows += len(sigs)
-            if rows >= 3_000_000:
+            if rows >= HELD_ROWS:
                 yield _packed_rows(held, buckets)
                 held, rows, seen = [], 0, set()
         if rows:
@@ -173,72 +181,84 @@ def _index_rows(frequent: np.ndarray, buckets: int):
     return run
 
 
-INDEX_SCHEMA = "bucket int, n int, n_nodes int, sigs binary, nodes binary, at binary"
+INDEX_SCHEMA = "bucket int, n int, n_nodes int, sigs binary, nodes binary, sizes binary, weights binary, at binary"
 
 
-def _packed_rows(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
-    sigs, nodes = (np.concatenate(x) for x in zip(*held))
+def _packed_rows(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    sigs, nodes, sizes, weights = (np.concatenate(x) for x in zip(*held))
     order = np.argsort(sigs)
-    sigs, nodes = sigs[order], nodes[order]
+    sigs, nodes, sizes, weights = sigs[order], nodes[order], sizes[order], weights[order]
     bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     out = []
     for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
         if hi > lo:
-            names, at = np.unique(nodes[lo:hi], return_inverse=True)
+            names, first, at = np.unique(nodes[lo:hi], return_index=True, return_inverse=True)
             steps = np.diff(sigs[lo:hi], prepend=np.uint64(0))
-            out.append((b, hi - lo, len(names), packed(steps), packed(names), packed(at.astype(np.uint32))))
+            out.append((b, hi - lo, len(names), packed(steps), packed(names), packed(sizes[lo:hi][first]), packed(weights[lo:hi][first]), packed(at.astype(np.uint32))))
     columns = list(zip(*out))
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "n", "n_nodes", "sigs", "nodes", "at"])
+    types = [pa.int32()] * 3 + [pa.binary()] * 5
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "n", "n_nodes", "sigs", "nodes", "sizes", "weights", "at"])
+
 
+def _group_rows(sigs: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> pa.Table:
+    """Candidate pairs (star, u, v, shared, needed) of sets with a common signature.
 
-def _group_rows(sigs: np.ndarray, nodes: np.ndarray) -> pa.Table:
-    """Candidate pairs (star, u, v) of sets with a common signature; u is the leader in stars."""
+    u is the leader in stars; pairs whose sizes rule out a link are left out; needed is
+    the least number of signatures that a linked pair of these sets shares.
+    """
     order = np.lexsort((nodes, sigs))
-    sigs, nodes = sigs[order], nodes[order]
+    sigs, nodes, sizes, weights = sigs[order], nodes[order], sizes[order], weights[order]
     fresh = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])])
-    sigs, nodes = sigs[fresh], nodes[fresh]
+    sigs, nodes, sizes, weights = sigs[fresh], nodes[fresh], sizes[fresh], weights[fresh]
     starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
     held = np.diff(np.append(starts, len(sigs)))
-    rows = {False: [np.zeros((0, 2), np.int64)], True: [np.zeros((0, 2), np.int64)]}
+    pairs: dict[bool, list[np.ndarray]] = {False: [np.zeros((0, 2), np.int64)], True: [np.zeros((0, 2), np.int64)]}
     for size in np.unique(held[held >= 2]).tolist():
-        block = nodes[starts[held == size][:, None] + np.arange(size)]
+        block = starts[held == size][:, None] + np.arange(size)
         if size <= ALL_PAIRS:
             i, j = np.triu_indices(size, 1)
-            rows[False].append(np.stack([block[:, i].ravel(), block[:, j].ravel()], 1))
+            pairs[False].append(np.stack([block[:, i].ravel(), block[:, j].ravel()], 1))
         else:
-            rows[True].append(np.stack([np.repeat(block[:, 0], size - 1), block[:, 1:].ravel()], 1))
-    pairs, stars = (np.unique(np.concatenate(rows[star]), axis=0) for star in (False, True))
-    both = np.concatenate([pairs, stars])
-    return pa.table({"star": np.arange(len(both)) >= len(pairs), "u": both[:, 0].copy(), "v": both[:, 1].copy()})
+            pairs[True].append(np.stack([np.repeat(block[:, 0], size - 1), block[:, 1:].ravel()], 1))
+    out = []
+    for star in (False, True):
+        u, v = np.concatenate(pairs[star]).T
+        if not star:
+            fits = 4 * np.minimum(sizes[u], sizes[v]) >= 3 * np.maximum(sizes[u], sizes[v])
+            u, v = u[fits], v[fits]
+        budget = (sizes[u] + sizes[v]) // 7
+        weight = np.maximum(np.where(sizes[u] >= sizes[v], weights[u], 0), np.where(sizes[v] >= sizes[u], weights[v], 0))
+        needed = np.maximum(weight - budget, 1)
+        named, first, shared = np.unique(np.stack([nodes[u], nodes[v]], 1), axis=0, return_index=True, return_counts=True)
+        out.append(pa.table({"star": np.full(len(named), star), "u": named[:, 0].copy(), "v": named[:, 1].copy(), "shared": shared.astype(np.int64), "needed": needed[first].astype(np.int64)}))
+    return pa.concat_tables(out)
 
 
 def _bucket_groups(table: pa.Table) -> pa.Table:
-    sigs, nodes = [], []
+    parts = []
     for row in table.to_pylist():
-        sigs.append(np.cumsum(unpacked(row["sigs"], row["n"], np.uint64), dtype=np.uint64))
-        nodes.append(unpacked(row["nodes"], row["n_nodes"], np.int64)[unpacked(row["at"], row["n"], np.uint32)])
-    return _group_rows(np.concatenate(sigs), np.concatenate(nodes))
+        at = unpacked(row["at"], row["n"], np.uint32)
+        sigs = np.cumsum(unpacked(row["sigs"], row["n"], np.uint64), dtype=np.uint64)
+        kinds = (("nodes", np.int64), ("sizes", np.int32), ("weights", np.int32))
+        parts.append((sigs, *(unpacked(row[k], row["n_nodes"], kind)[at] for k, kind in kinds)))
+    return _group_rows(*(np.concatenate(x) for x in zip(*parts)))
 
 
 def _frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted shingles in a FREQUENT_SHARE or more of a sample of SAMPLE_DOCUMENTS or so;
-    at most 1 / FREQUENT_SHARE times the mean number of shingles of a document."""
-    total = docs.count()
-    part = max(1, total // SAMPLE_DOCUMENTS)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(part)) == 0).select("text")
+    """Sorted shingles that a sample shows in many documents; they move cost, not results."""
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SAMPLE_PART)) == 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches):
-            sets = _sets_of(batch)
+        for batch in batches:
+            sets = [s for part in _batches([batch]) for s in _sets_of(part)]
             if sets:
                 found, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.record_batch({"token": found.view(np.int64), "n": n.astype(np.int64)})
 
-    least = max(8, int(total / part * FREQUENT_SHARE))
-    rows = sample.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("token").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    counts = sample.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_COUNT)
+    rows = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
+    return np.sort(rows.column("token").to_numpy().view(np.uint64))
 
 
 def _bits(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,20 +266,19 @@ def _bits(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x % np.uint64(FILTER_BITS)).astype(np.int64), ((x >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def _candidate_filter(pairs: DataFrame) -> bytes:
-    """A Bloom filter of FILTER_BITS bits over the nodes of the pairs; its size is fixed."""
+def _candidate_filter(nodes: DataFrame) -> bytes:
+    """A Bloom filter of FILTER_BITS bits over `node`; its size is fixed, and a full one only lets more pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            for name in ("u", "v"):
-                for at in _bits(batch.column(name).to_numpy()):
-                    bits[at] = True
+            for at in _bits(batch.column("node").to_numpy()):
+                bits[at] = True
         words = np.packbits(bits).view(np.int64)
         at = np.flatnonzero(words)
         yield pa.record_batch({"at": at.astype(np.int32), "word": words[at]})
 
-    rows = pairs.select("u", "v").mapInArrow(run, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    rows = nodes.select("node").mapInArrow(run, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.int64)
     words[rows.column("at").to_numpy()] = rows.column("word").to_numpy()
     return words.tobytes()
@@ -288,80 +307,64 @@ def _node_rows(keep: bytes):
     return run
 
 
-def _linked(left: Column, right: Column) -> Column:
-    """Whether 100 * intersection >= 75 * union, of two columns of packed sorted sets."""
-
-    @F.pandas_udf("boolean")
-    def run(a, b):
-        import pandas as pd
-
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True)) if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) else 0
-            out.append(100 * both >= 75 * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
-
-    return run(left, right)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("node").alias("u"), F.col("tokens").alias("left"))
-    b = sets.select(F.col("node").alias("v"), F.col("tokens").alias("right"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").filter(_linked(F.col("left"), F.col("right"))).select("u", "v")
-
-
-def _unsettled(stars: DataFrame, edges: DataFrame) -> DataFrame:
-    """(family, node, part, blocks) of the sets of families that lie in several components."""
-    families = checkpointed(connected_components(stars)).withColumnRenamed("component", "family")
-    parts = checkpointed(connected_components(edges))
-    members = checkpointed(families.join(parts, "node", "left").select("family", "node", F.coalesce("component", "node").alias("part")))
-    several = members.groupBy("family").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
-    blocks = checkpointed(several.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    return members.join(blocks, "family")
-
-
-def _block_links(table: pa.Table) -> pa.Table:
-    """Links (u, v) between components, of the sets of one block or of two blocks with each other."""
-    nodes, parts, first = (table.column(k).to_numpy() for k in ("node", "part", "first"))
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-    sizes = np.array([len(s) for s in sets], np.int64)
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at `left` with those at `right`."""
     tokens = np.unique(np.concatenate(sets))
-    left = np.flatnonzero(first)
-    right = np.flatnonzero(~first) if (~first).any() else left
     both = np.zeros((len(left), len(right)), np.int64)
-    step = max(1, 8_000_000 // max(1, len(sets)))
+    step = max(1, 8_000_000 // len(sets))
     for at in range(0, len(tokens), step):
         span = tokens[at : at + step]
         held = np.zeros((len(sets), len(span)), np.float32)
         for i, s in enumerate(sets):
             held[i, np.searchsorted(span, s[np.searchsorted(s, span[0]) : np.searchsorted(s, span[-1], side="right")])] = 1
         both += (held[left] @ held[right].T).astype(np.int64)
-    i, j = np.nonzero((100 * both >= 75 * (sizes[left][:, None] + sizes[right][None] - both)) & (parts[left][:, None] != parts[right][None]))
-    above: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := above.get(x, x)) != x:
-            above[x] = above.get(y, y)
-            x = y
-        return x
-
-    kept = []
-    for a, b in zip(left[i].tolist(), right[j].tolist()):
-        x, y = top(int(parts[a])), top(int(parts[b]))
-        if x != y:
-            above[max(x, y)] = min(x, y)
-            kept.append((nodes[a], nodes[b]))
+    return both
+
+
+def _piece_links(table: pa.Table) -> pa.Table:
+    """Links (u, v) that span the linked sets of each family in a piece."""
+    families, nodes, firsts = (table.column(k).to_numpy() for k in ("family", "node", "first"))
+    blobs = table.column("tokens").to_pylist()
+    order = np.argsort(families, kind="stable")
+    kept: list[tuple[int, int]] = []
+    for own in np.split(order, np.flatnonzero(np.diff(families[order])) + 1):
+        if len(own) < 2:
+            continue
+        sets = [np.frombuffer(blobs[i], np.uint64) for i in own]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        left = np.flatnonzero(firsts[own])
+        right = np.flatnonzero(~firsts[own]) if not firsts[own].all() else left
+        if not len(left):
+            continue
+        both = _overlaps(sets, left, right)
+        above = list(range(len(own)))
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for i, j in zip(*np.nonzero(100 * both >= 75 * (sizes[left][:, None] + sizes[right][None] - both))):
+            x, y = top(int(left[i])), top(int(right[j]))
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                kept.append((nodes[own[left[i]]], nodes[own[right[j]]]))
     u, v = zip(*kept) if kept else ((), ())
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the components of each family, block by block."""
+def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """Spanning links (u, v) of the linked sets of each family (node, family)."""
+    sizes = checkpointed(families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"))
+    pieces = max(1, families.count() // PIECE)
+    sized = families.join(sizes, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", "node", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"))
-    return dealt.join(sets, "node").groupBy("family", "i", "j").applyInArrow(_block_links, "u long, v long")
+    dealt = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other"))
+    piece = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family", F.lit(7)), F.lit(pieces))).otherwise(blocks)
+    dealt = dealt.select("family", "node", piece.alias("piece"), (F.col("own") <= F.col("other")).alias("first"))
+    return dealt.join(sets, "node").groupBy("piece").applyInArrow(_piece_links, "u long, v long")
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -377,13 +380,12 @@ def linked_components(docs: DataFrame) -> DataFrame:
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     frequent = _frequent_shingles(docs)
     index = docs.filter("doc_id is not null").mapInArrow(_index_rows(frequent, buckets), INDEX_SCHEMA)
-    grouped = checkpointed(index.groupBy("bucket").applyInArrow(_bucket_groups, PAIR_SCHEMA).distinct())
-    nodes = checkpointed(docs.mapInArrow(_node_rows(_candidate_filter(grouped)), NODE_SCHEMA))
+    found = index.groupBy("bucket").applyInArrow(_bucket_groups, PAIR_SCHEMA)
+    summed = found.groupBy("star", "u", "v").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+    families = checkpointed(connected_components(summed.filter("star or shared >= needed"))).withColumnRenamed("component", "family")
+    nodes = checkpointed(docs.mapInArrow(_node_rows(_candidate_filter(families)), NODE_SCHEMA))
     sets = nodes.filter("tokens is not null").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    edges = checkpointed(_verified(grouped, sets))
-    stars = grouped.filter("star").select("u", "v")
-    if not stars.isEmpty():
-        edges = checkpointed(edges.union(_family_links(_unsettled(stars, edges), sets)))
+    edges = checkpointed(_family_links(families, sets))
     return _named(nodes, edges)
 
 
