@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, language_id, license_scan, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, toxicity
+from quarry.llm import decontamination, html_extraction, language_id, license_scan, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, toxicity
 from quarry.session import table
 
 
@@ -53,6 +53,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", predicted)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_components(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
+    "op7_html_extraction": op7_html_extraction,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
