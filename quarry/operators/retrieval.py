@@ -31,8 +31,8 @@ def _block_top(k: int):
         names = ["query_id", "doc_id", "score"]
         if not queries.num_rows or not vectors.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        matrix = lambda t: np.stack([np.asarray(x, np.float64) for x in t.column("vector").to_pylist()])
-        q, v = matrix(queries), matrix(vectors)
+        matrix = lambda column: np.stack([np.asarray(x, np.float64) for x in column.to_pylist()])
+        q, v = matrix(queries.column("asked")), matrix(vectors.column("vector"))
         size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
         score = np.divide(q @ v.T, size, out=np.zeros_like(size), where=size > 0)
         ids = vectors.column("id").to_numpy()
@@ -40,7 +40,7 @@ def _block_top(k: int):
         # a score that ties with the last one kept stays until the final ranking
         least = -np.partition(-score, kept - 1, axis=1)[:, kept - 1]
         i, j = np.nonzero(score >= least[:, None] - 1e-12)
-        return pa.table([queries.column("id").to_numpy()[i], ids[j], score[i, j]], names=names)
+        return pa.table([queries.column("query_id").to_numpy()[i], ids[j], score[i, j]], names=names)
 
     return run
 
@@ -54,8 +54,9 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, digits: in
     rounded to `digits` before ranking; rows with a null id or vector are left out.
     """
     queries, vectors = (t.filter("id is not null and vector is not null") for t in (queries, vectors))
+    queries = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
     n_q, n_v = (max(1, -(-t.count() // BLOCK)) for t in (queries, vectors))
-    dealt = lambda t, own, n, other, m: t.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    dealt = lambda t, own, n, other, m: t.withColumn(own, F.pmod(F.xxhash64(t.columns[0]), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     left = dealt(queries, "qb", n_q, "vb", n_v).groupBy("qb", "vb")
     right = dealt(vectors, "vb", n_v, "qb", n_q).groupBy("qb", "vb")
     found = left.cogroup(right).applyInArrow(_block_top(k), "query_id long, doc_id long, score double")
