@@ -135,6 +135,9 @@ def _features(text: str, stack: list[tuple[str, tuple[str, ...]]], linked: int)
             found.add(f"word:{word}")
             if len(word) > 4:
                 found.add(f"head:{word[:4]}")
+    up = next((name for name, _ in reversed(stack) if name in _BLOCK and name not in (own, "p", "b")), "none")
+    found.add(f"up:{up}>{own}")
+    found |= {f"near:{word}" for word in next((words for _, words in reversed(stack) if words), ())}
     n = text.count(" ") + 1
     found.add(f"words:{min(6, n.bit_length())}")
     found.add(f"links:{min(4, 4 * linked // max(1, len(text)))}")
@@ -296,8 +299,8 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
 
     pages = []
     for _ in range(n):
-        body = [main_block() for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9, 14]))]
-        if rng.random() < 0.85 or not body:
+        body = [main_block() for _ in range(rng.choice([0, 1, 1, 1, 2, 3, 4, 6, 9, 14]))]
+        if rng.random() < 0.7 or not body:
             body.insert(0, f"<h1>{MARK}{sentence(1, 9)}</h1>")
         for kind in rng.choices(["advert", "side", "notice", "form", "comment", "menu"], k=rng.choice([0, 0, 0, 1, 1, 2])):
             body.insert(rng.randint(1, len(body)) if kind != "comment" else len(body), rest(kind))
@@ -314,7 +317,10 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
             open_, close = "", ""
         before = [rest(k) for k in ("notice", "head", "menu", "form", "advert", "side") if rng.random() < (0.7 if k == "menu" else 0.35)]
         after = [rest(k) for k in ("comment", "side", "advert", "form", "notice", "foot") if rng.random() < (0.85 if k == "foot" else 0.3)]
+        if rng.random() < 0.35:  # a page of little but its article
+            before, after = before[: rng.choice([0, 0, 0, 1])], after[: rng.choice([0, 1])]
         head = f"<!DOCTYPE html><html><head><title>{sentence(1, 6)}</title><style>p{{}}</style></head><body>"
+        head = head if rng.random() < 0.9 else ""
         wrap = rng.choice([("", ""), ("", ""), ('<div class="wrapper">', "</div>"), ('<div id="page" class="site container">', "</div>")])
         pages.append(head + wrap[0] + "".join(before) + open_ + inner + close + "".join(after) + wrap[1] + rng.choice(["</body></html>", ""]))
     return pages
@@ -327,7 +333,7 @@ def labelled_blocks(page: str) -> tuple[list[Block], list[bool]]:
 
 
 @functools.lru_cache(maxsize=4)
-def trained(n_pages: int = 700, seed: int = 11) -> TaggerModel:
+def trained(n_pages: int = 1_200, seed: int = 11) -> TaggerModel:
     """The model of so many generated pages."""
     pages = [labelled_blocks(p) for p in labelled_pages(n_pages, seed)]
     return fit([(blocks, labels) for blocks, labels in pages if len(blocks) == len(labels)])
