@@ -108,7 +108,7 @@ SEQUENCES: list[tuple[str, str]] = [(name, "".join(f"|{SENTENCES[normalised(s)]}
 
 
 def _sentences(text: Column, line_ends: str) -> Column:
-    cut = F.regexp_replace(F.regexp_replace(text, line_ends, "\u0001"), "([.!?:])[ \\t\\n]+", "$1\u0001")
+    cut = F.regexp_replace(F.regexp_replace(text, line_ends, "\u0001"), "([.!?])[ \\t\\n]+", "$1\u0001")
     return F.transform(F.split(F.lower(cut), "\u0001"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
@@ -153,7 +153,7 @@ WITH known(s, i) AS (VALUES {_values(list(SENTENCES.items()))}),
 rules(name, seq) AS (VALUES {_values(SEQUENCES)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 c AS (SELECT r, 1 AS way, regexp_replace(t, '\\n+', chr(1), 'g') AS t FROM d UNION ALL SELECT r, 2, regexp_replace(t, '\\n[ \\t]*\\n\\s*', chr(1), 'g') FROM d),
-p AS (SELECT r, way, string_split(lower(regexp_replace(t, '([.!?:])[ \\t\\n]+', '\\1' || chr(1), 'g')), chr(1)) AS ps FROM c),
+p AS (SELECT r, way, string_split(lower(regexp_replace(t, '([.!?])[ \\t\\n]+', '\\1' || chr(1), 'g')), chr(1)) AS ps FROM c),
 u AS (SELECT r, way, unnest(ps) AS s, unnest(range(len(ps))) AS pos FROM p),
 k AS (SELECT r, way, pos, i FROM (SELECT r, way, pos, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s FROM u) JOIN known USING (s)),
 q AS (SELECT r, way, list(CAST(i AS INTEGER) ORDER BY pos) AS ids FROM k GROUP BY r, way),
