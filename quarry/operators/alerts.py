@@ -58,3 +58,14 @@ def sliding_errors(events: DataFrame, size: str = "24 hours", step: str = "10 mi
     """(window_start, window_end, errors): errors in trailing windows, for batch and stream alike."""
     counted = events.filter("status = 'error'").groupBy(F.window("ts", size, step)).agg(F.count("*").alias("errors"))
     return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "errors")
+
+
+def open_count(alerts: DataFrame) -> DataFrame:
+    return alerts.agg(F.count_if(F.col("status") == "open").alias("open"))
+
+
+def matching(alerts: DataFrame, status: str | None = None, kind: str | None = None, severity: str | None = None, limit: int = 100) -> DataFrame:
+    """Alerts that meet all conditions given, newest first, 1 to 500 of them: a page is the feature."""
+    for name, value in (("status", status), ("type", kind), ("severity", severity)):
+        alerts = alerts if value is None else alerts.filter(F.col(name) == value)
+    return alerts.orderBy(F.desc("created_at"), F.desc("id")).limit(max(1, min(limit, 500)))

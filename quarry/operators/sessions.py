@@ -109,3 +109,16 @@ def may_cache(answer: Column, question_has_pii: Column, used_dynamic_tool: Colum
 
 def wants_suggestions(answer: Column, least: int = 80) -> Column:
     return F.length(answer) >= least
+
+
+def badcases_matching(cases: DataFrame, status: str | None = None, keyword: str | None = None) -> DataFrame:
+    """Bad cases (question, answer, note, status) of a status whose texts contain the keyword, in any case."""
+    rows = cases if status is None else cases.filter(F.coalesce("status", F.lit("pending")) == status)
+    if keyword is None:
+        return rows
+    texts = F.lower(F.concat_ws("\u0001", "question", "answer", "note"))
+    return rows.filter(F.contains(texts, F.lit(keyword.lower())))
+
+
+def pending_count(cases: DataFrame) -> DataFrame:
+    return cases.agg(F.count_if(F.coalesce("status", F.lit("pending")) == "pending").alias("pending"))

@@ -46,7 +46,7 @@ def filtered(traces: DataFrame, kind: str | None = None, status: str | None = No
         keyword and F.contains(F.lower(F.col("input") if searched is None else searched), F.lit(keyword.lower())),
     ]
     for condition in conditions:
-        if condition is not None and not isinstance(condition, str):
+        if isinstance(condition, Column):
             traces = traces.filter(condition)
     return traces
 
@@ -54,3 +54,12 @@ def filtered(traces: DataFrame, kind: str | None = None, status: str | None = No
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> tuple[DataFrame, int]:
     """(rows of the page, from 1, and the number of all rows)."""
     return rows.orderBy(*order).offset((number - 1) * size).limit(size), rows.count()
+
+
+def audit_events(events: DataFrame, actor: str | None = None, action: str | None = None, since: Column | None = None, until: Column | None = None, limit: int = 5_000) -> DataFrame:
+    """Audit events that meet all conditions given, newest first, 1 to 5000 of them: a page is the feature."""
+    conditions = [actor and F.col("actor") == actor, action and F.col("action") == action, None if since is None else F.col("created_at") >= since, None if until is None else F.col("created_at") <= until]
+    for condition in conditions:
+        if isinstance(condition, Column):
+            events = events.filter(condition)
+    return events.orderBy(F.desc("created_at"), F.desc("id")).limit(max(1, min(limit, 5_000)))

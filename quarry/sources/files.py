@@ -94,6 +94,11 @@ def xlsx_text(content: bytes, group: int = SHEET_GROUP) -> str:
     return "\n\n".join(parts)
 
 
+def sheet_preview(content: bytes, rows: int = 500, columns: int = 60) -> dict[str, list[list[str]]]:
+    """The first rows and columns of each sheet, for display."""
+    return {name: [r[:columns] for r in cells[:rows]] for name, cells in _sheets(content)}
+
+
 def pdf_pages(content: bytes) -> list[tuple[int, str]]:
     """(page from 1, text) of the pages with text; needs the optional package pypdf."""
     from pypdf import PdfReader

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from quarry.operators import access, alerts, cache, evaluation, manifest, retrieval, sessions, stats, tables
+from quarry.operators import access, alerts, cache, evaluation, manifest, retrieval, sessions, stats, tables, traces
 from quarry.providers import embedded
 
 
@@ -115,3 +115,15 @@ def test_embedding_failures_are_rows(spark):
 def test_sliding_windows(spark):
     events = spark.createDataFrame([("error", dt.datetime(2026, 1, 1, 0, 5)), ("ok", dt.datetime(2026, 1, 1, 0, 6))], "status string, ts timestamp")
     assert [r["errors"] for r in alerts.sliding_errors(events, "1 hour", "10 minutes").collect()] == [1] * 6
+
+
+def test_filters_and_counts(spark):
+    cases = spark.createDataFrame([("How?", "So", None, None), ("Why", "x", "NOTE", "resolved")], "question string, answer string, note string, status string")
+    assert [r["question"] for r in sessions.badcases_matching(cases, keyword="note").collect()] == ["Why"]
+    assert [r["question"] for r in sessions.badcases_matching(cases, "pending").collect()] == ["How?"]
+    assert sessions.pending_count(cases).first()["pending"] == 1
+    table = spark.createDataFrame([(1, "cost", "open", 1), (2, "cost", "resolved", 2), (3, "error", "open", 3)], "id int, type string, status string, created_at int")
+    assert alerts.open_count(table).first()["open"] == 2
+    assert [r["id"] for r in alerts.matching(table, kind="cost").collect()] == [2, 1]
+    events = spark.createDataFrame([(1, "ann", "login", 1), (2, "bob", "login", 2)], "id int, actor string, action string, created_at int")
+    assert [r["id"] for r in traces.audit_events(events, action="login", since=F.lit(2)).collect()] == [2]
