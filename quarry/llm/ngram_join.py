@@ -2,12 +2,13 @@
 
 A document's set holds its distinct five-word shingles. Two sets link when
 100 * intersection >= 75 * union. Then their symmetric difference is at most
-H = 2 * |larger| / 7 tokens. The token universe is split by a hash into the segments of
-a size band; a set is indexed by the subset that it has in each segment. If no segment
-of B has the same subset in A, each of B's W non-empty segments differs by a token at
-least, so W > H for the larger set makes the index lossless. One-deletion
-neighbourhoods (the subset less each of its tokens) raise a segment of two tokens or
-more from one to two guaranteed differences.
+(|A| + |B|) / 7 tokens, and a third of either's size. The token universe is split by a
+hash into the segments of a size band; a set is indexed by the subset that it has in
+each segment, in its own band and, where a linked set may lie there, in the next one.
+If no segment of A has the same subset in B, each of A's W non-empty segments differs by
+a token at least, so W > |A| / 3 makes the index lossless for all pairs with A.
+One-deletion neighbourhoods (the subset less each of its tokens) raise a segment of two
+tokens or more from one to two guaranteed differences.
 
 Allocation by cost, in three schemes:
 
@@ -19,7 +20,7 @@ Allocation by cost, in three schemes:
    one-deletion neighbourhoods (threshold 1);
 2. sets that fail there too, which are tiny, are indexed by every token.
 
-A pair is found in the first scheme in which its larger set has enough weight. The
+A pair is found in the first scheme in which one of its sets has enough weight. The
 sample only moves cost between schemes; links don't depend on it.
 
 Groups of a signature: up to `ALL_PAIRS` sets give all pairs, of which those stay whose
@@ -61,14 +62,14 @@ NODE_SCHEMA = "doc_id long, n_shingles long, node long, tokens binary"
 PAIR_SCHEMA = "star boolean, u long, v long, shared long, needed long"
 
 
-def larger_budget(sizes: np.ndarray) -> np.ndarray:
-    """The most tokens by which a set of this size differs from a linked one that isn't larger."""
-    return 2 * sizes // 7
+def budget(sizes: np.ndarray) -> np.ndarray:
+    """The most tokens by which a set of this size differs from a linked one of any size."""
+    return sizes // 3
 
 
 def segment_count(band_low: int, scheme: int) -> int:
-    """Segments of the band [band_low, 2 * band_low)."""
-    most = int(larger_budget(np.array(2 * band_low - 1)))
+    """Segments of the band [band_low, 2 * band_low): more than the budget of its largest set."""
+    most = int(budget(np.array(2 * band_low - 1)))
     return most + -(-most * 17 // 100) + 3 if scheme == 0 else most // 2 + -(-most // 10) + 3
 
 
@@ -112,12 +113,12 @@ def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray
 
     weights: of each set in scheme 0, or 0 where that isn't enough: a set of weight w and
     size n shares w - (n + m) // 7 signatures or more with each linked set of m <= n tokens.
-    frequent: sorted tokens that get no segment in scheme 0. Sets of up to three tokens
-    link with equal sets only (H is 0) and have no signature.
+    frequent: sorted tokens that get no segment in scheme 0. Sets of up to two tokens
+    link with equal sets only and have no signature.
     """
     found_s, found_o = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     weights = np.zeros(len(sets), np.int64)
-    index = np.array([i for i, s in enumerate(sets) if len(s) > 3], np.int64)
+    index = np.array([i for i, s in enumerate(sets) if len(s) > 2], np.int64)
     for scheme in (0, 1, 2):
         if not len(index):
             break
@@ -127,10 +128,12 @@ def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray
         low = 1 << np.floor(np.log2(sizes)).astype(np.int64)
         own_s, own_o, weight = _segments(kept, low, scheme)
         up = np.flatnonzero(4 * sizes >= 3 * 2 * low)
-        next_s, next_o, _ = _segments([kept[i] for i in up], 2 * low[up], scheme)
+        next_s, next_o, next_weight = _segments([kept[i] for i in up], 2 * low[up], scheme)
         found_s += [own_s, next_s]
         found_o += [index[own_o], index[up[next_o]]]
-        short = weight <= larger_budget(sizes)
+        least = weight.copy()
+        least[up] = np.minimum(weight[up], next_weight)
+        short = least <= budget(sizes)
         if scheme == 0:
             weights[index[~short]] = weight[~short]
         index = index[short]
@@ -164,7 +167,7 @@ def _index_rows(frequent: np.ndarray, buckets: int):
         for batch in _batches(batches):
             fresh = []
             for tokens in _sets_of(batch):
-                if len(tokens) > 3 and (name := int(set_node(tokens)[0])) not in seen:
+                if len(tokens) > 2 and (name := int(set_node(tokens)[0])) not in seen:
                     seen.add(name)
                     fresh.append((name, tokens))
             if fresh:
@@ -227,9 +230,9 @@ def _group_rows(sigs: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, weights:
         if not star:
             fits = 4 * np.minimum(sizes[u], sizes[v]) >= 3 * np.maximum(sizes[u], sizes[v])
             u, v = u[fits], v[fits]
-        budget = (sizes[u] + sizes[v]) // 7
+        allowed = (sizes[u] + sizes[v]) // 7
         weight = np.maximum(np.where(sizes[u] >= sizes[v], weights[u], 0), np.where(sizes[v] >= sizes[u], weights[v], 0))
-        needed = np.maximum(weight - budget, 1)
+        needed = np.maximum(weight - allowed, 1)
         named, first, shared = np.unique(np.stack([nodes[u], nodes[v]], 1), axis=0, return_index=True, return_counts=True)
         out.append(pa.table({"star": np.full(len(named), star), "u": named[:, 0].copy(), "v": named[:, 1].copy(), "shared": shared.astype(np.int64), "needed": needed[first].astype(np.int64)}))
     return pa.concat_tables(out)
