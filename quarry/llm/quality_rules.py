@@ -66,7 +66,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_upper": F.length(own) - F.length(F.regexp_replace(own, "\\p{Lu}", "")),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
     }
-    return out.withColumn("_m", F.struct(*[measures[k].cast("long").alias(k) for k in MEASURES])).drop("_words", "_lines", "_h", "_s")
+    row = F.struct(*[measures[k].cast("long").alias(k) for k in MEASURES])
+    # Exploded from an array of one: a filter on measures stays above, where they are values. Pushed below, it
+    # would repeat each of them, and what they are made of, wherever a rule names it.
+    return out.withColumn("_m", F.explode(F.array(row))).drop("_words", "_lines", "_h", "_s")
 
 
 def failure_bits(of: str = "_m") -> Column:
@@ -108,10 +111,8 @@ def passing(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of `docs` that the policy keeps, with their own columns."""
     mask = POLICIES[policy] | BASE
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    bits = measured(docs.select(F.struct(*columns).alias("_row"), F.col("text"))).select("_row", failure_bits().alias("_bits"))
-    # Not a filter: that would be pushed below the measures and repeat each of them wherever the rules name it.
-    kept = F.filter(F.array("_row"), lambda _: F.col("_bits").bitwiseAND(F.lit(mask)) == 0)
-    return bits.select(F.explode(kept).alias("_row")).select("_row.*")
+    rows = measured(docs.select(F.struct(*columns).alias("_row"), F.col("text")))
+    return rows.filter(failure_bits().bitwiseAND(F.lit(mask)) == 0).select("_row.*")
 
 
 ORACLE_SQL = """
