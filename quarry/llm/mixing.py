@@ -73,12 +73,13 @@ def mixed_to_targets(docs: DataFrame, targets: dict[str, float] | None = None, s
     rates = checkpointed(repetition_rates(docs, targets, scale).withColumn("_cdf", poisson_table("rate")).select("_source", "_cdf"))
     rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
     identity = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-    rows = docs.select([F.col(f"`{c}`") for c in names]).withColumn("_id", identity).withColumn("_source", F.coalesce(F.col("source"), F.lit("")))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
+    rows = docs.select(row, F.col("doc_id").alias("_doc"), identity.alias("_id"), F.coalesce(F.col("source"), F.lit("")).alias("_source"))
     rows = rows.join(rates, "_source").withColumn("_u", uniform(F.lit(seed), F.col("_id")))
     rows = rows.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).filter("_n > 0")
     rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     rows = rows.withColumn("mix_order", hashed_long(F.lit(seed), F.col("_id"), F.col("mix_copy")))
-    return rows.select([F.col(f"`{c}`") for c in names] + ["mix_copy", "mix_order"]).orderBy("mix_order", "doc_id", "mix_copy")
+    return rows.orderBy("mix_order", "_doc", "mix_copy").select("_row.*", "mix_copy", "mix_order")
 
 
 ORACLE_SQL = f"""

@@ -409,4 +409,5 @@ def one_of_each_component(docs: DataFrame) -> DataFrame:
     """
     names = linked_components(docs)
     kept = names.filter("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
+    return rows.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("_doc").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")

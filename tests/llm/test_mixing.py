@@ -30,8 +30,8 @@ def test_poisson_table_is_the_distribution(spark):
 
 
 def test_awkward_rows(awkward):
-    out = m.mixed_to_targets(awkward.withColumnRenamed("lang", "mix_copy"))
-    assert out.columns == ["doc_id", "text", "source", "n_chars", "mix_copy", "mix_order"]
+    out = m.mixed_to_targets(awkward.withColumnRenamed("lang", "mix_copy").withColumnRenamed("n_chars", "_id"))
+    assert out.columns == ["doc_id", "text", "source", "_id", "mix_copy", "mix_order"]
     assert m.mixed_to_targets(awkward.limit(0)).count() == 0
     assert m.mixed_to_targets(awkward, {"unknown": 1.0}).count() == 0
     long = m.mixed_to_targets(awkward, scale=50.0).groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id = 5").first()

@@ -46,7 +46,7 @@ def test_awkward_rows(spark, awkward):
 
 def test_one_of_each_stays_with_all_columns(spark, documents):
     text = " ".join(f"w{i}" for i in range(40))
-    frame = documents([(3, text), (5, text), (7, text + " more"), (9, "else"), (None, "nobody")]).withColumnRenamed("lang", "component_id").withColumnRenamed("n_chars", "node")
+    frame = documents([(3, text), (5, text), (7, text + " more"), (9, "else"), (None, "nobody")]).withColumnRenamed("lang", "component_id").withColumnRenamed("n_chars", "_kept").withColumnRenamed("source", "_doc")
     kept = n.one_of_each_component(frame)
     assert kept.columns == frame.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "9", "None"]
