@@ -37,7 +37,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.dense_top(*_vectors(spark, sf_dir))
-    return found.select("query_id", "doc_id", "score", F.round(retrieval.scaled_score(F.col("score")), 6).alias("scaled"), "rank")
+    return found.select("query_id", "doc_id", "score", F.round(retrieval.scaled_score(F.col("score")), 7).alias("scaled"), "rank")
 
 
 def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ _BM25 = r"""q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS
   r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10 AND score > 0)"""
 
 ORACLE_SQL = {
-    "dense_topk": f"WITH {_V} SELECT query_id, doc_id, score, round((1 + score) / 2, 6) AS scaled, CAST(rank AS INTEGER) AS rank FROM d WHERE rank <= 4",
+    "dense_topk": f"WITH {_V} SELECT query_id, doc_id, score, round((1 + score) / 2, 7) AS scaled, CAST(rank AS INTEGER) AS rank FROM d WHERE rank <= 4",
     "vector_similarity": "SELECT v.vec_id AS id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id = 0",
     "semantic_cache_lookup": f"WITH {_V} SELECT query_id, doc_id, score FROM d WHERE rank = 1 AND score >= 0.92",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r",
