@@ -53,6 +53,8 @@ BLOCK = 256
 SAMPLE_PART, FREQUENT_COUNT, MOST_FREQUENT = 20, 8, 200_000
 #: Signature rows that a task holds before it packs them.
 HELD_ROWS = 800_000
+#: Buckets of signatures for each shuffle partition: the more, the less a bucket holds and the evener they lie.
+BUCKETS_PER_PARTITION = 3
 #: Sets of small families that are verified by one call.
 PIECE = 1_000
 #: Bits of the filter that keeps shingle sets of documents without a candidate from the verification's shuffle.
@@ -380,7 +382,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = BUCKETS_PER_PARTITION * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     frequent = _frequent_shingles(docs)
     index = docs.filter("doc_id is not null").mapInArrow(_index_rows(frequent, buckets), INDEX_SCHEMA)
     found = index.groupBy("bucket").applyInArrow(_bucket_groups, PAIR_SCHEMA)
@@ -411,3 +413,16 @@ def one_of_each_component(docs: DataFrame) -> DataFrame:
     kept = names.filter("component_id is null or doc_id = component_id").select("doc_id").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
     return rows.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("_doc").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p + 1:p + 5], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS p FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = w.doc_id
+"""

@@ -81,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op4_decontamination": decontamination.ORACLE_SQL,
+    "op8_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op10_license_scan": license_scan.ORACLE_SQL,
 }
