@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ RRF_K, CANDIDATES, TOP_K = 60, 10, 4
 MIN_TOP_SCORE, FLOOR, HEAD_RATIO = 0.08, 0.05, 0.15
 #: Published parameters of Okapi BM25; the floor for words in most documents is a share of the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Words times queries up to which sparse search scores by matrices that every task holds.
+MATRIX_CELLS = 4_000_000
 #: Vectors in a block of the dense search.
 BLOCK = 2_048
 TOKENS = r"[\p{L}\p{N}]+"
@@ -72,28 +75,98 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKENS), F.lit(0))
 
 
+def _idf(df: DataFrame, n: int) -> DataFrame:
+    """(term, idf) of (term, df); what would be negative is a share of the mean of the positive ones."""
+    idf = df.withColumn("idf", F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    floor = F.lit(EPSILON) * F.avg(F.when(F.col("idf") > 0, F.col("idf"))).over(Window.partitionBy())
+    return idf.withColumn("idf", F.when(F.col("idf") < 0, F.coalesce(floor, F.lit(0.0))).otherwise(F.col("idf"))).select("term", "idf")
+
+
 def bm25_top(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, digits: int = 6) -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi BM25 of queries (id, text) over docs (id, text).
 
-    Only words that a query has are counted: they are joined before the documents' words
-    are grouped. The words of a stated query set are few; Spark broadcasts them if their
-    size allows. The top k are taken first and scores not above 0 dropped then.
+    The queries are a stated set. If their words and number are small enough for a matrix
+    (MATRIX_CELLS, the usual case), batches of documents are scored against all queries by
+    a matrix product and give their best k of each, so that postings are never shuffled;
+    else words are joined and grouped. The top k are taken first and scores not above 0
+    dropped then. Null texts have no words; rows with a null id are left out.
     """
-    asked = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    docs = docs.filter("id is not null")
+    asked = queries.filter("id is not null").select(F.col("id").cast("long").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    terms, n_queries = asked.agg(F.count_distinct("term"), F.count_distinct("query_id")).first()
+    if 0 < terms * n_queries <= MATRIX_CELLS:
+        scores = _matrix_scores(asked, docs, k, digits)
+    else:
+        scores = _joined_scores(asked, docs, digits)
+    return top(scores, k).filter("score > 0")
+
+
+def _joined_scores(asked: DataFrame, docs: DataFrame, digits: int) -> DataFrame:
     words = docs.select(F.col("id").alias("doc_id"), tokens(F.col("text")).alias("words"))
-    lengths = words.select("doc_id", F.size("words").alias("dl"))
-    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
+    n, mean = words.agg(F.count("*"), F.avg(F.size("words"))).first()
     terms = asked.select("term").distinct()
     placed = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms, "term", "left_semi")
     tf = placed.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.withColumn("idf", F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floor = F.lit(EPSILON) * F.avg(F.when(F.col("idf") > 0, F.col("idf"))).over(Window.partitionBy())
-    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, F.coalesce(floor, F.lit(0.0))).otherwise(F.col("idf"))).select("term", "idf")
+    idf = _idf(tf.groupBy("term").agg(F.count("*").alias("df")), n)
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1))))
     weighted = tf.join(idf, "term").select("term", "doc_id", gain.alias("gain"))
-    scores = weighted.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("gain") * F.col("qtf")), digits).alias("score"))
-    return top(scores, k).filter("score > 0")
+    return weighted.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("gain") * F.col("qtf")), digits).alias("score"))
+
+
+def _term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of the terms, number of words) of each text."""
+    texts = pc.utf8_lower(pc.fill_null(pc.take(texts, pa.array(np.arange(len(texts)))), ""))
+    lists = pc.split_pattern_regex(texts, r"[^\pL\pN]+")
+    words = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    at = pc.fill_null(pc.index_in(words, terms), -1).to_numpy()
+    hit = full & (at >= 0)
+    counts = np.bincount(row[hit] * len(terms) + at[hit], minlength=len(lists) * len(terms)).reshape(len(lists), len(terms))
+    return counts, np.bincount(row[full], minlength=len(lists))
+
+
+def _matrix_scores(asked: DataFrame, docs: DataFrame, k: int, digits: int) -> DataFrame:
+    rows = asked.collect()  # at most MATRIX_CELLS of them
+    names, ids = sorted({r["term"] for r in rows}), sorted({r["query_id"] for r in rows})
+    at_term, at_query = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(ids)}
+    weights = np.zeros((len(names), len(ids)))
+    for r in rows:
+        weights[at_term[r["term"]], at_query[r["query_id"]]] = r["qtf"]
+    terms = pa.array(names)
+    step = max(1, 4_000_000 // len(names))
+
+    def parts(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+    def count(batches):
+        df, n, words = np.zeros(len(names), np.int64), 0, 0
+        for batch in parts(batches):
+            counts, sizes = _term_counts(batch.column("text"), terms)
+            df += (counts > 0).sum(0)
+            n, words = n + len(sizes), words + int(sizes.sum())
+        yield pa.record_batch({"term": pa.array([*range(len(names)), -1, -2], pa.int32()), "n": pa.array([*df.tolist(), n, words], pa.int64())})
+
+    texts = docs.select(F.col("id").cast("long").alias("id"), "text")
+    totals = {r["term"]: r["n"] for r in texts.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, mean = totals.get(-1, 0), totals.get(-2, 0) / max(1, totals.get(-1, 0)) or 1.0
+    df = np.array([totals.get(i, 0) for i in range(len(names))], float)
+    idf = np.where(df > 0, np.log((n - df + 0.5) / (df + 0.5)), 0.0)
+    idf[idf < 0] = EPSILON * idf[idf > 0].mean() if (idf > 0).any() else 0.0
+
+    def score(batches):
+        for batch in parts(batches):
+            counts, sizes = _term_counts(batch.column("text"), terms)
+            gains = idf * counts * (K1 + 1) / (counts + (K1 * (1 - B + B * sizes / mean))[:, None])
+            found = np.round(gains @ weights, digits)
+            kept = min(k, len(found))
+            least = np.partition(found, len(found) - kept, axis=0)[len(found) - kept]
+            i, j = np.nonzero((found >= least) & (found > 0))  # ties with the last one kept stay until the ranking
+            yield pa.record_batch({"query_id": np.array(ids, np.int64)[j], "doc_id": batch.column("id").to_numpy()[i], "score": found[i, j]})
+
+    return texts.mapInArrow(score, "query_id long, doc_id long, score double")
 
 
 def fused(*ranked: DataFrame, candidates: int = CANDIDATES, digits: int = 9) -> DataFrame:

@@ -29,6 +29,15 @@ def test_dense_search_over_many_blocks(spark, monkeypatch):
     assert rows(found.select("query_id", "rank", "doc_id")) == [(1, 1, 1), (1, 2, 5), (2, 1, 2), (2, 2, 6)]
 
 
+def test_sparse_search_by_matrix_and_by_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 9 + 1))) for i in range(60)] + [(70, None), (None, "w1")], "id long, text string")
+    queries = spark.createDataFrame([(1, "w3 W3, w5!"), (2, "w0 nothing"), (3, ""), (4, None)], "id long, text string")
+    by_matrix = rows(retrieval.bm25_top(queries, docs))
+    monkeypatch.setattr(retrieval, "MATRIX_CELLS", 0)
+    by_join = rows(retrieval.bm25_top(queries, docs).select("query_id", "doc_id", "score", "rank"))
+    assert by_matrix == by_join and len(by_matrix) > 10
+
+
 def test_fusion_adds_up(spark):
     a = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "query_id int, doc_id int, rank int")
     b = spark.createDataFrame([(1, 6, 1)], "query_id int, doc_id int, rank int")
