@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.tokens import mixed, packed, unpacked, word_codes
+from quarry.llm.tokens import mixed, packed, release_memory, unpacked, word_codes
 
 #: Pairs that occur less often in the training documents back off.
 MIN_PAIR = 2
@@ -92,6 +92,7 @@ def _questions(buckets: int):
         offsets, codes, hashes = _tokens(table.column("text"))
         train = table.column("train").combine_chunks().to_numpy(zero_copy_only=False)
         word_keys, word_counts, _, pair_keys, pair_counts, _ = _keys(offsets, codes, hashes, train)
+        release_memory()
         rows = []
         for kind, keys, counts in ((0, word_keys, word_counts), (1, pair_keys, pair_counts)):
             edges = _bucket_edges(keys, buckets)

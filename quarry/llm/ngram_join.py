@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
-from quarry.llm.tokens import mixed, packed, shingle_sets, unpacked, word_codes
+from quarry.llm.tokens import mixed, packed, release_memory, shingle_sets, unpacked, word_codes
 from quarry.session import checkpointed
 
 ALL_PAIRS = 24
@@ -180,8 +180,11 @@ def _index_rows(frequent: np.ndarray, buckets: int):
             if rows >= HELD_ROWS:
                 yield _packed_rows(held, buckets)
                 held, rows, seen = [], 0, set()
+                release_memory()
         if rows:
             yield _packed_rows(held, buckets)
+        del held
+        release_memory()
 
     return run
 
@@ -307,6 +310,7 @@ def _node_rows(keep: bytes):
                     seen.add(node)
             ids = batch.column("doc_id")
             named = [n if len(s) and i is not None else None for n, s, i in zip(nodes.tolist(), sets, ids.to_pylist())]
+            release_memory()
             yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(named, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n_shingles", "node", "tokens"])
 
     return run

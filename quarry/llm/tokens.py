@@ -87,3 +87,8 @@ def unpacked(blob: bytes, n: int, dtype: type) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     planes = pa.decompress(blob, decompressed_size=n * size, codec="zstd", asbytes=True)
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(dtype).reshape(n)
+
+
+def release_memory() -> None:
+    """Gives back what the Arrow pool of this worker holds but doesn't use; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
