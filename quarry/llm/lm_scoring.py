@@ -4,13 +4,16 @@ The model is a bigram model interpolated with smoothed single words:
 
     P(w | h) = (1 - b) * c(h, w) / c(h) + b * P(w),    P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
-with counts over all training documents, c(h, w) at least MIN_PAIR (rarer pairs back
-off), and b the share of word pairs that occur once: how often a pair turned out new.
+with counts over all training documents, and b the share of word pairs that occur once:
+how often a pair turned out new. With every pair kept, as the query does, the
+probabilities of a state's words add up to 1; a caller that prunes pairs below min_pair
+gives their mass away.
 As an automaton, a state stands for the last word; it has an arc for each pair kept, and
 a failure arc of weight b to the root, which has an arc for each word. A text is
 traversed once from left to right, from the state of the text's start to its end token,
 and the log-probabilities of the arcs taken add up to its score. From a word that the
-training documents lack the root is the state.
+training documents lack the root is the state. As a state is the word before, the arcs
+of all tokens of a block are looked up together.
 
 Nothing is sampled and the model isn't broadcast: it grows with the corpus. Documents
 are dealt into blocks by a hash. A block counts its pairs and words, and sends them to
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.tokens import mixed, packed, release_memory, unpacked, word_codes
 
-#: Pairs that occur less often in the training documents back off.
+#: Where a caller doesn't say: pairs that occur less often in the training documents back off.
 MIN_PAIR = 2
 #: Characters of text in a block, on average.
 BLOCK_CHARACTERS = 12_000_000
@@ -106,35 +109,29 @@ def _questions(buckets: int):
     return run
 
 
-def _answers(table: pa.Table) -> pa.Table:
-    """Totals of a bucket's keys for each block, in the block's order; of pairs, 0 below MIN_PAIR.
+def _answers(min_pair: int):
+    """Totals of a bucket's keys for each block, in the block's order; of pairs, 0 below min_pair.
 
     sums: tokens, different keys and keys that occur once, of the whole bucket.
     """
-    rows = table.to_pylist()
-    bucket = rows[0]["bucket"]
-    keys = [np.cumsum(unpacked(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows]
-    counts = [unpacked(r["counts"], r["n"], np.uint32) for r in rows]
-    known, slot = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(slot, np.concatenate(counts), len(known)).astype(np.int64)
-    sums = [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum())]
-    told = np.where(totals >= MIN_PAIR, totals, 0) if bucket % 2 else totals
-    out, at = [], 0
-    for r in rows:
-        out.append((r["block"], bucket, r["n"], packed(told[slot[at : at + r["n"]]]), sums))
-        at += r["n"]
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "bucket", "n", "totals", "sums"])
-
-
-def _traverse(codes: list[int], root: list[float], arcs: dict[int, float], failure: list[float], n_words: int) -> float:
-    """The log10 probability of one text: one pass that carries the state."""
-    state, total = 1, 0.0
-    for word in codes:
-        weight = arcs.get(state * n_words + word)
-        total += failure[state] + root[word] if weight is None else weight
-        state = word
-    return total
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        bucket = rows[0]["bucket"]
+        keys = [np.cumsum(unpacked(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows]
+        counts = [unpacked(r["counts"], r["n"], np.uint32) for r in rows]
+        known, slot = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(slot, np.concatenate(counts), len(known)).astype(np.int64)
+        sums = [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum())]
+        told = np.where(totals >= min_pair, totals, 0) if bucket % 2 else totals
+        out, at = [], 0
+        for r in rows:
+            out.append((r["block"], bucket, r["n"], packed(told[slot[at : at + r["n"]]]), sums))
+            at += r["n"]
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "bucket", "n", "totals", "sums"])
+
+    return run
 
 
 def _scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -155,31 +152,31 @@ def _scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
     history[0] = 0
     failure = np.where(history > 0, np.log10(back), 0.0)
     kept = totals[1] > 0
-    left, right = pairs[kept] // len(hashes), pairs[kept] % len(hashes)
-    weight = np.log10((1 - back) * totals[1][kept] / history[left] + back * 10 ** base[right])
-    arcs = dict(zip(pairs[kept].tolist(), weight.tolist()))
-    root, fails, n_words, listed = base.tolist(), failure.tolist(), len(hashes), codes.tolist()
-    spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+    left, right = pairs // len(hashes), pairs % len(hashes)
+    weight = failure[left] + base[right]
+    weight[kept] = np.log10((1 - back) * totals[1][kept] / history[left[kept]] + back * 10 ** base[right[kept]])
+    order = np.argsort(pairs)
+    taken = weight[order][np.searchsorted(pairs[order], _pair_codes(offsets, codes, len(hashes)))]
     known = np.concatenate([[0], np.cumsum(count[codes] > 0)])
-    sums = np.add.reduceat(base[codes], offsets[:-1]) if len(spans) else np.zeros(0)
     return pa.table({
         "doc_id": docs.column("doc_id"),
         "held_out": docs.column("held_out"),
         "n_tokens": np.diff(offsets).astype(np.int64),
         "n_known": (known[offsets[1:]] - known[offsets[:-1]]).astype(np.int64),
-        "train_tokens": np.full(len(spans), tokens, np.int64),
-        "base_score": sums,
-        "score": np.array([_traverse(listed[lo:hi], root, arcs, fails, n_words) for lo, hi in spans], np.float64),
+        "train_tokens": np.full(len(offsets) - 1, tokens, np.int64),
+        "base_score": np.add.reduceat(base[codes], offsets[:-1]) if len(offsets) > 1 else np.zeros(0),
+        "score": np.add.reduceat(taken, offsets[:-1]) if len(offsets) > 1 else np.zeros(0),
     })
 
 
-def model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
+def model_scores(docs: DataFrame, held_out: Column, min_pair: int = MIN_PAIR) -> DataFrame:
     """SCORED rows for every row of `docs` (doc_id, text), by a model of the rows not held out.
 
     n_tokens counts the end token; n_known the tokens that the training rows have. A null
     text is empty: it scores its end token. Null doc_ids and repeated rows are scored (and
     counted) each; an empty table gives an empty one. Without training rows every token
-    has the probability of an unknown one. Other columns of `docs` are not read.
+    has the probability of an unknown one. Pairs seen less than min_pair times back off.
+    Other columns of `docs` are not read.
     """
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -188,5 +185,5 @@ def model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     blocks = int(characters // BLOCK_CHARACTERS) + 1
     dealt = rows.withColumn("train", ~F.col("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     questions = dealt.groupBy("block").applyInArrow(_questions(buckets), ASKED)
-    answers = questions.groupBy("bucket").applyInArrow(_answers, ANSWERED)
+    answers = questions.groupBy("bucket").applyInArrow(_answers(min_pair), ANSWERED)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores, SCORED)

@@ -23,7 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.model_scores(table(spark, sf_dir, "documents"), _held_out(10, 0))
+    return lm_scoring.model_scores(table(spark, sf_dir, "documents"), _held_out(10, 0), min_pair=1)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import lm_scoring
+from quarry.llm import lm_scoring, queries
 from tests.llm.helpers import crc, words
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 10 = 0"
@@ -56,3 +56,21 @@ def test_awkward_rows(awkward):
     assert lm_scoring.model_scores(awkward, F.expr(HELD_OUT)).count() == awkward.count()
     assert lm_scoring.model_scores(awkward.limit(0), F.expr(HELD_OUT)).count() == 0
     assert lm_scoring.model_scores(awkward, F.lit(True)).filter("train_tokens = 0 and n_known = 0").count() == awkward.count()
+
+
+def test_every_state_of_the_query_adds_up_to_one(documents, tmp_path, spark):
+    """P(word | state) taken from the scores of short texts, also for states whose pairs all occur once."""
+    free, held = ([i for i in range(3000) if (crc(i, 10) == 0) == h] for h in (False, True))
+    vocabulary = [*"abcdef", "unseen"]
+    probes = ["", *vocabulary, *(f"{h} {w}" for h in vocabulary for w in vocabulary)]
+    rows = [*zip(free, ["a b a b a c", "a b b", "c d e", "f a"]), *zip(held, probes)]
+    documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op2_lm_scoring(spark, str(tmp_path)).collect()}
+    score = {t: 10 ** got[i]["score"] for i, t in zip(held, probes)}
+    base = {t: 10 ** got[i]["base_score"] for i, t in zip(held, probes)}
+    first = {"unseen": score["unseen"] / base[""]}
+    last = {w: score[f"unseen {w}"] / (first["unseen"] * base[w] / base[""]) for w in vocabulary}
+    first |= {w: score[w] / last[w] for w in vocabulary}
+    assert score[""] + sum(first.values()) == pytest.approx(1)
+    for h in vocabulary:
+        assert last[h] + sum(score[f"{h} {w}"] / first[h] / last[w] for w in vocabulary) == pytest.approx(1), h
