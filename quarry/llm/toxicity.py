@@ -6,7 +6,8 @@ toxic or not. Embeddings and softmax are trained jointly by gradient steps in nu
 unseen misspelling shares n-grams, and so embeddings, with the words it comes from.
 
 Toxic documents are mostly clean text, so the passage that speaks for a document is its
-most toxic run of WINDOW words. Training starts from whole documents, by their words
+most toxic run of WINDOW words. A word of more than WORD_BYTES bytes is read as its
+overlapping pieces, each a word of its own. Training starts from whole documents, by their words
 alone, and goes on, epoch by epoch, from the window of each document that scores highest
 at that time: in clean documents that is the one most wrongly suspected.
 """
@@ -32,14 +33,18 @@ DIMENSIONS = 8
 WINDOW = 2
 #: The model is fitted on so many labelled documents or so, and on so many toxic ones among them.
 MAX_LABELLED = 4_000
-#: Longer words are read in this many bytes: a window of a word's bytes, not of the text.
+#: Longer words are read in pieces of PIECE_BYTES, a new one every PIECE_STEP bytes, so that each
+#: run of PIECE_BYTES - PIECE_STEP bytes is inside one; small, as a piece is the average of its n-grams.
 WORD_BYTES = 64
+PIECE_BYTES, PIECE_STEP = 16, 6
+#: Words whose n-grams are made at once in scoring.
+WORDS_AT_ONCE = 20_000
 EPOCHS = 14
 
 
 def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, buckets): word i is the bag buckets[offsets[i]:offsets[i+1]]."""
-    words = pc.binary_slice(words.cast(pa.large_binary()), 0, WORD_BYTES)
+    words = words.cast(pa.large_binary())
     sizes = pc.binary_length(words).to_numpy().astype(np.int64)
     raw = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
     total = sizes + 2
@@ -71,7 +76,7 @@ def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def worded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(offsets, codes, distinct words) of the lower-cased words of letters of whole texts."""
+    """(offsets, codes, distinct words) of the lower-cased words of letters of whole texts, long ones in pieces."""
     texts = pc.take(texts, pa.array(np.arange(len(texts))))
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     lists = pc.split_pattern_regex(texts, r"[\s\pP\pS]+") if len(texts) else pa.array([], pa.large_list(pa.large_string()))
@@ -79,7 +84,23 @@ def worded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     full = pc.greater(pc.binary_length(words), 0)
     kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
     coded = words.filter(full).dictionary_encode()
-    return kept[offsets - (offsets[0] if len(offsets) else 0)], coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    return _pieced(kept[offsets - (offsets[0] if len(offsets) else 0)], coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary()))
+
+
+def _pieced(offsets: np.ndarray, codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The same with the pieces of each long word in its place."""
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.where(sizes > WORD_BYTES, -(-(sizes - PIECE_BYTES) // PIECE_STEP) + 1, 1)
+    if not (counts > 1).any():
+        return offsets, codes, words
+    pieces: list[bytes] = []
+    for word, n in zip(words.to_pylist(), counts.tolist()):
+        pieces += [word] if n == 1 else [word[k * PIECE_STEP : k * PIECE_STEP + PIECE_BYTES] for k in range(n)]
+    coded = pa.array(pieces, pa.large_binary()).dictionary_encode()
+    firsts, held = np.cumsum(counts) - counts, counts[codes]
+    ends = np.concatenate([[0], np.cumsum(held)])
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], held) + np.repeat(firsts[codes], held)
+    return ends[offsets], coded.indices.to_numpy().astype(np.int64)[place], coded.dictionary
 
 
 def _best_windows(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,10 +131,10 @@ class ToxicityModel:
         out = np.zeros(len(texts))
         for at in range(0, len(texts), 500):
             offsets, codes, words = worded(texts.slice(at, 500))
-            own = np.zeros(0)
-            if len(words):
-                starts, buckets = subwords(words)
-                own = np.add.reduceat(self.values[buckets], starts[:-1]) / np.diff(starts)
+            own = np.zeros(len(words))
+            for part in range(0, len(words), WORDS_AT_ONCE):
+                starts, buckets = subwords(words.slice(part, WORDS_AT_ONCE))
+                own[part : part + WORDS_AT_ONCE] = np.add.reduceat(self.values[buckets], starts[:-1]) / np.diff(starts)
             best = _best_windows(own[codes], offsets)[2]
             out[at : at + 500] = np.where(np.diff(offsets) > 0, best + self.bias, -4.0)
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))

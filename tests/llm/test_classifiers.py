@@ -81,6 +81,19 @@ def test_toxicity_knows_misspellings(spark):
     assert toxicity.scored(docs.limit(0), toxicity.trained(docs, labels.limit(0))).count() == 0
 
 
+def test_toxicity_reads_long_words_whole():
+    rng = random.Random(5)
+    insults = ["grumblefink", "snotwaddle", "blatherskite"]
+    texts = [text_in(rng, "aa") + (f" {rng.choice(insults)} ka" if i % 4 == 0 else "") for i in range(300)]
+    model = toxicity.fit(pa.array(texts), np.array([int(i % 4 == 0) for i in range(300)]))
+    clean = text_in(rng, "aa", 200).replace(" ", "")
+    words = [clean[:at] + insult + clean[at : at + tail] for insult in insults for at in (100, 107, 301) for tail in (0, 150)]
+    assert (model.scores(pa.array(words)) > 0.5).all()
+    assert (model.scores(pa.array([clean, clean[:65], clean[:96], "ka " + clean])) < 0.5).all()
+    offsets, codes, pieces = toxicity.worded(pa.array(["ka", None, "é" * 33 + "!b"]))
+    assert offsets.tolist() == [0, 1, 1, 12] and [pieces[c].as_py() for c in codes][1:11] == [("é" * 33).encode()[k : k + 16] for k in range(0, 60, 6)]
+
+
 def test_awkward_rows(awkward, spark):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality_classifier.scored(awkward, quality_classifier.trained(awkward, labels)).count() == awkward.count()
