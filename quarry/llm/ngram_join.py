@@ -60,7 +60,7 @@ PIECE = 1_000
 #: Bits of the filter that keeps shingle sets of documents without a candidate from the verification's shuffle.
 FILTER_BITS = 1 << 23
 
-NODE_SCHEMA = "doc_id long, n_shingles long, node long, tokens binary"
+NODE_SCHEMA = "doc_id long, text_hash long, n_shingles long, node long, tokens binary"
 PAIR_SCHEMA = "star boolean, u long, v long, shared long, needed long"
 
 
@@ -308,10 +308,10 @@ def _node_rows(keep: bytes):
                 blobs.append(tokens.tobytes() if want and len(tokens) and node not in seen else None)
                 if want:
                     seen.add(node)
-            ids = batch.column("doc_id")
-            named = [n if len(s) and i is not None else None for n, s, i in zip(nodes.tolist(), sets, ids.to_pylist())]
+            named = [n if len(s) else None for n, s in zip(nodes.tolist(), sets)]
             release_memory()
-            yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(named, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n_shingles", "node", "tokens"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(named, pa.int64()), pa.array(blobs, pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "text_hash", "n_shingles", "node", "tokens"])
 
     return run
 
@@ -384,18 +384,22 @@ def linked_components(docs: DataFrame) -> DataFrame:
     doc_id takes no part in links and has a null component_id. Rows that repeat are each
     kept; an empty table gives an empty one. Columns besides doc_id and text are not read.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = BUCKETS_PER_PARTITION * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), "text")
+    nodes, edges = _linked_sets(rows, rows.filter("doc_id is not null"))
+    return _named(nodes.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), edges)
+
+
+def _linked_sets(docs: DataFrame, linking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """NODE_SCHEMA rows of `docs` (doc_id, text_hash, text) and spanning links (u, v) of the sets of `linking`, some of these rows."""
+    buckets = BUCKETS_PER_PARTITION * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     frequent = _frequent_shingles(docs)
-    index = docs.filter("doc_id is not null").mapInArrow(_index_rows(frequent, buckets), INDEX_SCHEMA)
+    index = linking.select("doc_id", "text").mapInArrow(_index_rows(frequent, buckets), INDEX_SCHEMA)
     found = index.groupBy("bucket").applyInArrow(_bucket_groups, PAIR_SCHEMA)
     summed = found.groupBy("star", "u", "v").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
     families = checkpointed(connected_components(summed.filter("star or shared >= needed"))).withColumnRenamed("component", "family")
     nodes = checkpointed(docs.mapInArrow(_node_rows(_candidate_filter(families)), NODE_SCHEMA))
     sets = nodes.filter("tokens is not null").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    edges = checkpointed(_family_links(families, sets))
-    return _named(nodes, edges)
+    return nodes, checkpointed(_family_links(families, sets))
 
 
 def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -407,16 +411,39 @@ def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "n_shingles", "node").join(own, "node", "left").join(parts, "own", "left").select("doc_id", "n_shingles", F.coalesce("component", "own", "doc_id").alias("component_id"))
 
 
+def _keys_kept(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n, single): the keys of the rows that stay, and how many rows have the key.
+
+    single: one of the n rows stays, not all.
+    """
+    nodes, edges = _linked_sets(docs, docs)
+    keys = nodes.groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")
+    sets = keys.filter("node is not null").groupBy("node").agg(F.min(key).alias("key"))
+    parts = checkpointed(connected_components(edges))
+    linked = sets.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("key").alias("key"))
+    wordless = keys.filter("node is null and doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("key"))
+    unnamed = keys.filter("node is null and doc_id is null").select(key.alias("key"))
+    named = linked.select("key.*").union(wordless.select("key.*")).withColumn("single", F.lit(True))
+    return checkpointed(named.union(unnamed.select("key.*").withColumn("single", F.lit(False))).drop("unnamed"))
+
+
 def one_of_each_component(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id names their component: one document of each group of links.
+    """One row of `docs` of each group of links: that of the smallest doc_id, then of the smallest hash of its text.
 
-    All columns are kept. Rows whose doc_id is null and whose text has words stay only
-    if no row with a doc_id is linked with them.
+    All columns are kept. Rows with a null doc_id take part in links and come after all
+    others. Rows with equal doc_id and text are one document. A text without words is
+    linked with nothing: one such row stays for each doc_id, and all with a null doc_id.
     """
-    names = linked_components(docs)
-    kept = names.filter("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
-    return rows.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("_doc").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    kept = _keys_kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"))
+    same = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
+    out = rows.join(kept.filter("n = 1 or not single"), same, "left_semi").select("_row")
+    repeated = kept.filter("n > 1 and single")
+    if not repeated.isEmpty():
+        copies = rows.join(repeated, same, "left_semi")
+        out = out.union(copies.groupBy("_doc", "_hash").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row"))
+    return out.select("_row.*")
 
 
 ORACLE_SQL = r"""

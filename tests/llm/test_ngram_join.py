@@ -52,6 +52,19 @@ def test_one_of_each_stays_with_all_columns(spark, documents):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "9", "None"]
 
 
+def test_one_of_each_of_repeated_and_null_rows(documents):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(3, a, "x"), (3, a, "x"), (3, a, "w"), (None, a), (None, a + " more")]  # a row repeated, and copies without an id
+    rows += [(None, b), (None, b), (None, b + " more")]  # only rows without an id
+    rows += [(5, c), (5, a), (4, c)]  # a doc_id with two texts, each a copy of another's
+    rows += [(6, d), (6, e), (7, ""), (7, ""), (None, None), (None, None)]
+    got = sorted((str(r["doc_id"]), r["text"], r["source"]) for r in n.one_of_each_component(documents(rows)).collect() if r["text"])
+    assert [(i, t, s) for i, t, s in got if i != "None"] == sorted([("3", a, "w"), ("4", c, "s"), ("6", d, "s"), ("6", e, "s")])
+    assert [t in (b, b + " more") for i, t, _ in got if i == "None"] == [True]
+    assert sorted(str(r["doc_id"]) for r in n.one_of_each_component(documents(rows)).collect() if not r["text"]) == ["7", "None", "None"]
+    assert n.one_of_each_component(documents(rows).limit(0)).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (None, 5)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
