@@ -16,7 +16,7 @@ import functools
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))|<[!?][^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
 _PART = re.compile(r"[a-z]+")
 #: Elements whose content is not text, elements without content, and those that break lines.
 _RAW = frozenset("script style title noscript template svg iframe object math canvas audio video".split())
@@ -44,10 +45,61 @@ class Block:
     features: list[str]
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """The non-empty leaf blocks of a whole page, in page order."""
+class _OpenElements:
+    """The open elements of a page; what blocks need of all of them is kept up to date at each push and pop."""
+
+    def __init__(self, known: Container[str] | None) -> None:
+        self.known = known
+        self.stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []  # name, words, features
+        self.depths: dict[str, list[int]] = {name: [] for name in _BLOCK}  # of the open elements of each name
+        self.features: dict[str, int] = {}  # how many open elements have each
+        self.worded: list[tuple[str, ...]] = []  # the words of those that have some
+        self.links: list[int] = []  # depths of links
+
+    def push(self, name: str, words: tuple[str, ...], link: bool) -> None:
+        found = {f"in:{name}"} if name in _BLOCK else set()
+        for word in words:
+            found.add(f"word:{word}")
+            if len(word) > 4:
+                found.add(f"head:{word[:4]}")
+        features = tuple(x for x in found if self.known is None or x in self.known)
+        for x in features:
+            self.features[x] = self.features.get(x, 0) + 1
+        if name == "a":
+            self.links.clear()  # a link ends where the next anchor begins
+            if link:
+                self.links.append(len(self.stack))
+        if words:
+            self.worded.append(words)
+        self.depths.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, words, features))
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name, words, features = self.stack.pop()
+            self.depths[name].pop()
+            if words:
+                self.worded.pop()
+            for x in features:
+                self.features[x] -= 1
+                if not self.features[x]:
+                    del self.features[x]
+        while self.links and self.links[-1] >= depth:
+            self.links.pop()
+
+    def last(self, *names: str) -> int:
+        """The depth of the innermost open element of these names, or -1."""
+        return max((self.depths[name][-1] for name in names if self.depths.get(name)), default=-1)
+
+
+def leaf_blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
+    """The non-empty leaf blocks of a whole page, in page order.
+
+    known: the features of ancestors that are wanted, all if None; so that a page of ever
+    deeper elements with ever new words makes no more features than a model has.
+    """
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = _OpenElements(known)
     blocks: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -58,12 +110,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            blocks.append(Block(text, _features(text, stack, linked)))
+            blocks.append(Block(text, _features(text, opened, linked)))
         linked = 0
 
-    def pop_to(depth: int) -> None:
-        del stack[depth:]
-
     size = len(page)
     while at < size:
         tag = _TAG.search(page, at)
@@ -72,7 +121,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             piece = page[at:end]
             piece = entities.unescape(piece) if "&" in piece else piece
             parts.append(piece)
-            if any(name == "a" for name, _ in stack[-4:]):
+            if opened.links:
                 linked += len(piece.strip())
         if not tag:
             break
@@ -84,10 +133,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag["close"]:
             if name in _BLOCK:
                 flush()
-            for depth in range(len(stack) - 1, max(-1, len(stack) - 60), -1):
-                if stack[depth][0] == name:
-                    pop_to(depth)
-                    break
+            if opened.depths.get(name):
+                opened.pop_to(opened.last(name))
             continue
         if name in _RAW:
             if name in _BLOCK:
@@ -99,19 +146,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name in _BLOCK:
             flush()
             if name in _CLOSES_P:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == "p":
-                        pop_to(depth)
-                        break
-                    if stack[depth][0] in ("div", "article", "section", "body", "td", "li", "main", "blockquote"):
-                        break
+                depth = opened.last("p")
+                if depth > opened.last("div", "article", "section", "body", "td", "li", "main", "blockquote"):
+                    opened.pop_to(depth)
             if name in ("li", "td", "th", "tr", "dt", "dd", "option"):
-                for depth in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
-                    if stack[depth][0] in (name, "th" if name == "td" else name):
-                        pop_to(depth)
-                        break
-                    if stack[depth][0] in ("ul", "ol", "table", "dl", "select"):
-                        break
+                depth = opened.last(name, "th" if name == "td" else name)
+                if depth > opened.last("ul", "ol", "table", "dl", "select"):
+                    opened.pop_to(depth)
         if name == "br":
             parts.append(" ")
         if name in _VOID or tag["attrs"].endswith("/>"):
@@ -120,24 +161,17 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if "=" in tag["attrs"]:
             for found in _ATTRIBUTE.findall(tag["attrs"]):
                 words += _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower())
-        stack.append((name, tuple(words)))
+        opened.push(name, tuple(words), name == "a" and _HREF.search(tag["attrs"]) is not None)
     flush()
     return blocks
 
 
-def _features(text: str, stack: list[tuple[str, tuple[str, ...]]], linked: int) -> list[str]:
-    own = next((name for name, _ in reversed(stack) if name in _BLOCK), "none")
-    found = {"bias", f"own:{own}"}
-    for name, words in stack[-40:]:
-        if name in _BLOCK:
-            found.add(f"in:{name}")
-        for word in words:
-            found.add(f"word:{word}")
-            if len(word) > 4:
-                found.add(f"head:{word[:4]}")
-    up = next((name for name, _ in reversed(stack) if name in _BLOCK and name not in (own, "p", "b")), "none")
-    found.add(f"up:{up}>{own}")
-    found |= {f"near:{word}" for word in next((words for _, words in reversed(stack) if words), ())}
+def _features(text: str, opened: _OpenElements, linked: int) -> list[str]:
+    blocks = sorted(((depths[-1], name) for name in _BLOCK if (depths := opened.depths[name])), reverse=True)
+    own = blocks[0][1] if blocks else "none"
+    up = next((name for _, name in blocks if name not in (own, "p", "b")), "none")
+    found = {"bias", f"own:{own}", f"up:{up}>{own}", *opened.features}
+    found |= {f"near:{word}" for word in (opened.worded[-1] if opened.worded else ())}
     n = text.count(" ") + 1
     found.add(f"words:{min(6, n.bit_length())}")
     found.add(f"links:{min(4, 4 * linked // max(1, len(text)))}")
@@ -177,7 +211,7 @@ class TaggerModel:
         return out[::-1]
 
     def main_text(self, page: str | None) -> str:
-        blocks = leaf_blocks(page)
+        blocks = leaf_blocks(page, self.weights)
         return " ".join(b.text for b, keep in zip(blocks, self.labels(blocks)) if keep)
 
 

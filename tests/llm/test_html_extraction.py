@@ -29,6 +29,21 @@ def test_broken_pages():
     assert h.leaf_blocks('<article><p class="a>b>One quote is open.</p></article>')[0].text.endswith("open.")
 
 
+def test_all_ancestors_count():
+    model = h.trained()
+    story = "<article><h1>A title</h1><p>First text stands here, and it goes on for a while.</p></article>"
+    reply = "<p>I liked it a lot, and so did all of the others here.</p>"
+    for depth in (3, 45, 400):
+        assert model.main_text(f'<body>{story}<section id="comments" class="comments">{"<div>" * depth}<div class="text">{reply}</div>{"</div>" * depth}</section></body>') == "A title First text stands here, and it goes on for a while."
+    for n in (3, 70, 400):
+        side = f'<div class="sidebar"><h3>Related</h3>{"<font>" * n}Other things</div>'
+        assert model.main_text(f"<body>{side}{story}</body>") == "A title First text stands here, and it goes on for a while."
+        assert all(not {"word:sidebar", "near:sidebar"} & {*b.features} for b in h.leaf_blocks(f"<body>{side}{story}</body>")[2:])
+    link = h.leaf_blocks('<p><a href="/"><b><i><u><s><em>All of it a link</em></s></u></i></b></a></p><div><a name="top">Not a link<p>Nor this</div>')
+    assert [f for b in link for f in b.features if f.startswith("links:")] == ["links:4", "links:0", "links:0"]
+    assert len(h.leaf_blocks("<b>" * 100_000 + "<p>x" * 20_000)) == 20_000
+
+
 def test_viterbi_equals_all_labellings():
     from itertools import product
 
