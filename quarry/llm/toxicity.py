@@ -5,11 +5,16 @@ itself; a passage is the average of its words' embeddings, and a softmax over it
 toxic or not. Embeddings and softmax are trained jointly by gradient steps in numpy. An
 unseen misspelling shares n-grams, and so embeddings, with the words it comes from.
 
-Toxic documents are mostly clean text, so the passage that speaks for a document is its
-most toxic run of WINDOW words. A word of more than WORD_BYTES bytes is read as its
-overlapping pieces, each a word of its own. Training starts from whole documents, by their words
-alone, and goes on, epoch by epoch, from the window of each document that scores highest
-at that time: in clean documents that is the one most wrongly suspected.
+Toxic documents are mostly clean text. So training starts from whole documents, by their
+words alone, and goes on, epoch by epoch, from the run of WINDOW words of each document
+that scores highest at that time: in clean documents that is the one most wrongly
+suspected. A whole document is then judged by the average, over all its words, of the
+softmax's toxic probability of a word, against the average that tells the labelled sample
+apart best. In addition it is toxic if a run of WINDOW words scores above nearly all such
+runs of the clean sample, so that one plain insult in a long text counts.
+
+A word of more than WORD_BYTES bytes is read as its overlapping pieces, each a word of its
+own.
 """
 
 from __future__ import annotations
@@ -40,6 +45,10 @@ PIECE_BYTES, PIECE_STEP = 16, 6
 #: Words whose n-grams are made at once in scoring.
 WORDS_AT_ONCE = 20_000
 EPOCHS = 14
+#: A clean document that is flagged weighs so much more than a toxic one that is missed.
+CLEAN_WEIGHT = 4
+#: The share of clean labelled documents whose most toxic run of words may lie above the cut of runs.
+CLEAN_RUNS_ABOVE = 0.001
 
 
 def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,13 +130,25 @@ def _best_windows(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return first, held, best
 
 
+def _probability(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+
+
+def _averages(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The mean of each text's words' values; 0 without words."""
+    sums = np.concatenate([[0.0], np.cumsum(values)])
+    return np.maximum(0.0, sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(1, np.diff(offsets))
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     values: np.ndarray  # of each bucket: its embedding times the difference of the softmax weights
     bias: float
+    average_cut: float  # the average probability, and
+    run_cut: float  # the value of a run of words, from which on a document is toxic
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """0 to 1 for each whole text; near 0 for one without words."""
+        """0 to 1 for each whole text, THRESHOLD where it is as toxic as either cut; 0 for one without words."""
         out = np.zeros(len(texts))
         for at in range(0, len(texts), 500):
             offsets, codes, words = worded(texts.slice(at, 500))
@@ -135,15 +156,30 @@ class ToxicityModel:
             for part in range(0, len(words), WORDS_AT_ONCE):
                 starts, buckets = subwords(words.slice(part, WORDS_AT_ONCE))
                 own[part : part + WORDS_AT_ONCE] = np.add.reduceat(self.values[buckets], starts[:-1]) / np.diff(starts)
-            best = _best_windows(own[codes], offsets)[2]
-            out[at : at + 500] = np.where(np.diff(offsets) > 0, best + self.bias, -4.0)
-        return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
+            average = _averages(_probability(own + self.bias)[codes], offsets)
+            run = _best_windows(own[codes], offsets)[2]
+            found = np.maximum(average / (average + self.average_cut), _probability(run - self.run_cut))
+            out[at : at + 500] = np.where(np.diff(offsets) > 0, found, 0.0)
+        return out
+
+
+def _best_cut(values: np.ndarray, toxic: np.ndarray, clean_weight: float) -> float:
+    """The middle of the gap at which labelled values are told apart best."""
+    cuts = np.unique(np.concatenate([np.quantile(values[toxic == k], np.linspace(0, 1, 801)) for k in (0, 1)]))
+    middles = (cuts[1:] + cuts[:-1]) / 2
+    if not len(middles):
+        return float(values[0])
+    caught = 1 - np.searchsorted(np.sort(values[toxic == 1]), middles) / (toxic == 1).sum()
+    spared = np.searchsorted(np.sort(values[toxic == 0]), middles) / (toxic == 0).sum()
+    worth = caught + clean_weight * spared
+    return float(np.mean(middles[worth >= worth.max() - 1e-9][[0, -1]]))
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> ToxicityModel:
     """The jointly trained model of labelled texts; without both labels, a constant one."""
     if not len(texts) or toxic.min() == toxic.max():
-        return ToxicityModel(np.zeros(1 << BUCKET_BITS), 4.0 if len(texts) and toxic[0] else -4.0)
+        always = bool(len(texts) and toxic[0])
+        return ToxicityModel(np.zeros(1 << BUCKET_BITS), 0.0, 1e-6 if always else 1e6, 40.0)
     rng = np.random.default_rng(seed)
     offsets, codes, words = worded(texts)
     starts, buckets = subwords(words)
@@ -186,15 +222,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> ToxicityModel:
             bias -= 2.0 * error.sum(0)
     values = table @ (softmax[:, 1] - softmax[:, 0])
     own = np.add.reduceat(values[buckets], starts[:-1]) / widths
-    best = _best_windows(own[codes], offsets)[2]
-    # The bias at which the labelled sample is told apart best: labels have slips, clean text is common.
-    cuts = np.unique(np.concatenate([np.quantile(best[toxic == k], np.linspace(0, 1, 801)) for k in (0, 1)]))
-    middles = (cuts[1:] + cuts[:-1]) / 2
-    caught = 1 - np.searchsorted(np.sort(best[toxic == 1]), middles) / (toxic == 1).sum()
-    spared = np.searchsorted(np.sort(best[toxic == 0]), middles) / (toxic == 0).sum()
-    worth = caught + 6 * spared
-    cut = float(np.mean(middles[worth >= worth.max() - 1e-9][[0, -1]])) if len(middles) else 0.0  # the middle of the gap
-    return ToxicityModel(values, -cut)
+    run = _best_windows(own[codes], offsets)[2]
+    bias_of_words = -_best_cut(run, toxic, CLEAN_WEIGHT)
+    average = _averages(_probability(own + bias_of_words)[codes], offsets)
+    run_cut = float(np.quantile(run[toxic == 0], 1 - CLEAN_RUNS_ABOVE)) + 1.0
+    return ToxicityModel(values, bias_of_words, max(1e-9, _best_cut(average, toxic, CLEAN_WEIGHT)), run_cut)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> ToxicityModel:

@@ -1,9 +1,11 @@
 """Held-out accuracy of the trained operators on small generated languages."""
 
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import functions as F
 
 from quarry.llm import features, language_id, quality_classifier, toxicity
@@ -99,3 +101,80 @@ def test_awkward_rows(awkward, spark):
     assert quality_classifier.scored(awkward, quality_classifier.trained(awkward, labels)).count() == awkward.count()
     assert toxicity.scored(awkward, toxicity.trained(awkward, labels)).count() == awkward.count()
     assert language_id.identified(awkward, language_id.trained(awkward)).count() == awkward.count()
+
+
+def plain_words(text):
+    return [w for w in regex.split(r"[\s\p{P}\p{S}]+", (text or "").lower()) if w]
+
+
+def test_toxicity_equals_plain_scores():
+    rng = random.Random(9)
+    texts = [text_in(rng, "aa") + (" grumblefink ka grumblefink" if i % 4 == 0 else "") for i in range(120)]
+    model = toxicity.fit(pa.array(texts), np.array([int(i % 4 == 0) for i in range(120)]))
+
+    def value(word):
+        starts, buckets = toxicity.subwords(pa.array([word]))
+        assert len(buckets) == 1 + sum(max(0, len(word.encode()) + 3 - n) for n in toxicity.SIZES)
+        return float(np.mean(model.values[buckets]))
+
+    def plain(text):
+        own = [value(w) for w in plain_words(text)]
+        if not own:
+            return 0.0
+        average = sum(1 / (1 + math.exp(-(v + model.bias))) for v in own) / len(own)
+        run = max((sum(own[i : i + 2]) / 2 for i in range(len(own) - 1)), default=own[0])
+        return max(average / (average + model.average_cut), 1 / (1 + math.exp(-max(-40.0, min(40.0, run - model.run_cut)))))
+
+    cases = [*texts[:30], "Ka, TA! grumblefinks", "ka", "", None, "...", "été 中文 ka", *[text_in(rng, "cc", 700)]]
+    assert np.allclose(model.scores(pa.array(cases)), [plain(t) for t in cases], atol=1e-9)
+    twice = model.scores(pa.array([texts[0], texts[1], texts[0]]))
+    assert twice[0] == twice[2]  # ties: equal texts score alike wherever they stand
+
+
+def test_language_id_equals_plain_cosines():
+    rng = random.Random(10)
+    rows = [(text_in(rng, lang), lang) for lang in ("aa", "bb", "cc") for _ in range(20)]
+    model = language_id.fit(np.array([language_id.ngram_counts(t) for t, _ in rows]), [lang for _, lang in rows])
+    wrap = 1 << 32
+
+    def counts(text):
+        letters = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        raw, out = f" {letters} ".encode() if letters else b"", np.zeros(language_id.BUCKETS)
+        for at in range(len(raw)):
+            h = raw[at] * 0x9E3779B1 % wrap
+            for k in range(3):
+                if at + k < len(raw):
+                    if k:
+                        h = ((h ^ raw[at + k] * (0, 0x85EBCA77, 0x27D4EB2F)[k] % wrap) * (0, 0xC2B2AE3D, 0x165667B1)[k]) % wrap
+                    out[((h + k * 0x3C6EF372) % wrap * 0x9E3779B1 % wrap) >> 19] += 1
+        return out
+
+    for text in [*(t for t, _ in rows[::7]), "Ka ta, ma 12 ra!", "Été où", "x", "中文 text"]:
+        found = counts(text)
+        assert (found == language_id.ngram_counts(text)).all()
+        vector = np.log1p(found) * model.idf
+        cosines = [float(vector @ c) / float(np.linalg.norm(vector)) for c in model.centroids]
+        lang, score, rejected = model.predict(text)
+        best = max(range(len(cosines)), key=cosines.__getitem__)  # ties go to the first centroid, in the order of languages
+        assert lang == model.languages[best] and abs(score - min(1, max(0, cosines[best]))) < 1e-6
+        assert rejected == (1 - cosines[best] > model.limits[best])
+
+
+def test_quality_equals_plain_pairwise_ranking():
+    """The weights have no gradient left in the pairwise loss, and scores are a rising function of w . f."""
+    rng = np.random.default_rng(3)
+    features_of = np.clip(rng.normal(0.4, 0.2, (300, len(features.NAMES))), 0, 1)
+    good = (features_of[:, 0] + 0.3 * rng.normal(size=300) < 0.5).astype(int)
+    model = quality_classifier.fit(features_of, good, seed=7)
+    z = (quality_classifier.expanded(features_of) - model.mean) / model.spread
+    draw = np.random.default_rng(7)
+    n = quality_classifier.PAIRS_PER_DOCUMENT * 300
+    winners, losers = draw.choice(np.flatnonzero(good == 1), n), draw.choice(np.flatnonzero(good == 0), n)
+    gradient = 1e-3 * n * model.weights
+    for a, b in zip(winners, losers):
+        gap = z[a] - z[b]
+        gradient -= gap / (1 + math.exp(gap @ model.weights))
+    assert np.abs(gradient).max() < 1e-3 * n
+    raw = z @ model.weights
+    assert (np.argsort(raw, kind="stable") == np.argsort(model.scores(features_of), kind="stable")).mean() > 0.99
+    assert ((raw >= model.cut) == (model.scores(features_of) >= quality_classifier.THRESHOLD)).all()
