@@ -1,28 +1,33 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a bigram model interpolated with smoothed single words:
-
-    P(w | h) = (1 - b) * c(h, w) / c(h) + b * P(w),    P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
-
-with counts over all training documents, and b the share of word pairs that occur once:
-how often a pair turned out new. With every pair kept, as the query does, the
-probabilities of a state's words add up to 1; a caller that prunes pairs below min_pair
-gives their mass away.
-As an automaton, a state stands for the last word; it has an arc for each pair kept, and
-a failure arc of weight b to the root, which has an arc for each word. A text is
-traversed once from left to right, from the state of the text's start to its end token,
-and the log-probabilities of the arcs taken add up to its score. From a word that the
-training documents lack the root is the state. As a state is the word before, the arcs
-of all tokens of a block are looked up together.
-
-Nothing is sampled and the model isn't broadcast: it grows with the corpus. Documents
-are dealt into blocks by a hash. A block counts its pairs and words, and sends them to
-buckets of a hash; a bucket adds up the blocks' counts and answers each block, in the
-block's own order, with the totals of what it asked about and with its part of N, V and
-of the pairs that occur once. The block then holds the part of the automaton that its
-own documents can reach. A frequent word is one row a block in its bucket.
-
-Words and pairs are keyed by 64-bit hashes.
+The model has the states of the last two words, of the last word and a root:
+
+    P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
+    P(w | v) = (c(v, w) + m2 * P(w)) / (c(v) + m2)
+    P(w | u, v) = (c(u, v, w) + m3 * P(w | v)) / (c(u, v) + m3)
+
+with counts over all training documents (Dirichlet smoothing). m2 and m3 are how many
+different words follow a word, and a pair of words, on average. A state has an arc for
+each word that followed it in training and a failure arc to the state of one word less,
+whose weight is the mass that the state leaves over, m / (c + m): much for a rare state,
+little for a frequent one. So from every state the words' probabilities, the unknown
+word's included, add up to 1. A state that training lacks fails at weight 1.
+
+A text is traversed once from left to right, from the state of the text's start to its
+end token, and the log-probabilities of the arcs taken add up to its score. As the state
+after a word is made of the last two words, the arcs of all tokens of a block are looked
+up together.
+
+Nothing is sampled or pruned and the model isn't broadcast: it grows with the corpus.
+Documents are dealt into blocks by a hash. A block counts its words, pairs and triples,
+and sends them to buckets of a hash; a bucket adds up the blocks' counts and answers each
+block, in the block's own order, with the totals of what it asked about and with its part
+of N and of the numbers of different words, pairs and triples. The block then holds the
+part of the automaton that its own documents can reach. A frequent word, pair or triple
+is one row a block in its bucket. Blocks and buckets grow in number with the characters
+of the corpus.
+
+Words are keyed by 64-bit hashes, pairs and triples by 56 bits of one.
 """
 
 from __future__ import annotations
@@ -34,12 +39,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.tokens import mixed, packed, release_memory, unpacked, word_codes
 
-#: Where a caller doesn't say: pairs that occur less often in the training documents back off.
-MIN_PAIR = 2
-#: Characters of text in a block, on average.
-BLOCK_CHARACTERS = 12_000_000
+#: Characters of text for each block and for each bucket, on average. There are at least as many of both as
+#: shuffle partitions. Blocks times buckets rows are shuffled: for a very large corpus raise both numbers.
+BLOCK_CHARACTERS, BUCKET_CHARACTERS = 8_000_000, 32_000_000
 ALPHA = 0.1
 _START, _END = np.uint64(0x5B8D1F2A3C4E6071), np.uint64(0x1D2E3F4A5B6C7D8F)
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+WORDS, PAIRS, TRIPLES = range(3)
 
 ASKED = "bucket int, block int, n int, keys binary, counts binary"
 ANSWERED = "block int, bucket int, n int, totals binary, sums array<long>"
@@ -58,132 +64,145 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([[0], ends + 1]), out, np.concatenate([np.array([_END, _START]), hashes])
 
 
-def _pair_codes(offsets: np.ndarray, codes: np.ndarray, n_words: int) -> np.ndarray:
-    """history code * n_words + word code at each token."""
-    before = np.concatenate([[1], codes[:-1]])
-    before[offsets[:-1]] = 1
-    return before * n_words + codes
+class _Grams:
+    """The different words, pairs and triples of a block's tokens, and which of them each token ends."""
 
+    def __init__(self, offsets: np.ndarray, codes: np.ndarray, n_words: int) -> None:
+        first = np.zeros(len(codes), bool)
+        first[offsets[:-1]] = True
+        before = np.concatenate([[1], codes[:-1]])
+        before[first] = 1
+        self.n_words, self.codes, self.inner = n_words, codes, ~first
+        self.words = np.unique(codes)
+        self.pairs, self.pair_at = np.unique(before * n_words + codes, return_inverse=True)
+        history = np.concatenate([[0], self.pair_at[:-1]])[self.inner]
+        self.triples, self.triple_at = np.unique(history * n_words + codes[self.inner], return_inverse=True)
 
-def _keys(offsets: np.ndarray, codes: np.ndarray, hashes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Word and pair keys of a block with their training counts, in the order of the keys.
+    def keys(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pair = mixed(hashes[self.pairs // self.n_words] * _LEFT + hashes[self.pairs % self.n_words] * _RIGHT)
+        triple = mixed(pair[self.triples // self.n_words] * _LEFT + hashes[self.triples % self.n_words] * _RIGHT)
+        return mixed(hashes[self.words]), pair >> np.uint64(8), triple >> np.uint64(8)
 
-    (word keys, word counts, code of each key, pair keys, pair counts, pair code of each key)
-    """
-    taught = np.repeat(train, np.diff(offsets))
-    words = np.unique(codes)
-    word_counts = np.bincount(codes[taught], minlength=len(hashes))[words]
-    word_keys = mixed(hashes[words])
-    order = np.argsort(word_keys)
-    pairs, slot = np.unique(_pair_codes(offsets, codes, len(hashes)), return_inverse=True)
-    pair_counts = np.bincount(slot[taught], minlength=len(pairs))
-    pair_keys = mixed(hashes[pairs // len(hashes)] * np.uint64(0x9E3779B97F4A7C15) + hashes[pairs % len(hashes)] * np.uint64(0xC2B2AE3D27D4EB4F))
-    pair_order = np.argsort(pair_keys)
-    return word_keys[order], word_counts[order], words[order], pair_keys[pair_order], pair_counts[pair_order], pairs[pair_order]
-
-
-def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    bounds = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
+    def counts(self, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each occurs at the tokens that teach."""
+        words = np.bincount(self.codes[taught], minlength=self.n_words)[self.words]
+        return words, np.bincount(self.pair_at[taught], minlength=len(self.pairs)), np.bincount(self.triple_at[taught[self.inner]], minlength=len(self.triples))
+
+
+def _grams_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, _Grams, np.ndarray]:
+    """(offsets, hashes, grams, which tokens teach) of a block's rows."""
+    offsets, codes, hashes = _tokens(table.column("text"))
+    train = table.column("train").combine_chunks().to_numpy(zero_copy_only=False)
+    return offsets, hashes, _Grams(offsets, codes, len(hashes)), np.repeat(train, np.diff(offsets))
+
+
+def _bucket_edges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    bounds = (np.arange(1, buckets, dtype=object) * (1 << bits) // buckets).astype(np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
 def _questions(buckets: int):
-    """The rows of a block's keys, one of words and one of pairs for each bucket."""
+    """The rows of a block's keys, one of words, one of pairs and one of triples for each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        offsets, codes, hashes = _tokens(table.column("text"))
-        train = table.column("train").combine_chunks().to_numpy(zero_copy_only=False)
-        word_keys, word_counts, _, pair_keys, pair_counts, _ = _keys(offsets, codes, hashes, train)
-        release_memory()
+        _, hashes, grams, taught = _grams_of(table)
+        counted = grams.counts(taught)
         rows = []
-        for kind, keys, counts in ((0, word_keys, word_counts), (1, pair_keys, pair_counts)):
-            edges = _bucket_edges(keys, buckets)
+        for kind, keys in enumerate(grams.keys(hashes)):
+            order = np.argsort(keys)
+            keys, counts = keys[order], counted[kind][order].astype(np.uint32)
+            edges = _bucket_edges(keys, buckets, 64 if kind == WORDS else 56)
             for b in range(buckets):
                 lo, hi = edges[b], edges[b + 1]
                 steps = np.diff(keys[lo:hi], prepend=np.uint64(0))
-                rows.append((2 * b + kind, block, int(hi - lo), packed(steps), packed(counts[lo:hi].astype(np.uint32))))
+                rows.append((3 * b + kind, block, int(hi - lo), packed(steps), packed(counts[lo:hi])))
+        del grams
+        release_memory()
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "block", "n", "keys", "counts"])
 
     return run
 
 
-def _answers(min_pair: int):
-    """Totals of a bucket's keys for each block, in the block's order; of pairs, 0 below min_pair.
-
-    sums: tokens, different keys and keys that occur once, of the whole bucket.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        bucket = rows[0]["bucket"]
-        keys = [np.cumsum(unpacked(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows]
-        counts = [unpacked(r["counts"], r["n"], np.uint32) for r in rows]
-        known, slot = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(slot, np.concatenate(counts), len(known)).astype(np.int64)
-        sums = [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum())]
-        told = np.where(totals >= min_pair, totals, 0) if bucket % 2 else totals
-        out, at = [], 0
-        for r in rows:
-            out.append((r["block"], bucket, r["n"], packed(told[slot[at : at + r["n"]]]), sums))
-            at += r["n"]
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "bucket", "n", "totals", "sums"])
-
-    return run
+def _answers(table: pa.Table) -> pa.Table:
+    """Totals of a bucket's keys for each block, in the block's order; sums: tokens and different keys of the whole bucket."""
+    rows = table.to_pylist()
+    bucket = rows[0]["bucket"]
+    keys = [np.cumsum(unpacked(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows]
+    counts = [unpacked(r["counts"], r["n"], np.uint32) for r in rows]
+    known, slot = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    totals = np.bincount(slot, np.concatenate(counts), len(known)).astype(np.int64)
+    sums = [int(totals.sum()), int((totals > 0).sum())]
+    out, at = [], 0
+    for r in rows:
+        out.append((r["block"], bucket, r["n"], packed(totals[slot[at : at + r["n"]]]), sums))
+        at += r["n"]
+    release_memory()
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "bucket", "n", "totals", "sums"])
+
+
+def _totals(kind: int, keys: np.ndarray, rows: list[dict]) -> tuple[np.ndarray, int, int]:
+    """(total of each key, tokens, different keys) from the buckets' answers."""
+    rows = [r for r in rows if r["bucket"] % 3 == kind]
+    out = np.zeros(len(keys), np.int64)
+    if rows:
+        out[np.argsort(keys)] = np.concatenate([unpacked(r["totals"], r["n"], np.int64) for r in rows])
+    return out, sum(r["sums"][0] for r in rows), sum(r["sums"][1] for r in rows)
 
 
 def _scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """The scores of a block's documents by the part of the automaton that they can reach."""
-    offsets, codes, hashes = _tokens(docs.column("text"))
-    train = docs.column("train").combine_chunks().to_numpy(zero_copy_only=False)
-    _, _, words, _, _, pairs = _keys(offsets, codes, hashes, train)
+    offsets, hashes, grams, _ = _grams_of(docs)
     rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-    totals = {kind: np.concatenate([unpacked(r["totals"], r["n"], np.int64) for r in rows if r["bucket"] % 2 == kind]) for kind in (0, 1)}
-    tokens, different, _ = np.sum([r["sums"] for r in rows if r["bucket"] % 2 == 0], axis=0)
-    pair_tokens, _, once = np.sum([r["sums"] for r in rows if r["bucket"] % 2], axis=0)
-    back = min(0.999, max(0.001, once / pair_tokens)) if pair_tokens else 1.0
-    count = np.zeros(len(hashes))
-    count[words] = totals[0]
-    base = np.log10((count + ALPHA) / (tokens + ALPHA * (different + 1)))
+    words, pairs, triples = (_totals(kind, keys, rows) for kind, keys in enumerate(grams.keys(hashes)))
+    del rows
+    tokens, different = words[1:]
+    n_words = grams.n_words
+    count = np.zeros(n_words)
+    count[grams.words] = words[0]
+    root = (count + ALPHA) / (tokens + ALPHA * (different + 1))
     history = count.copy()
     history[1] = count[0]  # a text starts as often as it ends
-    history[0] = 0
-    failure = np.where(history > 0, np.log10(back), 0.0)
-    kept = totals[1] > 0
-    left, right = pairs // len(hashes), pairs % len(hashes)
-    weight = failure[left] + base[right]
-    weight[kept] = np.log10((1 - back) * totals[1][kept] / history[left[kept]] + back * 10 ** base[right[kept]])
-    order = np.argsort(pairs)
-    taken = weight[order][np.searchsorted(pairs[order], _pair_codes(offsets, codes, len(hashes)))]
-    known = np.concatenate([[0], np.cumsum(count[codes] > 0)])
+    # the mean number of different words after a word, and after a pair
+    after_word, after_pair = max(1.0, pairs[2] / max(1, different)), max(1.0, triples[2] / max(1, pairs[2]))
+    left, right = grams.pairs // n_words, grams.pairs % n_words
+    second = (pairs[0] + after_word * root[right]) / (history[left] + after_word)
+    before, last = grams.triples // n_words, grams.triples % n_words
+    shorter = np.searchsorted(grams.pairs, right[before] * n_words + last)
+    third = (triples[0] + after_pair * second[shorter]) / (pairs[0][before] + after_pair)
+    taken = second[grams.pair_at]
+    taken[grams.inner] = third[grams.triple_at]
+    known = np.concatenate([[0], np.cumsum(count[grams.codes] > 0)])
+    summed = lambda x: np.add.reduceat(np.log10(x), offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
     return pa.table({
         "doc_id": docs.column("doc_id"),
         "held_out": docs.column("held_out"),
         "n_tokens": np.diff(offsets).astype(np.int64),
         "n_known": (known[offsets[1:]] - known[offsets[:-1]]).astype(np.int64),
         "train_tokens": np.full(len(offsets) - 1, tokens, np.int64),
-        "base_score": np.add.reduceat(base[codes], offsets[:-1]) if len(offsets) > 1 else np.zeros(0),
-        "score": np.add.reduceat(taken, offsets[:-1]) if len(offsets) > 1 else np.zeros(0),
+        "base_score": summed(root[grams.codes]),
+        "score": summed(taken),
     })
 
 
-def model_scores(docs: DataFrame, held_out: Column, min_pair: int = MIN_PAIR) -> DataFrame:
+def model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """SCORED rows for every row of `docs` (doc_id, text), by a model of the rows not held out.
 
     n_tokens counts the end token; n_known the tokens that the training rows have. A null
     text is empty: it scores its end token. Null doc_ids and repeated rows are scored (and
     counted) each; an empty table gives an empty one. Without training rows every token
-    has the probability of an unknown one. Pairs seen less than min_pair times back off.
-    Other columns of `docs` are not read.
+    has the probability of an unknown one. Other columns of `docs`, whatever their names,
+    are not read.
     """
-    spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     characters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = int(characters // BLOCK_CHARACTERS) + 1
+    buckets = max(partitions, -(-characters // BUCKET_CHARACTERS))
+    blocks = max(partitions, -(-characters // BLOCK_CHARACTERS))
     dealt = rows.withColumn("train", ~F.col("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     questions = dealt.groupBy("block").applyInArrow(_questions(buckets), ASKED)
-    answers = questions.groupBy("bucket").applyInArrow(_answers(min_pair), ANSWERED)
+    answers = questions.groupBy("bucket").applyInArrow(_answers, ANSWERED)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores, SCORED)

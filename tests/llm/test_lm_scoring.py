@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -11,23 +12,30 @@ from tests.llm.helpers import crc, words
 HELD_OUT = "crc32(cast(doc_id as string)) % 10 = 0"
 
 
-def brute(rows):
+def plain_model(rows):
+    """(scores of all rows, P(word, *history)) of the model of the rows not held out."""
     texts = [(i, [*words(t), "\n"]) for i, t in rows]
     train = [w for i, w in texts if i is None or crc(i, 10) != 0]
     c = Counter(x for w in train for x in w)
     n, v = sum(c.values()), len(c)
     pairs = Counter(p for w in train for p in zip(["\t", *w], w))
-    back = min(0.999, max(0.001, sum(x == 1 for x in pairs.values()) / n))
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    history = lambda h: len(train) if h == "\t" else c[h]
+    triples = Counter(p for w in train for p in zip(["\t", *w], w, w[1:]))
+    c["\t"] = len(train)
+    after_word, after_pair = max(1, len(pairs) / max(1, v)), max(1, len(triples) / max(1, len(pairs)))
+
+    def p(w, *history):
+        """By recursion over ever shorter histories."""
+        if not history:
+            return (c[w] + 0.1) / (n + 0.1 * (v + 1))
+        seen, held, m = (c[history[0]], pairs[(*history, w)], after_word) if len(history) == 1 else (pairs[history], triples[(*history, w)], after_pair)
+        return (held + m * p(w, *history[1:])) / (seen + m)
+
     out = []
     for i, w in texts:
-        score = 0.0
-        for h, x in zip(["\t", *w], w):
-            k = pairs[h, x]
-            score += math.log10((1 - back) * k / history(h) + back * p(x)) if k >= 2 else math.log10(p(x)) + (math.log10(back) if history(h) else 0)
+        padded = ["\t", *w]
+        score = sum(math.log10(p(x, *padded[max(0, k - 1) : k + 1])) for k, x in enumerate(w))
         out.append((str(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), score))
-    return sorted(out)
+    return sorted(out), p
 
 
 @pytest.mark.parametrize("block", [500, 10**9])
@@ -37,40 +45,34 @@ def test_equals_a_plain_model(documents, monkeypatch, block):
     rows = [(i, " ".join(f"W{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(60)))) for i in range(80)] + [(200, None), (201, ""), (None, "w1 w2"), (202, "unseen words here")]
     got = lm_scoring.model_scores(documents(rows), F.expr(HELD_OUT)).collect()
     found = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
-    for a, b in zip(found, brute(rows), strict=True):
+    for a, b in zip(found, plain_model(rows)[0], strict=True):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9)
 
 
-def test_probabilities_do_not_exceed_one(documents):
-    """From each state the words' probabilities add up to 1 at most, as arcs of one text a word show."""
-    rows = [(i, t) for i, t in enumerate(["a b a b a c", "a b b", "c a b"] * 3)]
-    vocabulary = ["a", "b", "c", ""]
-    probes = [(1000 + k, f"{h} {w}".strip()) for k, (h, w) in enumerate((h, w) for h in "abc" for w in vocabulary)]
-    got = {r["doc_id"]: r["score"] for r in lm_scoring.model_scores(documents(rows + probes), F.col("doc_id") >= 1000).collect()}
-    alone = {h: got[1000 + 4 * k + 3] for k, h in enumerate("abc")}
-    for k, h in enumerate("abc"):
-        assert sum(10 ** (got[1000 + 4 * k + j]) for j in range(3)) <= 1 and alone[h] < 0
-
-
 def test_awkward_rows(awkward):
     assert lm_scoring.model_scores(awkward, F.expr(HELD_OUT)).count() == awkward.count()
     assert lm_scoring.model_scores(awkward.limit(0), F.expr(HELD_OUT)).count() == 0
     assert lm_scoring.model_scores(awkward, F.lit(True)).filter("train_tokens = 0 and n_known = 0").count() == awkward.count()
 
 
-def test_every_state_of_the_query_adds_up_to_one(documents, tmp_path, spark):
-    """P(word | state) taken from the scores of short texts, also for states whose pairs all occur once."""
-    free, held = ([i for i in range(3000) if (crc(i, 10) == 0) == h] for h in (False, True))
+def test_every_state_adds_up_to_one(documents, tmp_path, spark):
+    """All texts of up to three words score as the plain model, whose words' probabilities from each state add up to 1:
+    states of two words, of one and of the start, among them states that training has once or never."""
+    free, held = ([i for i in range(9000) if (crc(i, 10) == 0) == h] for h in (False, True))
     vocabulary = [*"abcdef", "unseen"]
-    probes = ["", *vocabulary, *(f"{h} {w}" for h in vocabulary for w in vocabulary)]
+    probes = [" ".join(x) for k in range(4) for x in itertools.product(vocabulary, repeat=k)]
     rows = [*zip(free, ["a b a b a c", "a b b", "c d e", "f a"]), *zip(held, probes)]
+    assert len(rows) == 404
     documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r for r in queries.op2_lm_scoring(spark, str(tmp_path)).collect()}
-    score = {t: 10 ** got[i]["score"] for i, t in zip(held, probes)}
-    base = {t: 10 ** got[i]["base_score"] for i, t in zip(held, probes)}
-    first = {"unseen": score["unseen"] / base[""]}
-    last = {w: score[f"unseen {w}"] / (first["unseen"] * base[w] / base[""]) for w in vocabulary}
-    first |= {w: score[w] / last[w] for w in vocabulary}
-    assert score[""] + sum(first.values()) == pytest.approx(1)
-    for h in vocabulary:
-        assert last[h] + sum(score[f"{h} {w}"] / first[h] / last[w] for w in vocabulary) == pytest.approx(1), h
+    got = {str(r["doc_id"]): r["score"] for r in queries.op2_lm_scoring(spark, str(tmp_path)).collect()}
+    plain, p = plain_model(rows)
+    assert got == {i: pytest.approx(score, rel=1e-9) for i, *_, score in plain}
+    for history in [(), ("\t",), *((u,) for u in vocabulary), *(("\t", u) for u in vocabulary), *itertools.product(vocabulary, repeat=2)]:
+        assert sum(p(w, *history) for w in [*vocabulary, "\n"]) == pytest.approx(1), history
+
+
+def test_clashing_columns(documents):
+    docs = documents([(1, "a b c"), (10, "a b")])
+    clashing = docs.withColumnRenamed("lang", "block").withColumnRenamed("source", "train").withColumn("held_out", F.lit("x"))
+    same = [lm_scoring.model_scores(d, F.expr(HELD_OUT)).orderBy("doc_id").collect() for d in (docs, clashing)]
+    assert same[0] == same[1]
