@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.chunking import table_pieces
+
 #: Extensions that are read, and those that may be uploaded, with the size limit.
 TEXT, IMAGES = ("md", "txt", "csv", "json"), ("png", "jpg", "jpeg", "webp")
 SUPPORTED = (*TEXT, "pdf", "docx", "xlsx", *IMAGES)
@@ -82,15 +84,7 @@ def xlsx_text(content: bytes, group: int = SHEET_GROUP) -> str:
         rows = [" | ".join(r) for r in cells if r]
         if not rows:
             continue
-        head = [f"[Sheet: {name}]", rows[0]]
-        groups, used = [list(head)], sum(map(len, head))
-        for row in rows[1:]:
-            if used + len(row) + 1 > group and len(groups[-1]) > 2:
-                groups.append(list(head))
-                used = sum(map(len, head))
-            groups[-1].append(row)
-            used += len(row) + 1
-        parts += ["\n".join(g) for g in groups]
+        parts += table_pieces(rows, group, (f"[Sheet: {name}]",))
     return "\n\n".join(parts)
 
 
