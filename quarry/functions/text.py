@@ -72,9 +72,14 @@ def split_sentences(text: Column) -> Column:
 
 def sanitized(text: Column) -> Column:
     """The text with each sentence that holds a high-severity match replaced."""
-    high = F.transform(high_findings(text), lambda f: f["matched"])
-    sentences = F.transform(split_sentences(text), lambda s: F.when(F.exists(high, lambda m: F.contains(s, m)), F.lit(L.FILTERED_SENTENCE)).otherwise(s))
-    return F.when(F.size(high) > 0, F.array_join(sentences, "")).otherwise(text)
+
+    def cleaned(row: Column) -> Column:
+        sentences = F.transform(split_sentences(row["text"]), lambda s: F.when(F.exists(row["high"], lambda m: F.contains(s, m)), F.lit(L.FILTERED_SENTENCE)).otherwise(s))
+        return F.when(F.size(row["high"]) > 0, F.array_join(sentences, "")).otherwise(row["text"])
+
+    # Through an array of one, so that the matches are found once for a text, not once for each of its sentences.
+    matched = F.transform(high_findings(text), lambda f: f["matched"])
+    return F.get(F.transform(F.array(F.struct(matched.alias("high"), text.alias("text"))), cleaned), F.lit(0))
 
 
 def findings_summary(findings: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import contains_pii
-from quarry.operators.retrieval import dense_top
+from quarry.functions.vectors import cosine
 
 #: Similarity of a hit, rows that are looked through, lifetimes in seconds.
 THRESHOLD, HOT_ROWS = 0.92, 500
@@ -18,9 +18,25 @@ def hot_set(cache: DataFrame) -> DataFrame:
     return cache.orderBy(F.desc("hits"), F.desc("created_at"), F.desc("id")).limit(HOT_ROWS)
 
 
+def nearest_cached(queries: DataFrame, cache: DataFrame, digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, score, hit): for each query (id, vector) the nearest row of the hot set of a cache
+    (id, vector, hits, created_at).
+
+    Of equally near rows the last in the hot set's order counts, the least often hit and
+    oldest. hit: whether it is near enough. The hot set has HOT_ROWS rows at most, so it is
+    broadcast.
+    """
+    order = Window.orderBy(F.desc("hits"), F.desc("created_at"), F.desc("id"))  # over HOT_ROWS rows
+    hot = hot_set(cache).withColumn("place", F.row_number().over(order)).select(F.col("id").alias("doc_id"), F.col("vector").alias("cached"), "place")
+    pairs = queries.select(F.col("id").alias("query_id"), "vector").crossJoin(F.broadcast(hot))
+    scored = pairs.select("query_id", F.struct(F.round(cosine(F.col("vector"), F.col("cached")), digits).alias("score"), "place", "doc_id").alias("near"))
+    best = scored.groupBy("query_id").agg(F.max("near").alias("near"))
+    return best.select("query_id", "near.doc_id", "near.score", (F.col("near.score") >= THRESHOLD).alias("hit"))
+
+
 def semantic_lookup(queries: DataFrame, cache: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of the nearest cached row at THRESHOLD or more."""
-    return dense_top(queries, cache, 1).filter(F.col("score") >= THRESHOLD).drop("rank")
+    """(query_id, doc_id, score) of the hot cached row that answers each query, where one is near enough."""
+    return nearest_cached(queries, cache).filter("hit").drop("hit")
 
 
 def counted_hits(cache: DataFrame, hits: DataFrame) -> DataFrame:

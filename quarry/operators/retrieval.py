@@ -21,6 +21,7 @@ MATRIX_CELLS = 4_000_000
 #: Vectors in a block of the dense search.
 BLOCK = 2_048
 TOKENS = r"[\p{L}\p{N}]+"
+HAN_OR_WORD = r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"
 
 
 def top(rows: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -72,14 +73,21 @@ def scaled_score(cosine: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKENS), F.lit(0))
+    """Lower-cased runs of letters and digits. Chinese has no spaces, so a run of its characters gives its overlapping
+    pairs, as words of two characters are the most; a single one is a word."""
+    text = F.lower(F.coalesce(text, F.lit("")))
+    runs = F.regexp_extract_all(text, F.lit(HAN_OR_WORD), F.lit(0))
+    pairs = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
+    split = F.flatten(F.transform(runs, lambda run: F.when(run.rlike(r"^\p{IsHan}{2,}$"), pairs(run)).otherwise(F.array(run))))
+    return F.when(text.rlike(r"\p{IsHan}"), split).otherwise(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)))
 
 
 def _idf(df: DataFrame, n: int) -> DataFrame:
     """(term, idf) of (term, df); what would be negative is a share of the mean of the positive ones."""
     idf = df.withColumn("idf", F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floor = F.lit(EPSILON) * F.avg(F.when(F.col("idf") > 0, F.col("idf"))).over(Window.partitionBy())
-    return idf.withColumn("idf", F.when(F.col("idf") < 0, F.coalesce(floor, F.lit(0.0))).otherwise(F.col("idf"))).select("term", "idf")
+    floor = idf.agg((F.lit(EPSILON) * F.avg(F.when(F.col("idf") > 0, F.col("idf")))).alias("floor"))  # one row
+    lifted = F.when(F.col("idf") < 0, F.coalesce("floor", F.lit(0.0))).otherwise(F.col("idf"))
+    return idf.crossJoin(F.broadcast(floor)).select("term", lifted.alias("idf"))
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, digits: int = 6) -> DataFrame:
@@ -116,9 +124,14 @@ def _joined_scores(asked: DataFrame, docs: DataFrame, digits: int) -> DataFrame:
 def _term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(counts of the terms, number of words) of each text."""
     texts = pc.utf8_lower(pc.fill_null(pc.take(texts, pa.array(np.arange(len(texts)))), ""))
+    texts = pc.replace_substring_regex(texts, r"(\p{Han}+)", r" \1 ")
     lists = pc.split_pattern_regex(texts, r"[^\pL\pN]+")
     words = lists.flatten()
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    chinese = pc.match_substring_regex(words, r"^\p{Han}{3,}$")
+    if pc.any(chinese).as_py():
+        parts = [[w[i : i + 2] for i in range(len(w) - 1)] if han else [w] for w, han in zip(words.to_pylist(), chinese.to_pylist())]
+        row, words = np.repeat(row, [len(p) for p in parts]), pa.array([x for p in parts for x in p], words.type)
     full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
     at = pc.fill_null(pc.index_in(words, terms), -1).to_numpy()
     hit = full & (at >= 0)
@@ -160,13 +173,13 @@ def _matrix_scores(asked: DataFrame, docs: DataFrame, k: int, digits: int) -> Da
         for batch in parts(batches):
             counts, sizes = _term_counts(batch.column("text"), terms)
             gains = idf * counts * (K1 + 1) / (counts + (K1 * (1 - B + B * sizes / mean))[:, None])
-            found = np.round(gains @ weights, digits)
+            found = gains @ weights
             kept = min(k, len(found))
             least = np.partition(found, len(found) - kept, axis=0)[len(found) - kept]
-            i, j = np.nonzero((found >= least) & (found > 0))  # ties with the last one kept stay until the ranking
+            i, j = np.nonzero((found >= least - 10.0**-digits) & (found > 0))  # ties with the last one kept stay until the ranking
             yield pa.record_batch({"query_id": np.array(ids, np.int64)[j], "doc_id": batch.column("id").to_numpy()[i], "score": found[i, j]})
 
-    return texts.mapInArrow(score, "query_id long, doc_id long, score double")
+    return texts.mapInArrow(score, "query_id long, doc_id long, score double").withColumn("score", F.round("score", digits))
 
 
 def fused(*ranked: DataFrame, candidates: int = CANDIDATES, digits: int = 9) -> DataFrame:
@@ -183,6 +196,27 @@ def reranked(candidates: DataFrame, relevance: Column, k: int = TOP_K) -> DataFr
     return top(candidates.withColumn("score", relevance).drop("rank"), k)
 
 
+def hybrid_search(dense: DataFrame, sparse: DataFrame, allowed: DataFrame | None, relevance: DataFrame, k: int = TOP_K, candidates: int = CANDIDATES) -> DataFrame:
+    """(query_id, doc_id, score, rank, reranked): dense and sparse ranks fused, cut to candidates, filtered by access,
+    reranked and filtered by thresholds.
+
+    dense, sparse: (query_id, doc_id, rank). allowed: (query_id, doc_id) that may be seen,
+    None for all; it is applied after the cut, so that a query may get less than k.
+    relevance: (query_id, doc_id, relevance) of a reranking model. A query of which the
+    model failed for a candidate (no row, or null) falls back to its fused order and keeps
+    its best k without thresholds.
+    """
+    fusion = fused(dense, sparse, candidates=candidates).withColumnRenamed("score", "fused").withColumnRenamed("rank", "fused_rank")
+    if allowed is not None:
+        fusion = permitted(fusion, allowed, ["query_id", "doc_id"])
+    own = Window.partitionBy("query_id")
+    rows = fusion.join(relevance.select("query_id", "doc_id", "relevance"), ["query_id", "doc_id"], "left").withColumn("reranked", F.every(F.col("relevance").isNotNull()).over(own))
+    best = threshold_filtered(reranked(rows.filter("reranked"), F.col("relevance"), k))
+    plain = top(rows.filter("not reranked").withColumn("score", F.col("fused")), k)
+    names = ["query_id", "doc_id", "score", "rank", "reranked"]
+    return best.select(*names).unionByName(plain.select(*names))
+
+
 def threshold_filtered(ranked: DataFrame) -> DataFrame:
     """Nothing if the best score is below MIN_TOP_SCORE, else scores of FLOOR and HEAD_RATIO of the best or more."""
     best = F.max("score").over(Window.partitionBy("query_id"))

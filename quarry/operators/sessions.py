@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A glossary of up to so many aliases is broadcast.
+GLOSSARY_ROWS = 10_000
+
+
 def session_list(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """Every session with its number of messages, 0 if it has none."""
     counts = messages.groupBy("session_id").agg(F.count("*").alias("msg_count"))
@@ -23,14 +27,18 @@ def last_turns(messages: DataFrame, n: int = 4, size: int = 200) -> DataFrame:
 def user_questions(messages: DataFrame, keyword: str | None = None) -> DataFrame:
     """Users' messages that contain the keyword, without regard to case."""
     rows = messages.filter("role = 'user'")
-    return rows if keyword is None else rows.filter(F.col("content").ilike(f"%{keyword}%"))
+    if keyword is None:
+        return rows
+    plain = "".join("\\" + c if c in "%_\\" else c for c in keyword)  # these stand for themselves
+    return rows.filter(F.col("content").ilike(f"%{plain}%"))
 
 
 def badcases(feedback: DataFrame, messages: DataFrame) -> DataFrame:
-    """Feedback rated down with its answer and the message before it."""
-    w = Window.partitionBy("session_id").orderBy("seq")
-    with_before = messages.withColumn("question", F.lag("content").over(w)).withColumnRenamed("content", "answer")
-    return feedback.filter("rating = 'down'").join(with_before, ["session_id", "seq"], "left").select("session_id", "seq", F.substring("question", 1, 100).alias("question"), F.substring("answer", 1, 200).alias("answer"))
+    """Feedback rated down with its answer and the message of the number before it, none where that is missing."""
+    answers = messages.select("session_id", "seq", F.col("content").alias("answer"))
+    questions = messages.select("session_id", (F.col("seq") + 1).alias("seq"), F.col("content").alias("question"))
+    down = feedback.filter("rating = 'down'").join(answers, ["session_id", "seq"], "left").join(questions, ["session_id", "seq"], "left")
+    return down.select("session_id", "seq", F.substring("question", 1, 100).alias("question"), F.substring("answer", 1, 200).alias("answer"))
 
 
 def feedback_overview(feedback: DataFrame, statuses: DataFrame) -> DataFrame:
@@ -63,7 +71,8 @@ def exported(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 def glossary_notes(questions: DataFrame, glossary: DataFrame) -> DataFrame:
     """(query_id, note): definitions (alias, definition, pos) of the aliases that a question contains, in the glossary's order."""
-    hits = questions.join(F.broadcast(glossary), F.contains(F.col("question"), F.col("alias")))
+    small = glossary.count() <= GLOSSARY_ROWS
+    hits = questions.join(F.broadcast(glossary) if small else glossary, F.contains(F.col("question"), F.col("alias")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("alias", F.lit("＝"), "definition").alias("t")))), lambda x: x["t"])
     notes = hits.groupBy("query_id").agg(F.array_join(parts, "；").alias("note"))
     return questions.select("query_id").join(notes, "query_id", "left").withColumn("note", F.coalesce("note", F.lit("")))

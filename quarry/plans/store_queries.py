@@ -164,8 +164,8 @@ def eval_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def miss_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as details of runs by quality: items of label toxic count as missed."""
-    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("run"), "doc_id", F.when(F.col("toxic") == 0, 1).alias("hit_rank"))
+    """Labels of each fifty documents as details of a run: items of label toxic count as missed."""
+    rows = table(spark, sf_dir, "labels").select(F.floor(F.col("doc_id") / 50).alias("run"), "doc_id", F.when(F.col("toxic") == 0, 1).alias("hit_rank"))
     runs = rows.groupBy("run").agg(F.collect_list(F.struct("doc_id", "hit_rank")).alias("details"))
     return runs.select("run", F.size("details").alias("total"), evaluation.miss_count(F.col("details")).alias("misses"))
 
@@ -195,6 +195,7 @@ ORACLE_SQL = {
     "badcases": f"WITH {_M}, {_F} SELECT f.session_id, f.seq, substr(q.content, 1, 100) AS question, substr(a.content, 1, 200) AS answer FROM f JOIN m a ON a.session_id = f.session_id AND a.seq = f.seq LEFT JOIN m q ON q.session_id = f.session_id AND q.seq = f.seq - 1 WHERE rating = 'down'",
     "feedback_overview": f"WITH {_M}, {_F} SELECT count(*) FILTER (rating = 'up') AS up, count(*) FILTER (rating = 'down') AS down, count(*) FILTER (rating = 'down' AND seq <> 1) AS pending FROM f",
     "session_groups": f"WITH {_M}, {_S}, g AS (SELECT CASE WHEN r_regionkey IS NULL OR r_regionkey >= 3 THEN 'default' ELSE CAST(session_id % 5 AS VARCHAR) END AS assistant_id, r_name, r_regionkey, updated_at FROM s LEFT JOIN region ON r_regionkey = session_id % 5) SELECT assistant_id, CASE WHEN assistant_id = 'default' THEN 'default' ELSE max(r_name) END AS name, count(*) AS n, max(updated_at) AS last_at FROM g GROUP BY assistant_id",
+    "session_export": f"WITH {_M}, {_S}, e AS (SELECT session_id, list({{'seq': seq, 'role': role, 'content': content}} ORDER BY seq) AS messages FROM m GROUP BY session_id) SELECT 'u' AS user, CAST(to_json({{'session_id': session_id, 'title': title, 'messages': messages}}) AS VARCHAR) AS session FROM s JOIN e USING (session_id)",
     "users_rich": "SELECT c_custkey AS user, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS sessions, (SELECT count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey) AS messages FROM customer",
     "user_stats": "SELECT o_custkey AS user, count(*) AS total, count(*) FILTER (o_orderdate = (SELECT max(o_orderdate) FROM orders)) AS today, count(*) FILTER (o_orderstatus = 'P') AS pending FROM orders GROUP BY 1",
     "upsert_latest": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
@@ -210,5 +211,5 @@ ORACLE_SQL = {
     "folder_stats": "SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY source",
     "cache_stats": "SELECT count(*) AS entries, CAST(coalesce(sum(c_custkey % 5), 0) AS BIGINT) AS hits FROM customer WHERE 10000 - c_acctbal <= 5000",
     "eval_trend": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS mode, max(o_totalprice) AS recall FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200) GROUP BY ALL",
-    "miss_count": "SELECT doc_id % 50 AS run, CAST(count(*) AS INTEGER) AS total, CAST(count(*) FILTER (toxic <> 0) AS INTEGER) AS misses FROM labels GROUP BY 1",
+    "miss_count": "SELECT CAST(doc_id // 50 AS BIGINT) AS run, CAST(count(*) AS INTEGER) AS total, CAST(count(*) FILTER (toxic <> 0) AS INTEGER) AS misses FROM labels GROUP BY 1",
 }

@@ -31,12 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or else the session's checkpoint folder.
 
-    Only where a session names none (tests on one machine) a folder below the system's
-    temporary one is taken.
+    Only where a session on one machine (tests) names neither, a folder below the system's
+    temporary one is taken; on a cluster that is an error.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints", "quarry")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return named or os.path.join(tempfile.gettempdir(), "checkpoints", "quarry")
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a folder that a job wrote to the shared folder and needs no more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

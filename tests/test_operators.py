@@ -13,8 +13,21 @@ def rows(frame):
 def test_percentile_takes_the_next_value(spark):
     values = spark.createDataFrame([(float(x),) for x in (10, 20, 30, 40)], "v double")
     assert stats.exact_percentiles(values, [], "v", {"p": 0.5}).first()["p"] == 30
-    assert values.agg(stats.index_percentile(F.col("v"), 0.5).alias("p")).first()["p"] == 30
-    assert values.filter("v < 0").agg(stats.index_percentile(F.col("v"), 0.5).alias("p")).first()["p"] == 0
+    assert stats.exact_percentiles(values.filter("v < 0"), [], "v", {"p": 0.5}).first()["p"] is None
+
+
+def test_percentiles_of_ranges(spark):
+    """Groups of all sizes, one with a null key, whose values lie in many ranges; no window holds all rows."""
+    data = [(k, float((i * 7919) % 1009 // (1 + (k or 0)))) for k, n in ((0, 1000), (1, 400), (2, 3), (3, 1), (None, 50)) for i in range(n)]
+    table = spark.createDataFrame(data, "k int, v double")
+    ps = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    for keys in (["k"], []):
+        found = stats.exact_percentiles(table, keys, "v", ps)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SinglePartition") <= (0 if keys else 2)  # sums of ranges, and the last row
+        for row in found.collect():
+            own = sorted(v for k, v in data if not keys or k == row["k"])
+            assert [row[n] for n in ps] == [own[min(len(own) - 1, int(len(own) * p))] for p in ps.values()]
 
 
 def test_threshold_filter(spark):
@@ -38,6 +51,28 @@ def test_sparse_search_by_matrix_and_by_join(spark, monkeypatch):
     assert by_matrix == by_join and len(by_matrix) > 10
 
 
+def test_chinese_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "天津钓鱼政策 2024"), (2, "天 气a好"), (3, "钓鱼"), (4, "abc天津x"), *((i, None) for i in range(5, 9))], "id long, text string")
+    assert [r[0] for r in docs.select(retrieval.tokens(F.col("text"))).collect()] == [["天津", "津钓", "钓鱼", "鱼政", "政策", "2024"], ["天", "气", "a", "好"], ["钓鱼"], ["abc", "天津", "x"], *([[]] * 4)]
+    queries = spark.createDataFrame([(1, "天津的钓鱼")], "id long, text string")
+    found = rows(retrieval.bm25_top(queries, docs))
+    assert {r[1] for r in found} == {1, 3, 4}
+    monkeypatch.setattr(retrieval, "MATRIX_CELLS", 0)
+    assert rows(retrieval.bm25_top(queries, docs).select("query_id", "doc_id", "score", "rank")) == found
+
+
+def test_hybrid_search(spark):
+    dense = spark.createDataFrame([(q, d, d) for q in (1, 2) for d in range(1, 7)], "query_id int, doc_id int, rank int")
+    sparse = spark.createDataFrame([(q, 7 - d, d) for q in (1, 2) for d in range(1, 4)], "query_id int, doc_id int, rank int")
+    relevance = spark.createDataFrame([(1, d, d / 10) for d in range(1, 7)] + [(2, 4, 0.9)], "query_id int, doc_id int, relevance double")
+    allowed = spark.createDataFrame([(q, d) for q in (1, 2) for d in (1, 2, 4, 6)], "query_id int, doc_id int")
+    found = retrieval.hybrid_search(dense, sparse, allowed, relevance, k=3)
+    assert rows(found.filter("query_id = 1").select("rank", "doc_id", "score", "reranked")) == [(1, 6, 0.6, True), (2, 4, 0.4, True), (3, 2, 0.2, True)]
+    # query 2: the model gave one of its candidates only
+    assert rows(found.filter("query_id = 2").select("rank", "doc_id", "reranked")) == [(1, 6, False), (2, 4, False), (3, 1, False)]
+    assert retrieval.hybrid_search(dense, sparse, None, relevance, k=2).count() == 4
+
+
 def test_fusion_adds_up(spark):
     a = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "query_id int, doc_id int, rank int")
     b = spark.createDataFrame([(1, 6, 1)], "query_id int, doc_id int, rank int")
@@ -88,16 +123,18 @@ def test_manifest_keeps_unchanged_chunks(spark):
     assert manifest.corpus_fingerprint(old).first() != manifest.corpus_fingerprint(new).first()
 
 
-def test_caches(spark):
+def test_caches(spark, monkeypatch):
     table = spark.createDataFrame([("q1", "k", 10.0, False), ("q2", "j", 10.0, True), ("q3", "i", 1.0, False)], "question string, key string, created_at double, dynamic boolean")
     keys = spark.createDataFrame([("k",), ("j",), ("i",)], "key string")
     assert rows(cache.exact_lookup(keys, table, F.lit(20.0), 15).select("question")) == [("q1",)]
     assert cache.saved(table, table.withColumn("question", F.lit("mail a@b.cn"))).count() == 3
-    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<double>")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 3, 5), (2, [0.0, 1.0], 1, 1), (3, [1.0, 0.0], 3, 2), (4, [1.0, 0.0], 0, 9)], "id long, vector array<double>, hits int, created_at int")
     asked = spark.createDataFrame([(7, [1.0, 0.1]), (8, [1.0, 1.0])], "id long, vector array<double>")
     hits = cache.semantic_lookup(asked, vectors)
-    assert rows(hits.select("query_id", "doc_id")) == [(7, 1)]
-    assert rows(cache.counted_hits(vectors.withColumn("hits", F.lit(1)), hits).select("id", "hits")) == [(1, 2), (2, 1)]
+    assert rows(hits.select("query_id", "doc_id")) == [(7, 4)]  # of equal ones the last: least often hit, then oldest
+    assert rows(cache.counted_hits(vectors, hits).select("id", "hits")) == [(1, 3), (2, 1), (3, 3), (4, 1)]
+    monkeypatch.setattr(cache, "HOT_ROWS", 2)
+    assert rows(cache.semantic_lookup(asked, vectors).select("query_id", "doc_id")) == [(7, 3)]
 
 
 def test_recall_and_mrr(spark):
