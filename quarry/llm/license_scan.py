@@ -6,13 +6,15 @@ ordered sequence of them. A rule matches where its sequence stands among the tex
 recognised sentences without another recognised one in between; a rule inside a longer
 matching rule isn't reported.
 
-Lines are cut in two ways, each giving a sequence: a line break ends a sentence, or only
+Line ends of all systems are alike, and marks that begin the lines of a comment are taken
+away. Lines are cut in two ways, each giving a sequence: a line break ends a sentence, or only
 an empty line does (licence texts are often wrapped). All is built-in columns; texts
 without a word that every known sentence has one of aren't cut at all.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -21,10 +23,6 @@ from pyspark.sql import functions as F
 #: Licence rules as sequences of sentences of the public licence texts and notices.
 RULES: dict[str, list[list[str]]] = {
     "MIT": [
-        ["Released under the MIT License."],
-        ["Licensed under the MIT License."],
-        ["This project is licensed under the MIT License."],
-        ["SPDX-License-Identifier: MIT"],
         [
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
             "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -32,8 +30,6 @@ RULES: dict[str, list[list[str]]] = {
         ],
     ],
     "Apache-2.0": [
-        ["Licensed under the Apache License, Version 2.0."],
-        ["SPDX-License-Identifier: Apache-2.0"],
         [
             "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
             "You may obtain a copy of the License at",
@@ -42,8 +38,6 @@ RULES: dict[str, list[list[str]]] = {
         ],
     ],
     "GPL-3.0": [
-        ["This work is licensed under the GNU General Public License, version 3."],
-        ["SPDX-License-Identifier: GPL-3.0-only"],
         [
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
             "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
@@ -51,7 +45,6 @@ RULES: dict[str, list[list[str]]] = {
         ],
     ],
     "GPL-2.0": [
-        ["SPDX-License-Identifier: GPL-2.0-only"],
         [
             "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
             "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
@@ -59,7 +52,6 @@ RULES: dict[str, list[list[str]]] = {
         ],
     ],
     "BSD-2-Clause": [
-        ["SPDX-License-Identifier: BSD-2-Clause"],
         [
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
             "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
@@ -67,7 +59,6 @@ RULES: dict[str, list[list[str]]] = {
         ],
     ],
     "BSD-3-Clause": [
-        ["SPDX-License-Identifier: BSD-3-Clause"],
         [
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
             "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
@@ -76,25 +67,112 @@ RULES: dict[str, list[list[str]]] = {
         ],
     ],
     "MPL-2.0": [
-        ["SPDX-License-Identifier: MPL-2.0"],
         ["This Source Code Form is subject to the terms of the Mozilla Public License, v.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     ],
-    "CC-BY-NC-4.0": [
-        ["Licensed under CC BY-NC 4.0."],
-        ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "ISC": [
+        [
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+            "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        ],
+    ],
+    "0BSD": [
+        [
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+            "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        ],
+    ],
+    "LGPL-2.1": [
+        ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    ],
+    "LGPL-3.0": [
+        ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    ],
+    "AGPL-3.0": [
+        ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    ],
+    "Zlib": [
+        [
+            "This software is provided 'as-is', without any express or implied warranty.",
+            "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        ],
+    ],
+    "BSL-1.0": [
+        ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"],
+        ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    ],
+    "CC0-1.0": [
+        ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."],
+    ],
+    "EPL-2.0": [
+        ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    ],
+    "CDDL-1.0": [
+        ["The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\")."],
     ],
-    "CC-BY-4.0": [
-        ["Licensed under CC BY 4.0."],
-        ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "OFL-1.1": [
+        ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
     ],
-    "CC-BY-SA-4.0": [
-        ["Licensed under CC BY-SA 4.0."],
-        ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "PostgreSQL": [
+        ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."],
     ],
     "Unlicense": [["This is free and unencumbered software released into the public domain."]],
 }
+#: Names by which notices call a licence.
+NAMES: dict[str, list[str]] = {
+    "MIT": ["the MIT License", "the MIT Licence", "MIT"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "Apache-2.0"],
+    "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "GPLv3"],
+    "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2.0", "GPLv2"],
+    "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "the GNU Lesser General Public License v3.0"],
+    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1", "the GNU Lesser General Public License v2.1"],
+    "AGPL-3.0": ["the GNU Affero General Public License, version 3", "the GNU Affero General Public License v3.0"],
+    "BSD-2-Clause": ["the BSD 2-Clause License", "the Simplified BSD License"],
+    "BSD-3-Clause": ["the BSD 3-Clause License", "the New BSD License"],
+    "0BSD": ["the Zero-Clause BSD License"],
+    "ISC": ["the ISC License"],
+    "MPL-2.0": ["the Mozilla Public License 2.0", "the Mozilla Public License, version 2.0"],
+    "Zlib": ["the zlib License"],
+    "BSL-1.0": ["the Boost Software License 1.0", "the Boost Software License, Version 1.0"],
+    "EPL-2.0": ["the Eclipse Public License 2.0"],
+    "CDDL-1.0": ["the Common Development and Distribution License 1.0"],
+    "EUPL-1.2": ["the European Union Public Licence 1.2"],
+    "Artistic-2.0": ["the Artistic License 2.0"],
+    "OFL-1.1": ["the SIL Open Font License 1.1"],
+    "MS-PL": ["the Microsoft Public License"],
+    "NCSA": ["the University of Illinois/NCSA Open Source License"],
+    "PostgreSQL": ["the PostgreSQL License"],
+    "PSF-2.0": ["the Python Software Foundation License 2.0"],
+    "WTFPL": ["the WTFPL License"],
+    "ODbL-1.0": ["the Open Database License 1.0", "the Open Data Commons Open Database License"],
+    "CC0-1.0": ["CC0 1.0", "the CC0 1.0 Universal License"],
+    "CC-BY-4.0": ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "Unlicense": ["the Unlicense"],
+}
+#: Notices, with a name in the place of the braces.
+NOTICES = ("Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is licensed under {}.", "This software is released under {}.")
+#: Endings of the identifiers of licences that have versions.
+VERSION_ENDINGS = {"GPL-2.0": ("", "-only", "-or-later"), "GPL-3.0": ("", "-only", "-or-later"), "LGPL-2.1": ("", "-only", "-or-later"), "LGPL-3.0": ("", "-only", "-or-later"), "AGPL-3.0": ("", "-only", "-or-later")}
+
+
+def _all_rules() -> dict[str, list[list[str]]]:
+    """RULES with a rule of one sentence for each notice that names a licence and for each identifier."""
+    rules = {name: [] for name in [*RULES, *NAMES]}
+    for name, ways in rules.items():
+        ways += RULES.get(name, [])
+        ways += [[f"SPDX-License-Identifier: {name}{end}"] for end in VERSION_ENDINGS.get(name, ("",))]
+        ways += [[notice.format(called)] for called in NAMES.get(name, ()) for notice in NOTICES]
+    return rules
+
+
 #: Each known sentence has one of these.
-TRIGGERS = ("licen", "permission", "warrant", "redistribut", "mpl", "public domain")
+TRIGGERS = ("licen", "permission", "warrant", "redistribut", "mpl", "public domain", "released under", "distributed under")
+#: What begins the lines of a comment in source files and mails.
+COMMENT = r"(?m)^[ \t]*(?:#+|//+!?|/\*+!?|\*+/?|--+|;+|%+|>+|<!--)(?:[ \t]+|$)"
 
 
 def normalised(sentence: str) -> str:
@@ -102,9 +180,9 @@ def normalised(sentence: str) -> str:
 
 
 #: Known sentence -> identifier.
-SENTENCES: dict[str, int] = {s: i for i, s in enumerate(dict.fromkeys(normalised(s) for ways in RULES.values() for way in ways for s in way))}
+SENTENCES: dict[str, int] = {s: i for i, s in enumerate(dict.fromkeys(normalised(s) for ways in _all_rules().values() for way in ways for s in way))}
 #: (licence, its identifiers as '|1|2|').
-SEQUENCES: list[tuple[str, str]] = [(name, "".join(f"|{SENTENCES[normalised(s)]}" for s in way) + "|") for name, ways in RULES.items() for way in ways]
+SEQUENCES: list[tuple[str, str]] = [(name, "".join(f"|{SENTENCES[normalised(s)]}" for s in way) + "|") for name, ways in _all_rules().items() for way in ways]
 
 
 def _sentences(text: Column, line_ends: str) -> Column:
@@ -113,7 +191,7 @@ def _sentences(text: Column, line_ends: str) -> Column:
 
 
 def _identifiers(sentences: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    known = F.from_json(F.lit(json.dumps(SENTENCES)), "map<string,int>")  # a constant, as the rules below
     return F.filter(F.transform(sentences, lambda s: known[s]), lambda i: i.isNotNull())
 
 
@@ -129,12 +207,13 @@ def scanned(docs: DataFrame) -> DataFrame:
     read, whatever other columns there are.
     """
     text = F.coalesce("text", F.lit(""))
+    plain = F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), COMMENT, "")
     hit = F.lower(text).rlike("|".join(TRIGGERS))
     none = F.array().cast("array<int>")
-    rows = docs.select("doc_id", F.when(hit, text).alias("_t"))
+    rows = docs.select("doc_id", F.when(hit, plain).alias("_t"))
     for name, ends in (("_lines", "\\n+"), ("_paragraphs", "\\n[ \\t]*\\n\\s*")):
         rows = rows.withColumn(name, F.when(F.col("_t").isNotNull(), _identifiers(_sentences(F.col("_t"), ends))).otherwise(none))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(seq).alias("seq")) for name, seq in SEQUENCES])
+    rules = F.from_json(F.lit(json.dumps([{"name": name, "seq": seq} for name, seq in SEQUENCES])), "array<struct<name:string,seq:string>>")
     found = lambda ids: F.filter(rules, lambda r: F.contains(_sequence(ids), r["seq"]))
     rows = rows.withColumn("_rules", F.when(F.size("_lines") + F.size("_paragraphs") > 0, F.concat(found("_lines"), found("_paragraphs"))))
     inside = lambda r: F.exists("_rules", lambda o: (o["seq"] != r["seq"]) & F.contains(o["seq"], r["seq"]))
@@ -151,7 +230,8 @@ def _values(rows: list[tuple]) -> str:
 ORACLE_SQL = f"""
 WITH known(s, i) AS (VALUES {_values(list(SENTENCES.items()))}),
 rules(name, seq) AS (VALUES {_values(SEQUENCES)}),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'),
+  '(?m)^[ \\t]*(?:#+|//+!?|/\\*+!?|\\*+/?|--+|;+|%+|>+|<!--)(?:[ \\t]+|$)', '', 'g') AS t FROM documents),
 c AS (SELECT r, 1 AS way, regexp_replace(t, '\\n+', chr(1), 'g') AS t FROM d UNION ALL SELECT r, 2, regexp_replace(t, '\\n[ \\t]*\\n\\s*', chr(1), 'g') FROM d),
 p AS (SELECT r, way, string_split(lower(regexp_replace(t, '([.!?])[ \\t\\n]+', '\\1' || chr(1), 'g')), chr(1)) AS ps FROM c),
 u AS (SELECT r, way, unnest(ps) AS s, unnest(range(len(ps))) AS pos FROM p),

@@ -16,7 +16,7 @@ def names(documents, *texts):
 
 def test_every_rule_matches_its_own_text(documents):
     texts, expected = [], []
-    for name, ways in s.RULES.items():
+    for name, ways in s._all_rules().items():
         for way in ways:
             texts += ["Intro.\n" + "\n".join(way) + "\nEnd.", "Intro\n\n" + wrapped(way) + "\n\nEnd"]
             expected += [name, name]
@@ -26,10 +26,31 @@ def test_every_rule_matches_its_own_text(documents):
 
 
 def test_order_and_longest_rule(documents):
-    bsd = s.RULES["BSD-3-Clause"][1]
+    bsd = s.RULES["BSD-3-Clause"][0]
     assert names(documents, "\n".join(bsd), "\n".join(bsd[:3]), "\n".join(bsd[::-1])) == [["BSD-3-Clause"], ["BSD-2-Clause"], []]
 
 
+def test_line_ends_and_comments(documents):
+    """Licence texts with the line ends of other systems and as comments of source files."""
+    for name in ("MIT", "Apache-2.0", "GPL-3.0", "ISC"):
+        lines = wrapped(s.RULES[name][-1]).split("\n")
+        ways = [
+            "\r\n".join(lines),
+            "\n".join(f"# {x}".rstrip() for x in lines),
+            "\n".join(f"// {x}".rstrip() for x in lines),
+            "/*\n" + "\n".join(f" * {x}".rstrip() for x in lines) + "\n */\nint main() {}",
+            "\r\n".join(f"-- {x}" for x in lines),
+            "\n".join(f"> {x}" for x in lines),
+        ]
+        assert names(documents, *ways) == [[name]] * len(ways)
+    assert names(documents, "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "#SPDX", "Released under the MIT Licence.\r\nMore.") == [["GPL-2.0"], [], ["MIT"]]
+
+
+def test_clashing_columns(documents):
+    rows = documents([(1, "SPDX-License-Identifier: Zlib")]).withColumnRenamed("lang", "_t").withColumnRenamed("source", "_lines").withColumnRenamed("n_chars", "licenses")
+    assert [tuple(r[:2]) for r in s.scanned(rows).collect()] == [(1, ["Zlib"])]
+
+
 def test_sentences_have_triggers():
     assert all(any(t in sentence for t in s.TRIGGERS) for sentence in s.SENTENCES)
 
