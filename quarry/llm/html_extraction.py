@@ -215,6 +215,34 @@ class TaggerModel:
         return " ".join(b.text for b, keep in zip(blocks, self.labels(blocks)) if keep)
 
 
+def page_gradient(scores: list[float], labels: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Gradients of a page's conditional log-likelihood, by forward and backward sums, and the log-likelihood.
+
+    scores: of each block as main text against the rest. (by each block's score, by moves, value).
+    """
+    n = len(scores)
+    emit = np.zeros((n, 2))
+    emit[:, 1] = scores
+    ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
+    ahead[0] = moves[2] + emit[0]
+    for i in range(1, n):
+        ahead[i] = emit[i] + np.logaddexp(ahead[i - 1, 0] + moves[0], ahead[i - 1, 1] + moves[1])
+    for i in range(n - 2, -1, -1):
+        step = emit[i + 1] + behind[i + 1]
+        behind[i] = np.logaddexp(moves[:2, 0] + step[0], moves[:2, 1] + step[1])
+    total = np.logaddexp(*ahead[-1])
+    move_grad = np.zeros((3, 2))
+    move_grad[2, labels[0]] += 1
+    move_grad[2] -= np.exp(ahead[0] + behind[0] - total)
+    own = moves[2, labels[0]] + emit[np.arange(n), labels].sum()
+    if n > 1:
+        np.add.at(move_grad, (labels[:-1], labels[1:]), 1)
+        both = ahead[:-1, :, None] + moves[None, :2] + (emit[1:] + behind[1:])[:, None, :] - total
+        move_grad[:2] -= np.exp(both).sum(0)
+        own += moves[labels[:-1], labels[1:]].sum()
+    return labels - np.exp(ahead[:, 1] + behind[:, 1] - total), move_grad, float(own - total)
+
+
 def fit(pages: list[tuple[list[Block], list[bool]]], epochs: int = 14, ridge: float = 2e-3) -> TaggerModel:
     """Stochastic gradient ascent on the conditional log-likelihood of labelled pages."""
     names = {f: i for i, f in enumerate(sorted({f for blocks, _ in pages for b in blocks for f in b.features}))}
@@ -225,28 +253,10 @@ def fit(pages: list[tuple[list[Block], list[bool]]], epochs: int = 14, ridge: fl
     for _ in range(epochs):
         for k in rng.permutation(len(coded)):
             blocks, labels = coded[k]
-            n = len(blocks)
-            emit = np.zeros((n, 2))
-            emit[:, 1] = [weights[b].sum() for b in blocks]
-            ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
-            ahead[0] = moves[2] + emit[0]
-            for i in range(1, n):
-                ahead[i] = emit[i] + np.logaddexp(ahead[i - 1, 0] + moves[0], ahead[i - 1, 1] + moves[1])
-            for i in range(n - 2, -1, -1):
-                step = emit[i + 1] + behind[i + 1]
-                behind[i] = np.logaddexp(moves[:2, 0] + step[0], moves[:2, 1] + step[1])
-            total = np.logaddexp(*ahead[-1])
-            error = labels - np.exp(ahead[:, 1] + behind[:, 1] - total)
+            error, move_grad, _ = page_gradient([weights[b].sum() for b in blocks], labels, moves)
             grad = -ridge * weights
             for b, e in zip(blocks, error):
                 grad[b] += e
-            move_grad = np.zeros((3, 2))
-            move_grad[2, labels[0]] += 1
-            move_grad[2] -= np.exp(ahead[0] + behind[0] - total)
-            if n > 1:
-                np.add.at(move_grad, (labels[:-1], labels[1:]), 1)
-                both = ahead[:-1, :, None] + moves[None, :2] + (emit[1:] + behind[1:])[:, None, :] - total
-                move_grad[:2] -= np.exp(both).sum(0)
             squares += grad**2
             move_squares += move_grad**2
             weights += 0.3 * grad / np.sqrt(squares)
@@ -268,6 +278,10 @@ _REST_NAMES = {
 }
 
 
+#: Usual names of containers that say nothing about their content.
+_PLAIN_NAMES = "row col col-md-8 col-12 column container container-fluid inner wrap wrapper outer layout grid flex app root site block section region pane panel box holder clearfix group".split()
+
+
 #: A character of private use that marks blocks of main text in labelled pages.
 MARK = "\ue000"
 
@@ -291,7 +305,19 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
         name = rng.choice(_REST_NAMES[kind])
         return f'<{element} {rng.choice(["class", "class", "id"])}="{name}{rng.choice(["", "", " " + word()])}">', f"</{element}>"
 
+    def wrapped(inner: str, often: float) -> str:
+        """In containers without a meaning, mostly a few, now and then many."""
+        if rng.random() < often:
+            for _ in range(rng.choice([1, 1, 1, 2, 2, 3, 4, 7, 30])):
+                element = rng.choice(["div", "div", "div", "section"])
+                named_so = f' {rng.choice(["class", "class", "id"])}="{rng.choice([*_PLAIN_NAMES, word()])}"' if rng.random() < 0.4 else ""
+                inner = f"<{element}{named_so}>{inner}</{element}>"
+        return inner
+
     def rest(kind: str) -> str:
+        return wrapped(rest_part(kind), 0.3)
+
+    def rest_part(kind: str) -> str:
         semantic = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside"}.get(kind)
         if semantic and rng.random() < 0.6:
             a, b = (f"<{semantic}>", f"</{semantic}>") if rng.random() < 0.6 else named(kind, semantic)
@@ -311,10 +337,10 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
             one = lambda: rng.choice(
                 [f"<div class='comment'><b>{word()}</b><p>{words(3, 60)}</p></div>", f"<li class='comment'><p>{words(3, 60)}</p></li>", f"<article class='comment'><p>{words(3, 60)}</p></article>", f"<p>{words(3, 60)}</p>", f"<blockquote>{words(3, 40)}</blockquote>"]
             )
-            inner = rng.choice(["", f"<h3>{sentence(1, 3)}</h3>"]) + "".join(one() for _ in range(rng.randint(1, 4)))
+            inner = rng.choice(["", f"<h3>{sentence(1, 3)}</h3>"]) + "".join(wrapped(one(), 0.2) for _ in range(rng.randint(1, 4)))
         else:
             inner = rng.choice([words(2, 40), words(2, 40), f"<p>{words(2, 40)}</p>", link(), f"<span>{words(2, 20)}</span> {link()}"])
-        return a + inner + b
+        return a + wrapped(inner, 0.3) + b
 
     def main_block() -> str:
         text = MARK + words(1, rng.choice([3, 30, 60, 90]))
@@ -333,22 +359,24 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
 
     pages = []
     for _ in range(n):
-        body = [main_block() for _ in range(rng.choice([0, 1, 1, 1, 2, 3, 4, 6, 9, 14]))]
+        body = [wrapped(main_block(), 0.08) for _ in range(rng.choice([0, 1, 1, 1, 2, 3, 4, 6, 9, 14]))]
+        if rng.random() < 0.2:  # a page without paragraph elements
+            body = [block.replace("<p>", "<div>").replace("</p>", "</div>") for block in body]
         if rng.random() < 0.7 or not body:
             body.insert(0, f"<h1>{MARK}{sentence(1, 9)}</h1>")
         for kind in rng.choices(["advert", "side", "notice", "form", "comment", "menu"], k=rng.choice([0, 0, 0, 1, 1, 2])):
             body.insert(rng.randint(1, len(body)) if kind != "comment" else len(body), rest(kind))
-        inner = "".join(body)
+        inner = wrapped("".join(body), 0.45)
         layout = rng.random()
-        if layout < 0.45:
+        if layout < 0.4:
             open_, close = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), (f'<article class="{rng.choice(_MAIN_NAMES)}">', "</article>"), ('<div role="main">', "</div>")])
-        elif layout < 0.85:
+        elif layout < 0.72:
             a = f'<div {rng.choice(["class", "id"])}="{rng.choice(_MAIN_NAMES)}">'
             open_, close = rng.choice([(a, "</div>"), (f'<div id="page">{a}', "</div></div>"), (f'<section class="{rng.choice(_MAIN_NAMES)}">', "</section>")])
-        elif layout < 0.93:
+        elif layout < 0.8:
             open_, close = f'<table><tr><td class="{rng.choice(_REST_NAMES["side"])}">{items(4)}</td><td class="{rng.choice(_MAIN_NAMES)}">', "</td></tr></table>"
         else:
-            open_, close = "", ""
+            open_, close = rng.choice([("", ""), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("<section>", "</section>")])
         before = [rest(k) for k in ("notice", "head", "menu", "form", "advert", "side") if rng.random() < (0.7 if k == "menu" else 0.35)]
         after = [rest(k) for k in ("comment", "side", "advert", "form", "notice", "foot") if rng.random() < (0.85 if k == "foot" else 0.3)]
         if rng.random() < 0.35:  # a page of little but its article
@@ -356,7 +384,8 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
         head = f"<!DOCTYPE html><html><head><title>{sentence(1, 6)}</title><style>p{{}}</style></head><body>"
         head = head if rng.random() < 0.9 else ""
         wrap = rng.choice([("", ""), ("", ""), ('<div class="wrapper">', "</div>"), ('<div id="page" class="site container">', "</div>")])
-        pages.append(head + wrap[0] + "".join(before) + open_ + inner + close + "".join(after) + wrap[1] + rng.choice(["</body></html>", ""]))
+        middle = wrapped(open_ + inner + close, 0.35)
+        pages.append(head + wrap[0] + "".join(before) + middle + "".join(after) + wrap[1] + rng.choice(["</body></html>", ""]))
     return pages
 
 

@@ -1,4 +1,10 @@
+import itertools
+
+import numpy as np
+import pytest
+
 from quarry.llm import html_extraction as h
+from tests.llm.pages_by_hand import FOOT, LINKS, PAGES, A, B, C
 
 
 def test_held_out_pages():
@@ -65,3 +71,44 @@ def test_frame(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r["text"], r["n_chars"]) for r in out.collect()) == [("", 0), ("", 0), ("Some main text here.", 20)]
     assert h.extracted(pages.limit(0)).count() == 0
+
+
+def test_gradient_equals_sums_over_all_labellings():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5):
+        scores, moves, labels = rng.normal(size=n).tolist(), rng.normal(size=(3, 2)), rng.integers(0, 2, n)
+
+        def value(labels, scores=scores, moves=moves):
+            return moves[2, labels[0]] + sum(s for s, k in zip(scores, labels) if k) + sum(moves[a, b] for a, b in zip(labels, labels[1:]))
+
+        every = list(itertools.product((0, 1), repeat=n))
+        chance = np.exp([value(x) for x in every])
+        chance /= chance.sum()
+        by_score, by_move, held = h.page_gradient(scores, labels, moves)
+        assert np.allclose(by_score, labels - np.array(every).T @ chance)
+        counts = lambda x: np.array([[sum(p == (a, b) for p in zip(x, x[1:])) for b in (0, 1)] for a in (0, 1)] + [[x[0] == b for b in (0, 1)]], float)
+        assert np.allclose(by_move, counts(tuple(labels.tolist())) - sum(c * counts(x) for c, x in zip(chance, every)))
+        assert held == pytest.approx(np.log(chance[every.index(tuple(labels.tolist()))]))
+
+
+def test_pages_written_by_hand():
+    model = h.trained()
+    wrong = [i for i, (page, text) in enumerate(PAGES) if model.main_text(page) != text]
+    assert not wrong
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 20, 45, 200])
+@pytest.mark.parametrize("outer,inner", [("article", "div"), ("main", "section"), ("div", "div"), ("main", "div")])
+def test_nested_containers_without_names(outer, inner, depth):
+    body = f"<h1>A bridge opens</h1><p>{A}</p><p>{B}</p><p>{C}</p>"
+    page = f"<html><body><nav>{LINKS}</nav><{outer}>{f'<{inner}>' * depth}{body}{f'</{inner}>' * depth}</{outer}><footer>{FOOT}</footer></body></html>"
+    assert h.trained().main_text(page) == f"A bridge opens {A} {B} {C}"
+
+
+def test_awkward_rows_and_a_very_long_page(awkward, spark):
+    assert h.extracted(awkward, html="text").count() == awkward.count()
+    text = " ".join([A] * 20_000)
+    rows = [(1, f"<article><p>{text}</p></article>"), (1, f"<article><p>{text}</p></article>"), (None, None)]
+    found = h.extracted(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    assert [(r["page_id"], r["n_chars"]) for r in found] == [(1, len(text)), (1, len(text)), (None, 0)]
+    assert found[0]["text"] == text  # equal rows have equal results; of equally good labels the rest is taken
