@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.session import checkpointed
 
 
-def _dealt(least: DataFrame) -> DataFrame:
+def spread(least: DataFrame) -> DataFrame:
     """Rows dealt out anew, so that a join reads both sides from exchanges of its own: then Spark
     splits the many edges of one vertex among tasks, which it can't above an aggregation."""
     return least.repartition(int(least.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -22,13 +22,13 @@ def _dealt(least: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(_dealt(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.filter("v > u").join(spread(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(_dealt(least), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(spread(least), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

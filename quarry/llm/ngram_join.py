@@ -25,9 +25,13 @@ sample only moves cost between schemes; links don't depend on it.
 
 Groups of a signature: up to `ALL_PAIRS` sets give all pairs, of which those stay whose
 sizes allow a link and that share as many signatures as a link implies (each unshared
-segment of the larger set is a difference). A larger group gives each member with its
-least one (a star). Sets that such pairs tie together are a family, and all sets of a
-family are compared exactly: a family of up to `BLOCK` sets in one piece, a larger one
+segment of the larger set is a difference). A larger group, of a hot signature, gives each
+member with its least one (a star). A set that has fewer hot signatures than it shares
+with any linked set of its size or less is found by its other signatures with all of
+these; so stars are kept only for the rest of the sets, near copies in great number or
+texts made of common passages, and for sets of a size that links with one of them. A
+passage that many otherwise different documents hold ties nothing together. Sets that
+such pairs tie together are a family, and all sets of a family are compared exactly: a family of up to `BLOCK` sets in one piece, a larger one
 in blocks, each pair of blocks a task of its own. A set's tokens travel once to each
 piece, not once to each pair. A piece gives back a spanning forest of its links, which
 is all that components need. So every pair that shares a signature and could link is
@@ -43,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.components import connected_components
+from quarry.llm.components import connected_components, spread
 from quarry.llm.tokens import mixed, packed, release_memory, shingle_sets, unpacked, word_codes
 from quarry.session import checkpointed
 
@@ -61,7 +65,7 @@ PIECE = 1_000
 FILTER_BITS = 1 << 23
 
 NODE_SCHEMA = "doc_id long, text_hash long, n_shingles long, node long, tokens binary"
-PAIR_SCHEMA = "star boolean, u long, v long, shared long, needed long"
+PAIR_SCHEMA = "star boolean, u long, v long, shared long, needed long, size long"
 
 
 def budget(sizes: np.ndarray) -> np.ndarray:
@@ -210,10 +214,12 @@ def _packed_rows(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordB
 
 
 def _group_rows(sigs: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> pa.Table:
-    """Candidate pairs (star, u, v, shared, needed) of sets with a common signature.
+    """Candidate pairs (star, u, v, shared, needed, size) of sets with a common signature.
 
-    u is the leader in stars; pairs whose sizes rule out a link are left out; needed is
-    the least number of signatures that a linked pair of these sets shares.
+    Pairs whose sizes rule out a link are left out; needed is the least number of
+    signatures that a linked pair of these sets shares. In stars u is the leader and v any
+    member, itself included; needed is then the least number of signatures that v shares
+    with a linked set of no more tokens, and size is that of v.
     """
     order = np.lexsort((nodes, sigs))
     sigs, nodes, sizes, weights = sigs[order], nodes[order], sizes[order], weights[order]
@@ -228,7 +234,7 @@ def _group_rows(sigs: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, weights:
             i, j = np.triu_indices(size, 1)
             pairs[False].append(np.stack([block[:, i].ravel(), block[:, j].ravel()], 1))
         else:
-            pairs[True].append(np.stack([np.repeat(block[:, 0], size - 1), block[:, 1:].ravel()], 1))
+            pairs[True].append(np.stack([np.repeat(block[:, 0], size), block.ravel()], 1))
     out = []
     for star in (False, True):
         u, v = np.concatenate(pairs[star]).T
@@ -237,9 +243,9 @@ def _group_rows(sigs: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, weights:
             u, v = u[fits], v[fits]
         allowed = (sizes[u] + sizes[v]) // 7
         weight = np.maximum(np.where(sizes[u] >= sizes[v], weights[u], 0), np.where(sizes[v] >= sizes[u], weights[v], 0))
-        needed = np.maximum(weight - allowed, 1)
+        needed = np.maximum(weights[v] - 2 * sizes[v] // 7, 0) if star else np.maximum(weight - allowed, 1)
         named, first, shared = np.unique(np.stack([nodes[u], nodes[v]], 1), axis=0, return_index=True, return_counts=True)
-        out.append(pa.table({"star": np.full(len(named), star), "u": named[:, 0].copy(), "v": named[:, 1].copy(), "shared": shared.astype(np.int64), "needed": needed[first].astype(np.int64)}))
+        out.append(pa.table({"star": np.full(len(named), star), "u": named[:, 0].copy(), "v": named[:, 1].copy(), "shared": shared.astype(np.int64), "needed": needed[first].astype(np.int64), "size": sizes[v[first]].astype(np.int64)}))
     return pa.concat_tables(out)
 
 
@@ -389,14 +395,34 @@ def linked_components(docs: DataFrame) -> DataFrame:
     return _named(nodes.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), edges)
 
 
+def _candidates(summed: DataFrame) -> DataFrame:
+    """(u, v) of PAIR_SCHEMA rows that may be linked.
+
+    A pair needs `needed` common signatures, of which up to the number of a set's hot ones
+    may be missing in `shared`. Stars are kept for sets that have as many hot signatures,
+    the sum over their leaders, as they need, and for members of a size that links with one.
+    """
+    stars = summed.filter("star")
+    hot = checkpointed(stars.groupBy("v").agg(F.sum("shared").alias("hot"), F.max("needed").alias("own"), F.max("size").alias("n")))
+    members = checkpointed(stars.select("u", "v").join(hot, "v").withColumn("hidden", F.col("hot") >= F.col("own")))
+    spans = members.filter("hidden").groupBy("u").agg(F.min(F.ceil(F.col("n") * 3 / 4)).alias("least"), F.max("n").alias("most"))
+    kept = members.join(spread(spans), "u").filter("n between least and most").select("u", "v")
+    pairs = summed.filter("not star").select("u", "v", "shared", "needed")
+    sure = pairs.filter("shared >= needed").select("u", "v")
+    counts = lambda name: hot.select(F.col("v").alias(name), F.col("hot").alias(f"hot_{name}"))
+    open_ = pairs.filter("shared < needed").join(counts("u"), "u", "left").join(counts("v"), "v", "left")
+    enough = F.col("shared") + F.greatest(F.coalesce("hot_u", F.lit(0)), F.coalesce("hot_v", F.lit(0))) >= F.col("needed")
+    return sure.union(open_.filter(enough).select("u", "v")).union(kept)
+
+
 def _linked_sets(docs: DataFrame, linking: DataFrame) -> tuple[DataFrame, DataFrame]:
     """NODE_SCHEMA rows of `docs` (doc_id, text_hash, text) and spanning links (u, v) of the sets of `linking`, some of these rows."""
     buckets = BUCKETS_PER_PARTITION * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     frequent = _frequent_shingles(docs)
     index = linking.select("doc_id", "text").mapInArrow(_index_rows(frequent, buckets), INDEX_SCHEMA)
     found = index.groupBy("bucket").applyInArrow(_bucket_groups, PAIR_SCHEMA)
-    summed = found.groupBy("star", "u", "v").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
-    families = checkpointed(connected_components(summed.filter("star or shared >= needed"))).withColumnRenamed("component", "family")
+    summed = checkpointed(found.groupBy("star", "u", "v").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"), F.max("size").alias("size")))
+    families = checkpointed(connected_components(_candidates(summed))).withColumnRenamed("component", "family")
     nodes = checkpointed(docs.mapInArrow(_node_rows(_candidate_filter(families)), NODE_SCHEMA))
     sets = nodes.filter("tokens is not null").groupBy("node").agg(F.first("tokens").alias("tokens"))
     return nodes, checkpointed(_family_links(families, sets))

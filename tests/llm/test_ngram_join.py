@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import ngram_join as n
 from quarry.llm.components import connected_components
-from tests.llm.helpers import components, near_copies, shingles
+from tests.llm.helpers import components, near_copies, prose, shingles
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -18,6 +21,43 @@ def test_equals_all_pairs(documents, seed, monkeypatch):
     assert got == {i: (len(shingles(t)), expected[i]) for i, t in rows}
 
 
+@pytest.mark.parametrize("seed", [11, 12])
+def test_copies_with_common_passages_equal_all_pairs(documents, seed, monkeypatch):
+    """Groups of near copies that hold passages common to many other texts, and texts that are little but passages."""
+    monkeypatch.setattr(n, "ALL_PAIRS", 5)
+    monkeypatch.setattr(n, "SAMPLE_PART", 10**9)  # no shingle is taken out as frequent
+    rng = random.Random(seed)
+    passages = [prose(rng, rng.choice([12, 25, 40])) for _ in range(5)]
+    rows = []
+    for _ in range(40):
+        own = prose(rng, rng.choice([0, 3, 10, 30, 60])).split()
+        parts = [p for p in passages if rng.random() < 0.4]
+        for _ in range(rng.choice([1, 1, 2, 4, 9])):
+            copy = " ".join([*own, *parts]).split()
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                if copy:
+                    copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = {r["doc_id"]: r["component_id"] for r in n.linked_components(documents(rows)).collect()}
+    assert got == components(rows)
+
+
+def test_common_passages_tie_nothing_together(spark, documents):
+    """Candidates stay few where each of many texts holds two passages of a hundred texts each, which link no two of them."""
+    rng = random.Random(5)
+    found = {}
+    for texts in (600, 1200):
+        passages = [prose(rng, 50) for _ in range(texts // 50)]
+        rows = [(i, " ".join([prose(rng, 60, 10**6), *rng.sample(passages, 2)])) for i in range(texts)]
+        frame = documents(rows)
+        index = frame.select("doc_id", "text").mapInArrow(n._index_rows(np.zeros(0, np.uint64), 8), n.INDEX_SCHEMA)
+        pairs = index.groupBy("bucket").applyInArrow(n._bucket_groups, n.PAIR_SCHEMA)
+        summed = pairs.groupBy("star", "u", "v").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"), F.max("size").alias("size"))
+        assert summed.filter("star").count() > texts
+        found[texts] = n._candidates(summed).count()
+    assert max(found.values()) < 30  # of 1,200 texts, where the stars alone would tie all into one family
+
+
 def test_signatures_never_miss_a_link():
     rng = np.random.default_rng(4)
     for frequent_share in (0.0, 0.5):
