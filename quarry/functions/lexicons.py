@@ -25,6 +25,21 @@ DOCUMENT_TYPES = {
     "tech": ["教程", "指南", "手册", "API", "文档", "说明"],
 }
 
+#: Advice below the warning of a stale document: beside its text, and among the hits of a search.
+STALE_ADVICE = "\n\n💡 系统建议：由于文档已过期，已自动尝试联网搜索最新信息（见下方）"
+STALE_HIT_ADVICE = "\n\n💡 系统建议：文档已过期，建议上传最新文档或联网搜索核实（工具会自动尝试）"
+STALE_HITS_NOTE = "⚠️ 重要提示：上述内容来自过期文档，请务必调用 web_search 工具核实最新信息"
+
+#: The reply where no data was found.
+NO_DATE = "该日期"
+NO_DATA_REASONS = ["该数据可能尚未公开发布", "该日期可能是非工作日或特殊时期，数据发布延迟", "搜索引擎尚未收录该时间点的数据报告"]
+NO_DATA_REPORTS = "- 搜索第三方分析报告或行业研报（可能包含该时期数据）"
+NO_DATA_HELP = [
+    "\n**我可以帮您：**",
+    "- 如果您有相关报告文档，可上传到知识库后，我能帮您提取和分析数据",
+    "- 可以为您解释该类数据的计算方法和行业标准",
+]
+
 #: Dates in questions, most precise first.
 DATES = [r"\d{4}年\d{1,2}月\d{1,2}[日号]", r"\d{4}-\d{1,2}-\d{1,2}", r"\d{4}/\d{1,2}/\d{1,2}", r"\d{1,2}月\d{1,2}[日号]", r"\d{4}年\d{1,2}月"]
 DATA_WORDS = (

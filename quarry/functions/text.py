@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from quarry.functions import lexicons as L
 
@@ -44,6 +45,19 @@ def mask_record(record: Column) -> Column:
     return F.transform_values(record, lambda _, v: mask_pii(v))
 
 
+def mask_nested(value: Column, kind: DataType) -> Column:
+    """A value of any type with its strings masked: its own, those of structs at any depth and of lists of strings.
+    Structs in lists stay as they are."""
+    if isinstance(kind, StringType):
+        return mask_pii(value)
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
+        return F.transform(value, mask_pii)
+    if isinstance(kind, StructType):
+        fields = [mask_nested(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
 # --- instructions in untrusted text ------------------------------------------------
 
 
@@ -131,6 +145,13 @@ def freshness(name: Column, content: Column, year_now: int) -> Column:
     return F.struct(year.alias("doc_year"), kind.alias("doc_type"), F.coalesce(expired, F.lit(False)).alias("is_expired"), risk.alias("expire_risk"), F.coalesce(F.when(kind == "knowledge", age).otherwise(age), F.lit(0)).alias("age_years"), warning.alias("warning"), search.alias("should_search"))
 
 
+def freshness_labelled(result: Column, name: Column, content: Column, year_now: int) -> Column:
+    """A search result below the warning that its document's age calls for; as it is where age doesn't matter."""
+    fresh = freshness(name, content, year_now)
+    advice = F.when(fresh["should_search"], F.lit(L.STALE_ADVICE)).otherwise("")
+    return F.when(fresh["expire_risk"] == "none", result).otherwise(F.concat(fresh["warning"], advice, F.lit("\n\n"), result))
+
+
 def prefer_web(names: Column, year_now: int) -> Column:
     """Whether the newest year in an array of source names is two years old or more."""
     newest = F.array_max(F.transform(names, latest_year))
@@ -211,6 +232,32 @@ def fallback_queries(question: Column, date: Column) -> Column:
     return F.when(date.isNull(), F.array().cast("array<string>")).otherwise(F.filter(queries, lambda q: q.isNotNull()))
 
 
+def no_data_reply(analysis: Column, year_now: int, searched: bool = True) -> Column:
+    """What to say where nothing was found: an opening, three reasons, up to three suggestions, and an offer.
+
+    analysis: that of `timeliness`. A question without a date gets a general word for it.
+    """
+    date = F.coalesce(analysis["detected_date"], F.lit(L.NO_DATE))
+    bold = lambda x: F.concat(F.lit("**"), x, F.lit("**"))
+    named = F.array_join(F.slice(analysis["data_types"], 1, 2), "/")
+    tried = F.concat(F.lit("抱歉，我已尝试联网搜索，但未能找到关于"), bold(date), F.lit("的具体"), named, F.lit("数据。"))
+    opening = tried if searched else F.concat(F.lit("抱歉，由于联网搜索暂时不可用，无法获取"), bold(date), F.lit("的实时数据。"))
+    parts = date_parts(date)
+    year, month, day = parts["year"], parts["month"], parts["day"]
+    ahead = F.when(year.cast("int") > year_now, F.concat(F.lit("您询问的是未来时间（"), date, F.lit("），该数据尚不存在")))
+    reasons = F.slice(F.array_compact(F.array(ahead, *[F.lit(r) for r in L.NO_DATA_REASONS])), 1, 3)
+    numbered = F.transform(reasons, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r))
+    ways = F.array_compact(F.array(
+        F.when(day.isNotNull() & month.isNotNull(), F.concat(F.lit("- 尝试查询整个"), bold(F.concat(month, F.lit("月"))), F.lit("的数据"))),
+        F.when(day.isNotNull() & year.isNotNull(), F.concat(F.lit("- 查看"), bold(F.concat(year, F.lit("年度"))), F.lit("的总体数据"))),
+        F.when(F.size(analysis["data_types"]) > 0, F.concat(F.lit("- 访问官方平台或专业数据网站查询"), F.get(analysis["data_types"], F.lit(0)))),
+        F.lit(L.NO_DATA_REPORTS),
+    ))
+    heads = lambda x: F.array(F.lit(f"\n**{x}：**"))
+    lines = F.concat(F.array(opening), heads("可能的原因"), numbered, heads("替代建议"), F.slice(ways, 1, 3), F.array(*[F.lit(x) for x in L.NO_DATA_HELP]))
+    return F.array_join(lines, "\n")
+
+
 def result_is_relevant(result: Column, question: Column, data_types: Column) -> Column:
     """Whether a search result names an entity or a data type of the question."""
     named = F.regexp_extract_all(question, F.lit("[《「](.*?)[》」]"), F.lit(1))

@@ -61,5 +61,11 @@ def evicted(cache: DataFrame, now: Column, ttl: int) -> DataFrame:
     return cache.filter(now - F.col("created_at") <= ttl)
 
 
+def hit_rates(lookups: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hits, misses, hit_rate) of lookups (hit boolean); a lookup without an answer is a miss."""
+    hits = F.count_if(F.col("hit"))
+    return lookups.groupBy(*keys).agg(hits.alias("hits"), (F.count("*") - hits).alias("misses"), F.round(hits / F.count("*"), 4).alias("hit_rate"))
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum("hits"), F.lit(0)).cast("long").alias("hits"))

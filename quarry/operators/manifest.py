@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ def applied(chunks: DataFrame, fresh: DataFrame, diff: DataFrame) -> DataFrame:
     return chunks.join(gone, "source", "left_anti").unionByName(fresh)
 
 
+def parameter_fingerprint(**parameters: object) -> str:
+    """A fingerprint of the settings that all chunks depend on (sizes, model, schema version), in any order."""
+    return hashlib.sha256(":".join(f"{k}={v}" for k, v in sorted(parameters.items())).encode()).hexdigest()[:16]
+
+
 def needs_full_rebuild(old_parameters: str | None, new_parameters: str) -> bool:
     """Whether the chunking parameters' fingerprint changed, so that no chunk can be kept."""
     return old_parameters != new_parameters

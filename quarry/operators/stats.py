@@ -34,6 +34,14 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, ps: dict[str
     return ranked.groupBy(*keys).agg(*picked)
 
 
+def load_summary(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, errors, qps) of requests (ts, status): requests for each second from the first to the last one, 0 within
+    the same moment."""
+    seconds = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1_000_000
+    rate = F.when(seconds > 0, F.round(F.count("*") / seconds, 4)).otherwise(0.0)
+    return requests.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("status") != "ok").alias("errors"), rate.alias("qps"))
+
+
 def histogram(value: Column, bounds: list[float]) -> list[Column]:
     """Cumulative counts of values up to each bound, as a metrics histogram has them."""
     return [F.count_if(value <= F.lit(b)).alias(f"le_{str(b).replace('.', '_')}") for b in bounds]

@@ -43,6 +43,10 @@ def cascade_deleted(parents: DataFrame, children: DataFrame, key: str, foreign:
     return parents.join(doomed, key, "left_anti"), children.join(doomed.withColumnRenamed(key, foreign), foreign, "left_anti")
 
 
+def admin_count(users: DataFrame) -> DataFrame:
+    return users.agg(F.count_if(F.col("is_admin") == 1).alias("admins"))
+
+
 def may_delete_user(users: DataFrame, username: str) -> DataFrame:
     """One row: whether an administrator remains if the user goes."""
     others = F.count_if((F.col("is_admin") == 1) & (F.col("username") != username))

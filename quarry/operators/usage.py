@@ -78,6 +78,17 @@ def overview(traces: DataFrame) -> DataFrame:
     )
 
 
+def recent_days(traces: DataFrame, days: int = 7) -> DataFrame:
+    """(day, input_tokens, output_tokens) of the last days that have model calls."""
+    return usage_by(traces, ["day"]).select("day", "input_tokens", "output_tokens").orderBy(F.desc("day")).limit(days)
+
+
+def last_user_message(messages: Column) -> Column:
+    """The content of the last message of role user in a JSON list of messages (role, content), or null."""
+    own = F.filter(F.from_json(messages, "array<struct<role: string, content: string>>"), lambda m: m["role"] == "user")
+    return F.get(own, F.size(own) - 1)["content"]
+
+
 def cost_since(traces: DataFrame, since: Column) -> DataFrame:
     return generations(traces, since).agg(F.round(F.coalesce(F.sum("cost"), F.lit(0)).cast("decimal(38,7)"), 4).cast("double").alias("cost"))
 

@@ -43,6 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "checkpoints", "quarry")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Removes a folder that a job wrote to the shared folder and needs no more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -151,6 +151,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(F.col(f"`{first}`").alias(f"﻿{first}"), *[F.col(f"`{c}`") for c in others]).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_report(rows: DataFrame, path: str) -> None:
+    """JSON lines of a report, in the place of an earlier one; columns without a value are written as null."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def snapshot(rows: DataFrame, folder: str, version: str) -> str:
     """A table version of its own below `folder`; the caller publishes the path last."""
     path = f"{folder}/{re.sub('[^A-Za-z0-9_.-]', '_', version)}"
