@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, html_extraction, language_id, license_scan, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, toxicity
-from quarry.session import table
+from quarry.llm import decontamination, html_extraction, language_id, license_scan, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, token_files, toxicity
+from quarry.session import shared_folder, table
+
+#: The public tokenizer of op12 and the id that it puts behind each document.
+TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 
 
 def _held_out(fold: int, remainder: int) -> Column:
@@ -65,6 +69,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{shared_folder(spark)}/token_files-{uuid.uuid4().hex}"
+    token_files.written(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), END_ID)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -76,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op12_token_files": op12_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
