@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, html_extraction, language_id, license_scan, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, token_files, toxicity
+from quarry.llm import decontamination, html_extraction, language_id, license_scan, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, source_divergence, token_files, toxicity
 from quarry.session import shared_folder, table
 
 #: The public tokenizer of op12 and the id that it puts behind each document.
@@ -69,6 +69,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_source_divergence": op11_source_divergence,
     "op12_token_files": op12_token_files,
 }
 
@@ -97,4 +102,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op10_license_scan": license_scan.ORACLE_SQL,
+    "op11_source_divergence": source_divergence.ORACLE_SQL,
 }
