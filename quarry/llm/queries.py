@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, html_extraction, language_id, license_scan, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, source_divergence, token_files, toxicity
+from quarry.llm import decontamination, html_extraction, language_id, license_scan, lm_scoring, mixing, ngram_join, phrases, quality_classifier, quality_rules, source_divergence, token_files, toxicity
 from quarry.session import shared_folder, table
 
 #: The public tokenizer of op12 and the id that it puts behind each document.
@@ -81,6 +81,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_source_divergence": op11_source_divergence,
     "op12_token_files": op12_token_files,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op10_license_scan": license_scan.ORACLE_SQL,
     "op11_source_divergence": source_divergence.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
 }
