@@ -17,9 +17,10 @@ where they can reach the similarity at all. All of it is lossless:
    any more than m / 4 of them. Each item is looked up by so many of its shingles, those
    that the fewest items share: a phrase that every item begins with joins nothing.
 2. A document must hold item shingles at three quarters of m places.
-3. Windows of such a document are laid where a shared shingle puts the item (place in
-   the document less place in the item), and looked up in that item's index. A window
-   that would reach beyond the text is cut there. Equal windows are looked up once.
+3. Of such a document every window of m shingles is considered, at any start, whatever the
+   order of the shingles in it: how many of them are the item's is counted along the text,
+   and a window with enough of them is looked up in that item's index. A window that would
+   reach beyond the text is cut there. Equal windows are looked up once.
 
 An item of fewer than five words is one shingle of that many words. Rows that are
 exploded or joined carry a key, places and hashes, never a text's words, so that a long
@@ -118,27 +119,48 @@ def _candidates(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFram
     return checkpointed(places.select("_k", "_t", "h").join(_dealt(items, lookup), "h").select("_k", "_t", "item").distinct())
 
 
-def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(_k, _t, item, n, start, wh, sh): windows where a shared shingle puts an item, in texts that hold enough of it."""
+def _hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((_k, _t, words) of the candidate texts, (_k, _t, item, n, m, one, p) of the places at which a text has a shingle
+    of an item that it is a candidate for); `one` is the shingle of an item of fewer than five words."""
     sizes = [r[0] for r in items.select(F.least("n", F.lit(WORDS)).alias("s")).distinct().orderBy("s").collect()]  # at most five
     pairs = _candidates(docs, items, sizes or [WORDS])
     named = pairs.select("_k", "_t").distinct()
     named = F.broadcast(named) if pairs.count() <= BROADCAST_ROWS else named
     held = _keyed(docs.select("doc_id", "text")).join(named, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"])
     held = checkpointed(held.select("_k", "_t", normalised_words(F.col("text")).alias("words")))
-    own = items.select("item", "n", F.size("sh").alias("m"), F.posexplode("sh").alias("off", "h"))
-    hits = _places(held, sizes or [WORDS]).join(_dealt(items, own), "h").join(pairs, ["_k", "_t", "item"], "left_semi")
-    hits = checkpointed(hits.select("_k", "_t", "item", "n", "m", "p", "h", (F.col("p") - F.col("off")).alias("start")))
-    enough = hits.groupBy("_k", "_t", "item", "m").agg(F.count_distinct("p").alias("held")).filter("held >= ceil(3 * m / 4)")
-    laid = hits.join(enough.select("_k", "_t", "item"), ["_k", "_t", "item"], "left_semi")
-    laid = laid.groupBy("_k", "_t", "item", "n", "m", "start").agg(F.min("h").alias("h"))
+    # An item's shingles are joined by text and hash, so that a phrase of many items is met in their candidates only.
+    one = F.when(F.col("n") < WORDS, F.element_at("sh", 1)).alias("one")
+    own = items.select("item", "n", F.size("sh").alias("m"), one, F.explode(F.array_distinct("sh")).alias("h"))
+    wanted = checkpointed(pairs.join(_dealt(items, own), "item"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return held, checkpointed(_places(held, sizes or [WORDS]).join(wanted, ["_k", "_t", "h"]).select("_k", "_t", "item", "n", "m", "one", "p"))
+
+
+def _starts(hits: DataFrame) -> DataFrame:
+    """(_k, _t, item, n, m, one, start, held): every start of a window of m shingles, `held` of them an item's, that can reach
+    the similarity. Between two places where a hit comes in or goes out of the window, `held` stays the same."""
+    by = ["_k", "_t", "item", "n", "m", "one"]
+    enough = hits.groupBy("_k", "_t", "item", "m").agg(F.count("*").alias("held")).filter("4 * held >= 3 * m")
+    steps = hits.join(enough.select("_k", "_t", "item"), ["_k", "_t", "item"], "left_semi")
+    steps = steps.select(*by, F.explode(F.array(F.struct((F.col("p") - F.col("m") + 1).alias("start"), F.lit(1).alias("d")), F.struct((F.col("p") + 1).alias("start"), F.lit(-1).alias("d")))).alias("x"))
+    steps = steps.groupBy(*by, F.col("x.start").alias("start")).agg(F.sum("x.d").alias("d"))
+    along = Window.partitionBy("_k", "_t", "item").orderBy("start")
+    level = steps.withColumn("held", F.sum("d").over(along)).withColumn("next", F.lead("start").over(along))
+    level = level.filter("4 * held >= 3 * m and next is not null")
+    return level.select(*by, "held", F.explode(F.sequence(F.col("start"), F.col("next") - 1)).alias("start"))
+
+
+def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(_k, _t, item, n, start, wh, sh): all windows of item size that can reach the similarity to the item."""
+    held, hits = _hits(docs, items)
     full = F.transform(F.sequence(F.lit(0), F.size("words") - WORDS), lambda i: _shingle("words", i))
     hashes = held.select("_k", "_t", F.when(F.size("words") >= WORDS, full).alias("hs"))
     # The texts are on the side that a merge join holds one row of at a time.
-    rows = laid.hint("merge").join(hashes, ["_k", "_t"])
+    rows = _starts(hits).hint("merge").join(hashes, ["_k", "_t"])
     cut = F.slice("hs", F.greatest("start", F.lit(0)) + 1, F.least(F.col("m"), F.col("m") + F.col("start")))
-    rows = rows.select("_k", "_t", "item", "n", "start", F.when(F.col("n") < WORDS, F.array("h")).otherwise(cut).alias("sh"))
-    return rows.withColumn("wh", F.xxhash64("sh"))
+    rows = rows.withColumn("sh", F.when(F.col("n") < WORDS, F.array("one")).otherwise(cut))
+    # what window and item have in common is `held` at most
+    return rows.filter("7 * held >= 3 * (m + size(sh))").select("_k", "_t", "item", "n", "start", "sh", F.xxhash64("sh").alias("wh"))
 
 
 def item_index(items: DataFrame) -> DataFrame:
@@ -207,9 +229,12 @@ i AS (SELECT r AS item, id AS item_id, ws, len(ws) AS n, least(len(ws), 5) AS s
 ish AS (SELECT item, n, s, off, array_to_string(ws[off + 1:off + s], ' ') AS g FROM (SELECT *, unnest(range(0, n - s + 1)) AS off FROM i)),
 dsh AS (SELECT r, s, p, array_to_string(ws[p + 1:p + s], ' ') AS g FROM
   (SELECT r, ws, s, unnest(range(0, len(ws) - s + 1)) AS p FROM w, (SELECT DISTINCT s FROM i) WHERE kind = 'd' AND len(ws) >= s)),
-win AS (SELECT DISTINCT r, item, n, s, p - off AS start FROM dsh JOIN ish USING (g, s)),
-wsh AS (SELECT win.r, item, win.n, start, g, count(*) AS c FROM win JOIN dsh ON dsh.r = win.r AND dsh.s = win.s AND p >= start AND p <= start + n - win.s GROUP BY ALL),
-tot AS (SELECT r, item, start, sum(c) AS total FROM wsh GROUP BY ALL),
+hit AS (SELECT r, item, n, s, n - s + 1 AS m, p, dsh.g FROM dsh JOIN (SELECT DISTINCT item, n, s, g FROM ish) USING (g, s)),
+cand AS (SELECT r, item FROM hit GROUP BY r, item, m HAVING 4 * count(*) >= 3 * m),
+near AS (SELECT hit.* FROM hit JOIN cand USING (r, item)),
+wsh AS (SELECT r, item, n, s, m, start, g, count(*) AS c FROM (SELECT *, unnest(range(p - m + 1, p + 1)) AS start FROM near) GROUP BY ALL),
+len AS (SELECT r, s, max(p) + 1 AS len FROM dsh GROUP BY ALL),
+tot AS (SELECT DISTINCT r, item, start, least(start + m, len) - greatest(start, 0) AS total FROM wsh JOIN len USING (r, s)),
 ic AS (SELECT item, g, count(*) AS c FROM ish GROUP BY ALL),
 it AS (SELECT item, sum(c) AS total FROM ic GROUP BY ALL),
 com AS (SELECT wsh.r, wsh.item, n, start, sum(least(wsh.c, ic.c)) AS l FROM wsh JOIN ic ON ic.item = wsh.item AND ic.g = wsh.g GROUP BY ALL),
