@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES, LANE_LENGTH = 2_048, 256
+LANES, LANE_LENGTH = 4_096, 256
 _ORDER_BITS, _COUNT_BITS = 12, 18
 _CODE_BITS, _WORD = 32, np.uint64(16)
 _LEAST = np.uint64(1 << _CODE_BITS)
@@ -30,77 +30,89 @@ _U = np.uint64
 
 
 class _Model:
-    """Predictions for one id of each lane, and what is learnt from the ids that came."""
+    """Predictions for one id of each lane, and what is learnt from the ids that came.
+
+    Arrays of two rows are of order 2 and of order 1. `table` has an id and its confidence, as id * 8 + confidence, after
+    each hash of two ids and, from 2**PAIR_BITS on, after each id.
+    """
 
     PAIR_BITS = 18
+    #: Confidence after a prediction that was wrong (first 8) or right, for each confidence before.
+    NEXT = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int32)
+    #: The order by which an id is coded, by whether order 1 (1) and order 2 (2) predict it.
+    ORDER = np.array([2, 1, 0, 0], np.int64)
 
     def __init__(self, vocabulary: int, lanes: int) -> None:
         self.vocabulary = vocabulary
         self.escape_bits = max(1, int(vocabulary - 1).bit_length())
-        self.order1 = np.zeros(vocabulary + 1, np.uint32)  # id * 8 + confidence, after each id
-        self.order2 = np.zeros(1 << self.PAIR_BITS, np.uint32)
-        self.hits = np.ones((128, 3), np.int64)  # of each situation: order 2, order 1, order 0
+        self.table = np.zeros((1 << self.PAIR_BITS) + vocabulary + 1, np.int32)
+        self.at = np.empty((2, lanes), np.int64)
+        self.hits = np.ones((128, 4), np.int64)  # of each situation: order 2, order 1, order 0, not used
+        self.bounds = np.zeros((128, 4), _U)  # where the intervals of the orders begin, and the end
+        self.bounds[:, 3] = 1 << _ORDER_BITS
         self.counts = np.zeros(vocabulary + 1, np.int64)
         self.last = np.full(lanes, vocabulary, np.int64)
         self.before = np.full(lanes, vocabulary, np.int64)
         self.recent: list[np.ndarray] = []
-        self.steps = self.waiting = 0
+        self.taken: list[np.ndarray] = []
+        self.steps = 0
         self._weigh()
         self._count()
 
     def _weigh(self) -> None:
         """Shares of the orders in each situation, in units of 1 / 2**12, each at least one."""
-        total = self.hits.sum(1)
-        size = (1 << _ORDER_BITS) - 3
-        first = 1 + self.hits[:, 0] * size // total
-        second = 1 + self.hits[:, 1] * size // total
-        self.bound1, self.bound2 = first, first + second
+        if self.taken:
+            self.hits += np.bincount(np.concatenate(self.taken), minlength=512).reshape(128, 4)
+            self.taken = []
+        hits = self.hits[:, :3]
+        share = 1 + hits[:, :2] * ((1 << _ORDER_BITS) - 3) // hits.sum(1, keepdims=True)
+        self.bounds[:, 1:3] = np.cumsum(share, 1)
+        self.flat = self.bounds.ravel()
 
     def _count(self) -> None:
-        """Slots of the ids seen and of the escape, 2**18 together."""
+        """Slots of the ids seen and of the escape, 2**18 together. An id not seen yet has the escape's."""
         if self.recent:
             self.counts += np.bincount(np.concatenate(self.recent), minlength=self.vocabulary + 1)
             self.recent = []
-        seen = self.counts > 0
-        room = (1 << _COUNT_BITS) - int(seen.sum()) - (1 << _COUNT_BITS - 7)
-        size = np.where(seen, 1 + self.counts * room // max(1, int(self.counts.sum())), 0)
+        self.unseen = self.counts == 0
+        room = (1 << _COUNT_BITS) - (self.vocabulary + 1 - int(self.unseen.sum())) - (1 << _COUNT_BITS - 7)
+        size = np.where(self.unseen, 0, 1 + self.counts * room // max(1, int(self.counts.sum())))
         size[self.vocabulary] = (1 << _COUNT_BITS) - int(size.sum())
-        self.size, self.start = size, np.cumsum(size) - size
+        start = np.cumsum(size) - size
+        self._own = size
+        size, start = size.astype(_U), start.astype(_U)
+        self.size, self.start = np.where(self.unseen, size[-1], size), np.where(self.unseen, start[-1], start)
         self._slots: np.ndarray | None = None
 
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(self.vocabulary + 1, dtype=np.int64), self.size)
+            self._slots = np.repeat(np.arange(self.vocabulary + 1, dtype=np.int64), self._own)
         return self._slots
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id of order 2, id of order 1, situation) of each lane."""
-        self.pair = ((self.before * 0x9E3779B1 + self.last * 0x85EBCA6B) & 0xFFFFFFFF) >> 32 - self.PAIR_BITS
-        self.held2, self.held1 = self.order2[self.pair], self.order1[self.last]
-        self.guess2, self.guess1 = (self.held2 >> 3).astype(np.int64), (self.held1 >> 3).astype(np.int64)
-        self.situation = ((self.held2 & 7) << 4 | (self.held1 & 7) << 1).astype(np.int64) | (self.guess2 == self.guess1)
-        return self.guess2, self.guess1, self.situation
-
-    @staticmethod
-    def _moved(held: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        sure = held & 7
-        new = (ids.astype(np.uint32) << 3) | 1
-        kept = held - sure + np.where(right, np.minimum(sure + 1, 7), sure >> 1)
-        return np.where(right | (sure > 1), kept, new)
-
-    def learn(self, ids: np.ndarray, order: np.ndarray) -> None:
-        self.order2[self.pair] = self._moved(self.held2, self.guess2 == ids, ids)
-        self.order1[self.last] = self._moved(self.held1, self.guess1 == ids, ids)
-        self.hits += np.bincount(self.situation * 3 + order, minlength=384).reshape(128, 3)
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids predicted by order 2 and 1, four times the situation) of each lane."""
+        self.at[0] = ((self.before * 0x9E3779B1 + self.last * 0x85EBCA6B) & 0xFFFFFFFF) >> 32 - self.PAIR_BITS
+        np.add(self.last, 1 << self.PAIR_BITS, out=self.at[1])
+        held = self.table[self.at]
+        self.guess, self.sure = held >> 3, held & 7
+        situation = (self.sure[0] << 6) + (self.sure[1] << 3)
+        situation += (self.guess[0] == self.guess[1]) * np.int32(4)
+        self.situation = situation.astype(np.int64)
+        return self.guess, self.situation
+
+    def learn(self, ids: np.ndarray, right: np.ndarray, order: np.ndarray) -> None:
+        """`right`: which of the two predictions were the id; `order`: that by which it was coded."""
+        new = np.where(right | (self.sure > 1), self.guess, ids.astype(np.int32)) << 3
+        new += self.NEXT[(right << 3) + self.sure]
+        self.table[self.at] = new
+        self.taken.append(self.situation + order)
         self.recent.append(ids)
         self.before, self.last = self.last, ids
         self.steps += 1
-        self.waiting += 1
-        if self.steps < 16 or self.steps % 4 == 0:
+        if self.steps < 16 or self.steps % 8 == 0:
             self._weigh()
-        if self.waiting >= min(16, 1 + self.steps // 2):
+        if len(self.recent) >= min(64, 1 + self.steps // 2):
             self._count()
-            self.waiting = 0
 
 
 def _layout(n: int) -> tuple[int, int]:
@@ -122,11 +134,6 @@ def encoded(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     low, wide = np.zeros(lanes, _U), np.full(lanes, (1 << 48) - 1, _U)
     out_lane, out_word = [], []
 
-    def narrow(at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        unit = wide[at] >> _U(bits)
-        low[at] += unit * start.astype(_U)
-        wide[at] = unit * size.astype(_U)
-
     def give() -> None:
         at = np.flatnonzero(wide < _LEAST)
         while len(at):
@@ -139,23 +146,27 @@ def encoded(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
 
     for step in range(steps):
         now = columns[step]
-        guess2, guess1, situation = model.predict()
-        order = np.where(now == guess2, 0, np.where(now == guess1, 1, 2))
-        bound1, bound2 = model.bound1[situation], model.bound2[situation]
-        start = np.where(order == 0, 0, np.where(order == 1, bound1, bound2))
-        end = np.where(order == 0, bound1, np.where(order == 1, bound2, 1 << _ORDER_BITS))
-        narrow(slice(None), start, end - start, _ORDER_BITS)
+        guess, situation = model.predict()
+        right = guess == now
+        order = model.ORDER[right[0] * 2 + right[1]]
+        start = model.flat[situation + order]
+        wide >>= _U(_ORDER_BITS)
+        low += wide * start
+        wide *= model.flat[situation + order + 1] - start
         plain = np.flatnonzero(order == 2)
         if len(plain):
             own = now[plain]
-            slot = np.where(model.size[own] > 0, own, vocabulary)
-            narrow(plain, model.start[slot], model.size[slot], _COUNT_BITS)
-            new = plain[slot == vocabulary]
+            unit = wide[plain] >> _U(_COUNT_BITS)
+            low[plain] += unit * model.start[own]
+            wide[plain] = unit * model.size[own]
+            new = plain[model.unseen[own]]
             if len(new):
                 give()
-                narrow(new, now[new], np.ones(len(new)), model.escape_bits)
+                unit = wide[new] >> _U(model.escape_bits)
+                low[new] += unit * now[new].astype(_U)
+                wide[new] = unit
         give()
-        model.learn(now, order)
+        model.learn(now, right, order)
     last = (low + _MASK) >> _U(_CODE_BITS)  # a value within the lane's interval, the rest of it zeros
     lane = np.concatenate([*out_lane, np.arange(lanes, dtype=np.uint16)])
     word = np.concatenate([*out_word, last.astype(np.int64)])
@@ -198,23 +209,22 @@ def decoded(words: np.ndarray, sizes: np.ndarray, n: int, vocabulary: int) -> np
             here = here[wide[here] < _LEAST]
 
     for step in range(steps):
-        guess2, guess1, situation = model.predict()
-        bound1, bound2 = model.bound1[situation], model.bound2[situation]
-        unit = wide >> _U(_ORDER_BITS)
-        value = np.minimum(code // unit, _U((1 << _ORDER_BITS) - 1)).astype(np.int64)
-        order = (value >= bound1).astype(np.int64) + (value >= bound2)
-        start = np.where(order == 0, 0, np.where(order == 1, bound1, bound2))
-        stop = np.where(order == 0, bound1, np.where(order == 1, bound2, 1 << _ORDER_BITS))
-        code -= unit * start.astype(_U)
-        wide = unit * (stop - start).astype(_U)
-        now = np.where(order == 0, guess2, guess1)
+        guess, situation = model.predict()
+        wide >>= _U(_ORDER_BITS)
+        value = code // wide
+        order = (value >= model.flat[situation + 1]).astype(np.int64)
+        order += value >= model.flat[situation + 2]
+        start = model.flat[situation + order]
+        code -= wide * start
+        wide *= model.flat[situation + order + 1] - start
+        now = np.where(order == 0, guess[0], guess[1]).astype(np.int64)
         plain = np.flatnonzero(order == 2)
         if len(plain):
             unit = wide[plain] >> _U(_COUNT_BITS)
             value = np.minimum(code[plain] // unit, _U((1 << _COUNT_BITS) - 1)).astype(np.int64)
             slot = model.slots()[value]
-            code[plain] -= unit * model.start[slot].astype(_U)
-            wide[plain] = unit * model.size[slot].astype(_U)
+            code[plain] -= unit * model.start[slot]
+            wide[plain] = unit * model.size[slot]
             now[plain] = slot
             new = plain[slot == vocabulary]
             if len(new):
@@ -225,5 +235,5 @@ def decoded(words: np.ndarray, sizes: np.ndarray, n: int, vocabulary: int) -> np
                 wide[new] = unit
         take()
         out[step] = now
-        model.learn(now, order)
+        model.learn(now, guess == now, order)
     return np.ascontiguousarray(out.T).reshape(-1)[:n]

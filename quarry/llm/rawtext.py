@@ -15,7 +15,8 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     """(bytes of all texts, offsets): text i is bytes[offsets[i]:offsets[i+1]]; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], texts.type)
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    binary = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
+    texts = pc.fill_null(texts.cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
     _, offsets, data = texts.buffers()
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

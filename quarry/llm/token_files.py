@@ -40,7 +40,7 @@ from pyspark.sql.types import StructType
 
 from quarry.llm.range_coder import decoded, encoded
 from quarry.llm.rawtext import pieces_of
-from quarry.llm.token_ids import Encoder
+from quarry.llm.token_ids import encoder
 from quarry.llm.tokens import packed, unpacked
 
 MAGIC, LIST = b"QTF1", "files.json"
@@ -181,12 +181,12 @@ class _Writer(DataSourceArrowWriter):
         task = TaskContext.get()
         store, folder = _store(self.path)
         name = f"part-{task.partitionId():06d}-{uuid.uuid4().hex}.qtf"
-        encoder = Encoder(self.tokenizer, self.end)
+        texts = encoder(self.tokenizer, self.end)
         store.create_dir(folder, recursive=True)
         with store.open_output_stream(f"{folder}/{name}") as out:
-            file = _File(out, encoder.vocabulary)
+            file = _File(out, texts.vocabulary)
             for rows in pieces_of(iterator, CHARACTERS):
-                file.add(rows.column("doc_id"), *encoder.encode(rows.column("text")))
+                file.add(rows.column("doc_id"), *texts.encode(rows.column("text")))
             return _Written(task.partitionId(), name, *file.close())
 
     def commit(self, messages: list) -> None:
