@@ -30,11 +30,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.rawtext import LOWER, pieces_of, runs, text_bytes
+from quarry.llm.tokens import release_memory
 from quarry.session import checkpointed
 
 MIN_DOCUMENTS, SCALE, TOP = 10, 10**9, 10
 #: Characters of text whose terms a task holds at once.
-CHARACTERS = 32_000_000
+CHARACTERS = 8_000_000
 #: Cells of the matrix of pairs that a task keeps between batches; wider ones are emitted a batch at a time, in strips.
 PAIR_CELLS = 4_000_000
 #: Groups (lang, source) up to which the table of groups is broadcast; beyond, it is joined in SALTS parts of a lang.
@@ -75,6 +76,8 @@ def _partial_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         own = group.take(pa.array(key % group.num_rows))
         names = terms.dictionary.take(pa.array(key // group.num_rows)).cast(pa.large_string())
         out = pa.table([own.column("lang"), names, own.column("source"), pa.array(df.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "term", "source", "df", "n"])
+        del rows, words, terms, of_doc, held, times, doc, term, group, group_of, lists, key, df, n, own, names, before, offsets
+        release_memory()
         yield from out.cast(pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("df", pa.int64()), ("n", pa.int64())])).to_batches(100_000)
 
 
