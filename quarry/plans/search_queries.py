@@ -7,13 +7,15 @@ its source.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine, hash_embedding
-from quarry.operators import cache, evaluation, retrieval
+from quarry.operators import ann, cache, evaluation, postings, retrieval
 from quarry.providers import overlap_relevance
-from quarry.session import checkpointed, table
+from quarry.session import checkpointed, shared_folder, table
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +42,31 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "score", F.round(retrieval.scaled_score(F.col("score")), 7).alias("scaled"), "rank")
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def dense_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense top-k from an inverted file of quantised vectors; every vector is indexed. Not all rows need be the exact ones."""
+    queries, rows = _vectors(spark, sf_dir)
+    folder = _new_folder(spark, "ivf")
+    model = ann.trained(rows)
+    ann.written(rows, model, folder)
+    return ann.search(queries, folder, ann.calibrated(rows, folder, model))
+
+
+def dense_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: rows of the exact search, whether the index finds nine tenths of them, and found rows whose score isn't the
+    exact one."""
+    queries, rows = _vectors(spark, sf_dir)
+    found = checkpointed(dense_ivf(spark, sf_dir).select("query_id", "doc_id", F.col("score").alias("own")))
+    exact = retrieval.dense_top(queries, rows)
+    share = exact.join(found, ["query_id", "doc_id"], "left").agg(F.count("*").alias("expected"), (F.count("own") >= 0.9 * F.count("*")).alias("recall_ok"))
+    pairs = found.join(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("a")), "query_id").join(rows.select(F.col("id").alias("doc_id"), F.col("vector").alias("b")), "doc_id")
+    wrong = pairs.agg(F.count_if(F.col("own") != F.round(cosine(F.col("a"), F.col("b")), 6)).alias("wrong_scores"))
+    return share.crossJoin(wrong)  # one row each
+
+
 def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of every vector with that of id 0."""
     queries, rows = _vectors(spark, sf_dir)
@@ -58,6 +85,28 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25_top(*_texts(spark, sf_dir))
 
 
+def _with_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+
+
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`bm25_topk` from a written index, by blocks whose bounds reach the tenth score."""
+    folder = _new_folder(spark, "postings")
+    postings.updated(_with_sources(spark, sf_dir), folder)
+    return postings.search(_texts(spark, sf_dir)[0], folder)[0]
+
+
+def bm25_index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after an update: the index was written when source src0 had other texts, src1 wasn't there and src99 was;
+    with how many sources the update has indexed, dropped and left alone."""
+    folder, docs = _new_folder(spark, "postings"), _with_sources(spark, sf_dir)
+    old = docs.filter("source <> 'src1'").withColumn("text", F.when(F.col("source") == "src0", F.reverse("text")).otherwise(F.col("text")))
+    postings.updated(old.unionByName(docs.filter("source = 'src2'").select(-F.col("id") - 1, F.lit("src99"), "text").toDF("id", "source", "text")), folder)
+    counts = postings.updated(docs, folder)
+    found = postings.search(_texts(spark, sf_dir)[0], folder)[0]
+    return found.select("*", *[F.lit(counts[c]).cast("long").alias(c) for c in ("changed", "gone", "kept")])
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse ranks fused with ranks by the length of the document among its ten candidates."""
     sparse = _sparse(spark, sf_dir)
@@ -127,7 +176,7 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (dense_topk, vector_similarity, semantic_cache_lookup, bm25_topk, rrf_fusion, rerank_filter, acl_retrieve, multi_corpus, locate, search_stage_counts, hybrid_search, recall_mrr)
+    for f in (dense_topk, dense_ivf, dense_ivf_recall, bm25_indexed, bm25_index_update, vector_similarity, semantic_cache_lookup, bm25_topk, rrf_fusion, rerank_filter, acl_retrieve, multi_corpus, locate, search_stage_counts, hybrid_search, recall_mrr)
 }
 
 _V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT q.id AS query_id, v.id AS doc_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.id % 20 = 0), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c)"
@@ -142,6 +191,9 @@ _BM25 = r"""q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS
 
 ORACLE_SQL = {
     "dense_topk": f"WITH {_V} SELECT query_id, doc_id, score, round((1 + score) / 2, 7) AS scaled, CAST(rank AS INTEGER) AS rank FROM d WHERE rank <= 4",
+    "dense_ivf_recall": "SELECT count(*) FILTER (vec_id % 20 = 0) * least(4, count(*)) AS expected, true AS recall_ok, 0 AS wrong_scores FROM embeddings",
+    "bm25_indexed": f"WITH {_BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r",
+    "bm25_index_update": f"WITH {_BM25}, s AS (SELECT count(DISTINCT source) AS n, count(DISTINCT source) FILTER (source IN ('src0', 'src1')) AS changed, max(CASE WHEN source = 'src2' THEN 1 ELSE 0 END) AS gone FROM documents) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, changed, CAST(gone AS BIGINT) AS gone, n - changed AS kept FROM r, s",
     "vector_similarity": "SELECT v.vec_id AS id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id = 0",
     "semantic_cache_lookup": """WITH h AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id % 7 DESC, vec_id % 100 DESC, vec_id DESC) AS place FROM embeddings WHERE vec_id % 20 <> 0 ORDER BY place LIMIT 500),
       c AS (SELECT q.vec_id AS query_id, h.vec_id AS doc_id, place, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(h.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, h WHERE q.vec_id % 20 = 0)
