@@ -36,7 +36,7 @@ from quarry.session import checkpointed
 DEPTH, MIN_COUNT, BEST = 3, 10, 2_000
 SCALE, COVERED = 1_000_000, (50, 100)
 #: Characters of a shard, and of the texts whose phrases fall into a range on average.
-SHARD_CHARACTERS, RANGE_CHARACTERS = 16_000_000, 8_000_000
+SHARD_CHARACTERS, RANGE_CHARACTERS = 8_000_000, 8_000_000
 #: For the bounds of ranges: documents sampled at least, phrases taken of each at most, phrases for each range, and
 #: phrases that one task sorts.
 SAMPLED, OF_EACH, OF_EACH_RANGE, SORTED_AT_ONCE = 2_000, 50, 40, 200_000
