@@ -2,51 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.containing import containing
+
 #: What an honest answer outside the knowledge base says.
 HONEST_MARKERS = ["知识库无相关内容", "模型通识", "未找到", "没有找到", "无法从知识库"]
 
 
-#: Questions that a task looks for in one reading of the documents.
-QUESTIONS_AT_ONCE = 50_000
-
-
 def holders(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id): the documents (doc_id, text) whose text holds a non-blank question (query_id, question) whole.
-
-    The questions are a stated set. All of a block are looked for in one pass over each
-    text by an Aho-Corasick automaton; more than QUESTIONS_AT_ONCE are taken in blocks.
-    """
-    asked = questions.filter("query_id is not null and question is not null and trim(question) <> ''").select(F.col("query_id").cast("long").alias("query_id"), "question")
-    blocks = -(-asked.count() // QUESTIONS_AT_ONCE)
-    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def finder(ids_of: dict[str, list[int]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = ahocorasick.Automaton()
-            for question, ids in ids_of.items():
-                words.add_word(question, ids)
-            words.make_automaton()
-            for batch in batches:
-                found = [sorted({i for _, ids in words.iter(text.as_py()) for i in ids}) for text in batch.column("text")]
-                at = pa.array([k for k, ids in enumerate(found) for _ in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([i for ids in found for i in ids], pa.int64()), batch.column("doc_id").take(at)], names=["query_id", "doc_id"])
-
-        return run
-
-    out = docs.sparkSession.createDataFrame([], "query_id long, doc_id long")
-    for block in range(blocks):
-        ids_of: dict[str, list[int]] = {}
-        for row in asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect():  # about QUESTIONS_AT_ONCE
-            ids_of.setdefault(row["question"], []).append(row["query_id"])
-        out = out.union(texts.mapInArrow(finder(ids_of), "query_id long, doc_id long")) if ids_of else out
-    return out
+    """(query_id, doc_id): the documents (doc_id, text) whose text holds a non-blank question (query_id, question) whole."""
+    asked = questions.filter("query_id is not null and question is not null and trim(question) <> ''").select(F.col("query_id").cast("long").alias("query_id"), F.col("question").alias("pattern"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return containing(texts, asked).join(asked, "pattern").select("query_id", F.col("id").alias("doc_id"))
 
 
 def hit_ranks(questions: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: A glossary of up to so many aliases is broadcast.
-GLOSSARY_ROWS = 10_000
+from quarry.operators.containing import containing
 
 
 def session_list(sessions: DataFrame, messages: DataFrame) -> DataFrame:
@@ -71,8 +69,8 @@ def exported(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 def glossary_notes(questions: DataFrame, glossary: DataFrame) -> DataFrame:
     """(query_id, note): definitions (alias, definition, pos) of the aliases that a question contains, in the glossary's order."""
-    small = glossary.count() <= GLOSSARY_ROWS
-    hits = questions.join(F.broadcast(glossary) if small else glossary, F.contains(F.col("question"), F.col("alias")))
+    found = containing(questions.select(F.col("query_id").alias("id"), F.col("question").alias("text")), glossary.select(F.col("alias").alias("pattern")))
+    hits = found.select(F.col("id").alias("query_id"), F.col("pattern").alias("alias")).join(glossary, "alias")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("alias", F.lit("＝"), "definition").alias("t")))), lambda x: x["t"])
     notes = hits.groupBy("query_id").agg(F.array_join(parts, "；").alias("note"))
     return questions.select("query_id").join(notes, "query_id", "left").withColumn("note", F.coalesce("note", F.lit("")))
