@@ -5,6 +5,8 @@ Queries are a stated set that is matched with all rows. Ties go to the smaller i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -90,27 +92,28 @@ def _idf(df: DataFrame, n: int) -> DataFrame:
     return idf.crossJoin(F.broadcast(floor)).select("term", lifted.alias("idf"))
 
 
-def bm25_top(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, digits: int = 6) -> DataFrame:
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, digits: int = 6, words: Callable[[Column], Column] | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi BM25 of queries (id, text) over docs (id, text).
 
     The queries are a stated set. If their words and number are small enough for a matrix
     (MATRIX_CELLS, the usual case), batches of documents are scored against all queries by
     a matrix product and give their best k of each, so that postings are never shuffled;
     else words are joined and grouped. The top k are taken first and scores not above 0
-    dropped then. Null texts have no words; rows with a null id are left out.
+    dropped then. Null texts have no words; rows with a null id are left out. `words` cuts
+    texts in the place of `tokens`, for example with a learnt lexicon; then words are joined.
     """
     docs = docs.filter("id is not null")
-    asked = queries.filter("id is not null").select(F.col("id").cast("long").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = queries.filter("id is not null").select(F.col("id").cast("long").alias("query_id"), F.explode((words or tokens)(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     terms, n_queries = asked.agg(F.count_distinct("term"), F.count_distinct("query_id")).first()
-    if 0 < terms * n_queries <= MATRIX_CELLS:
+    if words is None and 0 < terms * n_queries <= MATRIX_CELLS:
         scores = _matrix_scores(asked, docs, k, digits)
     else:
-        scores = _joined_scores(asked, docs, digits)
+        scores = _joined_scores(asked, docs, digits, words or tokens)
     return top(scores, k).filter("score > 0")
 
 
-def _joined_scores(asked: DataFrame, docs: DataFrame, digits: int) -> DataFrame:
-    words = docs.select(F.col("id").alias("doc_id"), tokens(F.col("text")).alias("words"))
+def _joined_scores(asked: DataFrame, docs: DataFrame, digits: int, cut: Callable[[Column], Column]) -> DataFrame:
+    words = docs.select(F.col("id").alias("doc_id"), cut(F.col("text")).alias("words"))
     n, mean = words.agg(F.count("*"), F.avg(F.size("words"))).first()
     terms = asked.select("term").distinct()
     placed = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms, "term", "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine, hash_embedding
-from quarry.operators import ann, cache, evaluation, postings, retrieval
+from quarry.operators import ann, cache, evaluation, postings, retrieval, segmentation
 from quarry.providers import overlap_relevance
 from quarry.session import checkpointed, shared_folder, table
 
@@ -107,6 +107,23 @@ def bm25_index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", *[F.lit(counts[c]).cast("long").alias(c) for c in ("changed", "gone", "kept")])
 
 
+#: Runs of lower-cased Latin letters, in the place of those of a script without spaces, of which the tables have none.
+LATIN_RUNS = "[a-z\u00df-\u00f6\u00f8-\u00ff]+"
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that are learnt from all documents, read as runs of letters: frequent strings within words."""
+    runs = segmentation.run_counts(table(spark, sf_dir, "documents"), LATIN_RUNS)
+    return segmentation.words_of(segmentation.gram_statistics(runs)).select(F.col("gram").alias("word"), "n", "information", "left", "right")
+
+
+def bm25_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse search whose words are parts of words, cut by the lexicon that is learnt from all documents."""
+    queries, docs = _texts(spark, sf_dir)
+    words = segmentation.segmenter(segmentation.learnt(docs, LATIN_RUNS), LATIN_RUNS, r"\p{N}+")
+    return retrieval.bm25_top(queries, docs, words=words)
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse ranks fused with ranks by the length of the document among its ten candidates."""
     sparse = _sparse(spark, sf_dir)
@@ -176,7 +193,7 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (dense_topk, dense_ivf, dense_ivf_recall, bm25_indexed, bm25_index_update, vector_similarity, semantic_cache_lookup, bm25_topk, rrf_fusion, rerank_filter, acl_retrieve, multi_corpus, locate, search_stage_counts, hybrid_search, recall_mrr)
+    for f in (dense_topk, dense_ivf, dense_ivf_recall, bm25_indexed, bm25_index_update, lexicon, bm25_lexicon, vector_similarity, semantic_cache_lookup, bm25_topk, rrf_fusion, rerank_filter, acl_retrieve, multi_corpus, locate, search_stage_counts, hybrid_search, recall_mrr)
 }
 
 _V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT q.id AS query_id, v.id AS doc_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.id % 20 = 0), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c)"
@@ -194,6 +211,15 @@ ORACLE_SQL = {
     "dense_ivf_recall": "SELECT count(*) FILTER (vec_id % 20 = 0) * least(4, count(*)) AS expected, true AS recall_ok, 0 AS wrong_scores FROM embeddings",
     "bm25_indexed": f"WITH {_BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r",
     "bm25_index_update": f"WITH {_BM25}, s AS (SELECT count(DISTINCT source) AS n, count(DISTINCT source) FILTER (source IN ('src0', 'src1')) AS changed, max(CASE WHEN source = 'src2' THEN 1 ELSE 0 END) AS gone FROM documents) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, changed, CAST(gone AS BIGINT) AS gone, n - changed AS kept FROM r, s",
+    "lexicon": r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+')) AS run FROM documents), u AS (SELECT run, count(*) AS n FROM w GROUP BY run),
+      g AS (SELECT substr(run, i, m) AS gram, m, CASE WHEN i = 1 THEN '^' ELSE substr(run, i - 1, 1) END AS l, CASE WHEN i + m > length(run) THEN '$' ELSE substr(run, i + m, 1) END AS r, n
+        FROM (SELECT run, n, m, unnest(range(1, length(run) - m + 2)) AS i FROM u, (VALUES (1), (2), (3), (4)) s(m) WHERE length(run) >= m)),
+      c AS (SELECT gram, m, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY ALL), t AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM c WHERE m = 1),
+      i AS (SELECT c.gram, min(ln(c.n * total / (a.n * CAST(b.n AS DOUBLE)))) AS information FROM (SELECT *, unnest(range(1, m)) AS k FROM c WHERE m > 1 AND n >= 5) c, t, c a, c b WHERE a.gram = substr(c.gram, 1, k) AND b.gram = substr(c.gram, k + 1) GROUP BY c.gram),
+      e AS (SELECT gram, 'l' AS side, CAST(sum(n) AS DOUBLE) AS n FROM g GROUP BY gram, l UNION ALL SELECT gram, 'r', CAST(sum(n) AS DOUBLE) FROM g GROUP BY gram, r),
+      h AS (SELECT gram, side, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 4) AS h FROM e GROUP BY ALL)
+      SELECT c.gram AS word, c.n, round(information, 4) AS information, a.h AS "left", b.h AS "right" FROM c JOIN i ON i.gram = c.gram JOIN h a ON a.gram = c.gram AND a.side = 'l' JOIN h b ON b.gram = c.gram AND b.side = 'r'
+      WHERE round(information, 4) >= 2.0 AND least(a.h, b.h) >= 0.8""",
     "vector_similarity": "SELECT v.vec_id AS id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id = 0",
     "semantic_cache_lookup": """WITH h AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id % 7 DESC, vec_id % 100 DESC, vec_id DESC) AS place FROM embeddings WHERE vec_id % 20 <> 0 ORDER BY place LIMIT 500),
       c AS (SELECT q.vec_id AS query_id, h.vec_id AS doc_id, place, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(h.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, h WHERE q.vec_id % 20 = 0)
