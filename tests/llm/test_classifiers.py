@@ -118,12 +118,11 @@ def test_toxicity_equals_plain_scores():
         return float(np.mean(model.values[buckets]))
 
     def plain(text):
-        own = [value(w) for w in plain_words(text)]
+        own = sorted((value(w) for w in plain_words(text)), reverse=True)
         if not own:
             return 0.0
-        average = sum(1 / (1 + math.exp(-(v + model.bias))) for v in own) / len(own)
-        run = max((sum(own[i : i + 2]) / 2 for i in range(len(own) - 1)), default=own[0])
-        return max(average / (average + model.average_cut), 1 / (1 + math.exp(-max(-40.0, min(40.0, run - model.run_cut)))))
+        logit = lambda x: 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
+        return max(logit(sum((own * 2)[:2] if len(own) == 1 else own[:2]) / 2 - model.cut), logit(own[0] - model.word_cut))
 
     cases = [*texts[:30], "Ka, TA! grumblefinks", "ka", "", None, "...", "été 中文 ka", *[text_in(rng, "cc", 700)]]
     assert np.allclose(model.scores(pa.array(cases)), [plain(t) for t in cases], atol=1e-9)
