@@ -2,12 +2,15 @@
 
 A page is cut into leaf blocks, the runs of text between block-level tags. Each block
 has binary features: its tag and ancestors' tags, words of their class, id and role
-attributes, and shape of its text (length, links, punctuation). A linear-chain CRF with
-two labels, main text and rest, is trained on labelled pages by its conditional
-likelihood and decodes a page's blocks by Viterbi.
+attributes, shape of its text (length, links, punctuation), and its place: how far down
+the page it is, how long beside the longest block, and the shape of the blocks around it.
+A linear-chain CRF with two labels, main text and rest, is trained on labelled pages by
+its conditional likelihood and decodes a page's blocks by Viterbi; of equally good
+labellings it takes the one with less main text.
 
 The labelled pages are generated here: common page layouts with random words, so that
-nothing but structure tells main text from the rest.
+nothing but structure tells main text from the rest. A third of them have no telling names at
+all, so that a page whose names say nothing is judged by the rest of the features.
 """
 
 from __future__ import annotations
@@ -43,6 +46,14 @@ _CLOSES_P = _BLOCK - frozenset("option optgroup button label select textarea".sp
 class Block:
     text: str
     features: list[str]
+    words: int = 0
+    links: int = 0  # quarters of the text that are links, rounded down
+    zone: str = "silent"  # what the names and kinds of the elements around it say: inside (main text), outside or silent
+
+    @property
+    def flows(self) -> bool:
+        """Whether it looks like a paragraph: many words, few of them links."""
+        return self.words >= 15 and not self.links
 
 
 class _OpenElements:
@@ -110,7 +121,8 @@ def leaf_blocks(page: str | None, known: Container[str] | None = None) -> list[B
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            blocks.append(Block(text, _features(text, opened, linked)))
+            n, quarters = text.count(" ") + 1, min(4, 4 * linked // len(text))
+            blocks.append(Block(text, _features(text, opened, n, quarters), n, quarters, _zone(opened.features)))
         linked = 0
 
     size = len(page)
@@ -163,18 +175,36 @@ def leaf_blocks(page: str | None, known: Container[str] | None = None) -> list[B
                 words += _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower())
         opened.push(name, tuple(words), name == "a" and _HREF.search(tag["attrs"]) is not None)
     flush()
+    _place(blocks)
     return blocks
 
 
-def _features(text: str, opened: _OpenElements, linked: int) -> list[str]:
+def _place(blocks: list[Block]) -> None:
+    """Adds to each block the features of its place among the others."""
+    longest, total = max((b.words for b in blocks), default=1), max(1, sum(b.words for b in blocks))
+    done = 0
+    for i, b in enumerate(blocks):
+        around = [x.flows for x in blocks[max(0, i - 3) : i] + blocks[i + 1 : i + 4]]
+        b.features += [f"beside:{min(6, (longest // b.words).bit_length())}", f"at:{5 * done // total}", f"flow:{min(3, sum(around))}", f"blocks:{min(5, len(blocks).bit_length())}"]
+        b.features += [f"shape:{min(5, b.words.bit_length())}:{b.links}", f"flow:{min(3, sum(around))}:{b.links}:{min(4, b.words.bit_length())}"]
+        shape = f"{min(5, b.words.bit_length())}:{b.links}"
+        b.features += [b.zone, f"{b.zone}:{shape}", f"{b.zone}:flow:{min(3, sum(around))}:{b.links}", f"{b.zone}:beside:{min(4, (longest // b.words).bit_length())}:{b.links}"]
+        for name, j in (("before", i - 1), ("after", i + 1)):
+            if 0 <= j < len(blocks):
+                b.features += [f"{name}:{min(5, blocks[j].words.bit_length())}", f"{name}:links:{blocks[j].links}"]
+            else:
+                b.features.append(f"{name}:none")
+        done += b.words
+
+
+def _features(text: str, opened: _OpenElements, n: int, quarters: int) -> list[str]:
     blocks = sorted(((depths[-1], name) for name in _BLOCK if (depths := opened.depths[name])), reverse=True)
     own = blocks[0][1] if blocks else "none"
     up = next((name for _, name in blocks if name not in (own, "p", "b")), "none")
     found = {"bias", f"own:{own}", f"up:{up}>{own}", *opened.features}
     found |= {f"near:{word}" for word in (opened.worded[-1] if opened.worded else ())}
-    n = text.count(" ") + 1
     found.add(f"words:{min(6, n.bit_length())}")
-    found.add(f"links:{min(4, 4 * linked // max(1, len(text)))}")
+    found.add(f"links:{quarters}")
     if text[-1] in ".!?…":
         found.add("stops")
     if "©" in text:
@@ -267,14 +297,14 @@ def fit(pages: list[tuple[list[Block], list[bool]]], epochs: int = 14, ridge: fl
 #: Usual names of page parts in class and id attributes.
 _MAIN_NAMES = "content main post entry article story body text post-content entry-content article-body main-content page-content story-body post-body articleBody single hentry".split()
 _REST_NAMES = {
-    "menu": "nav navbar menu navigation main-menu topbar breadcrumb breadcrumbs pagination pager toolbar tabs site-nav skip-links".split(),
-    "head": "header masthead site-header page-header banner logo branding top".split(),
-    "foot": "footer site-footer page-footer copyright legal bottom colophon".split(),
-    "side": "sidebar side aside widget widgets related related-posts recommended popular trending most-read tags tagcloud archive-list author-box share social sharing follow".split(),
-    "notice": "cookie cookie-notice cookie-banner consent gdpr notice alert message popup modal overlay newsletter subscribe paywall disclaimer announcement".split(),
-    "advert": "ad ads advert advertisement adsbygoogle sponsor sponsored promo promotion banner-ad ad-slot dfp outbrain taboola".split(),
-    "form": "search search-form login signup contact-form form subscribe-form".split(),
-    "comment": "comments comment comment-list commentlist comment-body comment-text reply respond disqus discussion reader-comments responses reviews".split(),
+    "menu": "nav navbar menu navigation main-menu topbar breadcrumb breadcrumbs pagination pager toolbar tabs site-nav skip-links hauptmenue navigation-principale navegacion".split(),
+    "head": "header masthead site-header page-header banner logo branding top kopfzeile entete cabecera".split(),
+    "foot": "footer site-footer page-footer copyright legal bottom colophon fusszeile impressum pied-de-page pie-de-pagina".split(),
+    "side": "sidebar side aside widget widgets related related-posts recommended popular trending most-read tags tagcloud archive-list author-box share social sharing follow seitenleiste barre-laterale barra-lateral".split(),
+    "notice": "cookie cookie-notice cookie-banner consent gdpr notice alert message popup modal overlay newsletter subscribe paywall disclaimer announcement hinweis avis aviso".split(),
+    "advert": "ad ads advert advertisement adsbygoogle sponsor sponsored promo promotion banner-ad ad-slot dfp outbrain taboola werbung anzeige publicite publicidad anuncio".split(),
+    "form": "search search-form login signup contact-form form subscribe-form suche recherche buscar".split(),
+    "comment": "comments comment comment-list commentlist comment-body comment-text reply replies respond disqus discussion reader-comments responses reviews kommentare kommentar commentaires commentaire comentarios leserbriefe".split(),
 }
 
 
@@ -282,6 +312,21 @@ _REST_NAMES = {
 _PLAIN_NAMES = "row col col-md-8 col-12 column container container-fluid inner wrap wrapper outer layout grid flex app root site block section region pane panel box holder clearfix group".split()
 
 
+def _name_features(names: list[str]) -> set[str]:
+    return {f"word:{part}" for name in names for part in _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())}
+
+
+#: Features of ancestors that say main text, and those that say the rest.
+_INSIDE = frozenset({"in:article", "in:main"} | _name_features(_MAIN_NAMES))
+_OUTSIDE = frozenset({"in:nav", "in:header", "in:footer", "in:aside", "in:form"} | _name_features([n for names in _REST_NAMES.values() for n in names])) - _INSIDE - _name_features(["list", "site", "page", "most", "author", "box", "top", "head", "slot", "de"])
+
+
+def _zone(features: Container[str]) -> str:
+    if not _OUTSIDE.isdisjoint(features):
+        return "outside"
+    return "silent" if _INSIDE.isdisjoint(features) else "inside"
+
+
 #: A character of private use that marks blocks of main text in labelled pages.
 MARK = "\ue000"
 
@@ -303,6 +348,8 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
 
     def named(kind: str, element: str = "div") -> tuple[str, str]:
         name = rng.choice(_REST_NAMES[kind])
+        if bare:
+            return rng.choice([f"<{element}>", f'<{element} class="{word()}">']), f"</{element}>"
         return f'<{element} {rng.choice(["class", "class", "id"])}="{name}{rng.choice(["", "", " " + word()])}">', f"</{element}>"
 
     def wrapped(inner: str, often: float) -> str:
@@ -319,16 +366,22 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
 
     def rest_part(kind: str) -> str:
         semantic = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside"}.get(kind)
-        if semantic and rng.random() < 0.6:
+        if semantic and rng.random() < (0.25 if bare else 0.6):
             a, b = (f"<{semantic}>", f"</{semantic}>") if rng.random() < 0.6 else named(kind, semantic)
         else:
             a, b = named(kind, rng.choice(["div", "div", "section", "p" if kind in ("advert", "notice") else "div"]))
         if kind == "menu":
             inner = f"<ul>{items(rng.randint(2, 8))}</ul>" if rng.random() < 0.7 else " | ".join(link() for _ in range(rng.randint(2, 6)))
+        elif kind == "head" and bare:
+            inner = rng.choice([f"<a href='/'>{sentence(1, 3)}</a>", f"<div>{link()}</div>"])
+        elif kind == "foot" and bare:
+            inner = rng.choice([f"&copy; {word()} {words(1, 40)}", f"<p>© {sentence(1, 5)} {link()} {link()}</p>", f"<ul>{items(3)}</ul>", f"<p>&copy; {words(1, 20)}</p><p>{link()} {link()}</p>"])
         elif kind == "head":
             inner = rng.choice([f"<h1>{sentence(1, 5)}</h1>", f"<a href='/'>{sentence(1, 3)}</a>", f"<div>{sentence(1, 6)}</div><p>{sentence(2, 9)}</p>"])
         elif kind == "foot":
             inner = rng.choice([f"&copy; {word()} {words(1, 40)}", f"<p>© {sentence(1, 5)}</p>", words(1, 50), f"<ul>{items(3)}</ul><p>{words(1, 30)}</p>", f"&copy; {word()}.example.com &middot; {words(1, 40)}"])
+        elif kind == "side" and bare:
+            inner = f"<h3>{sentence(1, 4)}</h3><ul>{items(rng.randint(2, 6))}</ul>"
         elif kind == "side":
             inner = rng.choice([f"<h3>{sentence(1, 4)}</h3><ul>{items(rng.randint(2, 6))}</ul>", f"<h2>{sentence(1, 4)}</h2><p>{words(3, 50)}</p>", f"<p>{words(3, 60)}</p>", items(3)])
         elif kind == "form":
@@ -337,12 +390,16 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
             one = lambda: rng.choice(
                 [f"<div class='comment'><b>{word()}</b><p>{words(3, 60)}</p></div>", f"<li class='comment'><p>{words(3, 60)}</p></li>", f"<article class='comment'><p>{words(3, 60)}</p></article>", f"<p>{words(3, 60)}</p>", f"<blockquote>{words(3, 40)}</blockquote>"]
             )
-            inner = rng.choice(["", f"<h3>{sentence(1, 3)}</h3>"]) + "".join(wrapped(one(), 0.2) for _ in range(rng.randint(1, 4)))
+            size = rng.randint(2, 4)
+            inner = rng.choice(["", f"<h{size}>{sentence(1, 3)}</h{size}>", f"<h{size}>{rng.randint(1, 99)} {sentence(1, 3)}</h{size}>"]) + "".join(wrapped(one(), 0.2) for _ in range(rng.randint(1, 4)))
         else:
             inner = rng.choice([words(2, 40), words(2, 40), f"<p>{words(2, 40)}</p>", link(), f"<span>{words(2, 20)}</span> {link()}"])
         return a + wrapped(inner, 0.3) + b
 
     def main_block() -> str:
+        if rng.random() < 0.05:  # sources, or what else an article links to
+            links = "".join(f"<li>{MARK}{link()}{rng.choice(['', ' ' + words(1, 9)])}</li>" for _ in range(rng.randint(1, 5)))
+            return f"<h3>{MARK}{sentence(1, 3)}</h3><ul>{links}</ul>" if rng.random() < 0.7 else f"<ul>{links}</ul>"
         text = MARK + words(1, rng.choice([3, 30, 60, 90]))
         if rng.random() < 0.25:
             text += f" <a href='#'>{sentence(1, 3)}</a> " + words(1, 20)
@@ -359,15 +416,24 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
 
     pages = []
     for _ in range(n):
+        bare = rng.random() < 0.33  # nothing in it has a name that says what it is
+        flow = rng.random()
+        if flow < 0.02:  # no markup at all
+            pages.append(MARK + " \n\n".join(words(10, 90) for _ in range(rng.randint(1, 6))))
+            continue
         body = [wrapped(main_block(), 0.08) for _ in range(rng.choice([0, 1, 1, 1, 2, 3, 4, 6, 9, 14]))]
-        if rng.random() < 0.2:  # a page without paragraph elements
+        if rng.random() < (0.45 if bare else 0.2):  # a page without paragraph elements
             body = [block.replace("<p>", "<div>").replace("</p>", "</div>") for block in body]
-        if rng.random() < 0.7 or not body:
+        running = flow < (0.35 if bare else 0.08)
+        if running:  # text in its container itself, with breaks
+            a, b = rng.choice([("", ""), ("<span>", "</span>"), ("<font>", "</font>")])
+            body = [MARK + f"<br>{rng.choice(['', '<br>'])}".join(f"{a}{words(10, 90)}{b}" for _ in range(rng.randint(1, 6)))]
+        if rng.random() < (0.35 if running else 0.7) or not body:
             body.insert(0, f"<h1>{MARK}{sentence(1, 9)}</h1>")
-        for kind in rng.choices(["advert", "side", "notice", "form", "comment", "menu"], k=rng.choice([0, 0, 0, 1, 1, 2])):
+        for kind in [] if bare else rng.choices(["advert", "side", "notice", "form", "comment", "menu"], k=rng.choice([0, 0, 0, 1, 1, 2])):
             body.insert(rng.randint(1, len(body)) if kind != "comment" else len(body), rest(kind))
         inner = wrapped("".join(body), 0.45)
-        layout = rng.random()
+        layout = rng.random() if not bare else rng.choice([0.1, 0.9, 0.9, 0.9])
         if layout < 0.4:
             open_, close = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), (f'<article class="{rng.choice(_MAIN_NAMES)}">', "</article>"), ('<div role="main">', "</div>")])
         elif layout < 0.72:
@@ -377,8 +443,8 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
             open_, close = f'<table><tr><td class="{rng.choice(_REST_NAMES["side"])}">{items(4)}</td><td class="{rng.choice(_MAIN_NAMES)}">', "</td></tr></table>"
         else:
             open_, close = rng.choice([("", ""), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("<section>", "</section>")])
-        before = [rest(k) for k in ("notice", "head", "menu", "form", "advert", "side") if rng.random() < (0.7 if k == "menu" else 0.35)]
-        after = [rest(k) for k in ("comment", "side", "advert", "form", "notice", "foot") if rng.random() < (0.85 if k == "foot" else 0.3)]
+        before = [rest(k) for k in (("head", "menu", "form") if bare else ("notice", "head", "menu", "form", "advert", "side")) if rng.random() < (0.7 if k == "menu" else 0.35)]
+        after = [rest(k) for k in (("side", "form", "foot") if bare else ("comment", "side", "advert", "form", "notice", "foot")) if rng.random() < (0.85 if k == "foot" else 0.3)]
         if rng.random() < 0.35:  # a page of little but its article
             before, after = before[: rng.choice([0, 0, 0, 1])], after[: rng.choice([0, 1])]
         head = f"<!DOCTYPE html><html><head><title>{sentence(1, 6)}</title><style>p{{}}</style></head><body>"
@@ -396,9 +462,9 @@ def labelled_blocks(page: str) -> tuple[list[Block], list[bool]]:
 
 
 @functools.lru_cache(maxsize=4)
-def trained(n_pages: int = 1_200, seed: int = 11) -> TaggerModel:
+def trained(n_pages: int = 1_600, seed: int = 11) -> TaggerModel:
     """The model of so many generated pages."""
-    pages = [labelled_blocks(p) for p in labelled_pages(n_pages, seed)]
+    pages = [labelled_blocks(html) for html in labelled_pages(n_pages, seed)]
     return fit([(blocks, labels) for blocks, labels in pages if len(blocks) == len(labels)])
 
 

@@ -66,3 +66,38 @@ PAGES = [
     (PLAIN, joined(A, B, C)),
     (SECTIONS, joined(f"{A} See the map {B}", D, C)),
 ]
+
+#: Pages whose names say nothing, or in other languages, and pages of hardly any markup.
+E = "The harbour office had warned that fog might delay the first lorries, but by noon the queue on the eastern bank was gone."
+G = "For the winter the council plans extra salt depots on both sides, since the deck freezes earlier than the roads around it."
+T = "A bridge opens"
+
+
+def page(body: str, title: str = "Bridge") -> str:
+    return f"{head(title)}<body>{body}</body></html>"
+
+
+NAMELESS = [
+    (page(f"<div><div><a href='/'>Home</a></div><div><a href='/n'>News</a></div></div><div><div>{T}</div><div>{A}</div><div>{B}</div><div>{C}</div></div><div><div>© 2024 The Estuary Times</div></div>"), joined(A, B, C)),
+    (page(f"<div><div>{T}</div><div>{A}</div><div>{B}</div><div>{C}</div></div>"), joined(A, B, C)),
+    (page(f"<div>{LINKS}</div><div><span>{A}</span><br><br><span>{B}</span><br><br><span>{C}</span></div><div>{FOOT}</div>"), f"{A} {B} {C}"),
+    (page(f"{A}<br><br>{B}<br><br>{C}"), f"{A} {B} {C}"),
+    (f"{A}\n\n{B}\n\n{C}", f"{A} {B} {C}"),
+    (page(f"<nav>{LINKS}</nav><article><h1>{T}</h1><p>{A}</p><p>{B}</p><h2>Sources</h2><ul><li><a href='/1'>Port authority report</a></li><li><a href='/2'>Council minutes</a></li></ul></article><footer>{FOOT}</footer>"), joined(A, B, "Sources Port authority report Council minutes")),
+    (page(f"<nav>{LINKS}</nav><article><h1>{T}</h1><p>{A}</p><p>{B}</p></article><section id='replies'><h3>Replies</h3><div><p>{K}</p></div><div><p>{L}</p></div></section>"), joined(A, B)),
+    (page(f"<div class='kopfzeile'>Die Zeitung</div><div class='inhalt'><h1>{T}</h1><p>{A}</p><p>{B}</p></div><div class='kommentare'><h3>Kommentare</h3><p>{K}</p><p>{L}</p></div><div class='fusszeile'><p>Alle Rechte vorbehalten, Verlag der Zeitung am Fluss.</p></div>"), joined(A, B)),
+    (page(f"<div class='x1 css-9af'><div class='x2'>{LINKS}</div><div class='x7'><div class='css-1q'><h1>{T}</h1><div class='css-2b'>{A}</div><div class='css-2b'>{B}</div><div class='css-2b'>{E}</div></div></div><div class='x9'>© 2024 The Estuary Times</div></div>"), joined(A, B, E)),
+    (page(f"<div class='entete'><a href='/'>Le Journal</a></div><div class='navegacion'>{LINKS}</div><div class='texte'><h1>{T}</h1><p>{A}</p><p>{G}</p></div><div class='commentaires'><p>{K}</p></div><div class='pie-de-pagina'><p>Todos los derechos reservados por el periódico.</p></div>"), joined(A, G)),
+    (page(f"<center><font size=5>{T}</font></center><hr><font>{A}</font><p><font>{B}</font><p><font>{G}</font><hr><a href='/'>Back to the list</a>"), joined(A, B, G)),
+    (page(f"<table><tr><td>{LINKS}</td><td><h1>{T}</h1><div>{A}</div><div>{E}</div><div>{C}</div></td></tr><tr><td colspan=2>{FOOT}</td></tr></table>"), joined(A, E, C)),
+    (page(f"<section><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></section><section><h1>{T}</h1><p>{A}</p><h2>Before the winter</h2><p>{G}</p><p>{E}</p></section><section>{FOOT}</section>"), joined(A, "Before the winter", G, E)),
+    (page(f"<main><h1>{T}</h1><p>{A}</p><aside><p>Ten walks by the river that everybody should know about this summer.</p></aside><p>{B}</p><div class='kommentar'><p>{L}</p></div></main>"), joined(A, B)),
+    (page(f"<div><h1>{T}</h1><blockquote>{D}</blockquote><p>{A}</p><ol><li>{B}</li><li>{G}</li></ol></div>"), joined(D, A, B, G)),
+    (page(f"<div id='cookie-consent'>{'We use cookies and similar techniques on this site to improve it. '}<button>OK</button></div><div><div><div><h1>{T}</h1><div>{A}</div><div>{E}</div></div></div></div>"), joined(A, E)),
+    (page(f"<div><a href='/'>Home</a> | <a href='/a'>Archive</a> | <a href='/c'>Contact</a></div><h1>{T}</h1>{A}<br>{B}<br>{G}<div>© 2024</div>"), joined(f"{A} {B} {G}")),
+    (page(f"<div role='main'><h1>{T}</h1><div>{A}</div><figure><img src=a.png><figcaption>The new bridge at dusk</figcaption></figure><div>{C}</div></div><div role='contentinfo'>{FOOT}</div>"), joined(A, "The new bridge at dusk", C)),
+    (f"<p>{A}<p>{B}<p>{E}", f"{A} {B} {E}"),
+    (page(f"<article><div><div>{T}</div></div><div><span>{A}</span></div><div><span>{B} <a href='/f'>The ferry</a> {E}</span></div></article><div class='werbung'>Jetzt kaufen und bis zum Ende des Monats sparen.</div>"), joined(A, f"{B} The ferry {E}")),
+    (page(f"<form><input><button>Search</button></form><dl><dt>{T}</dt><dd>{A}</dd><dd>{B}</dd><dd>{G}</dd></dl>"), joined(A, B, G)),
+    (page(f"<pre>{A}\n\n{B}\n\n{C}</pre>"), f"{A} {B} {C}"),
+]
