@@ -122,7 +122,8 @@ def leaf_blocks(page: str | None, known: Container[str] | None = None) -> list[B
         parts.clear()
         if text:
             n, quarters = text.count(" ") + 1, min(4, 4 * linked // len(text))
-            blocks.append(Block(text, _features(text, opened, n, quarters), n, quarters, _zone(opened.features)))
+            zone = _zone(opened.features)
+            blocks.append(Block(text, _features(text, opened, n, quarters, zone), n, quarters, zone))
         linked = 0
 
     size = len(page)
@@ -197,11 +198,11 @@ def _place(blocks: list[Block]) -> None:
         done += b.words
 
 
-def _features(text: str, opened: _OpenElements, n: int, quarters: int) -> list[str]:
+def _features(text: str, opened: _OpenElements, n: int, quarters: int, zone: str) -> list[str]:
     blocks = sorted(((depths[-1], name) for name in _BLOCK if (depths := opened.depths[name])), reverse=True)
     own = blocks[0][1] if blocks else "none"
     up = next((name for _, name in blocks if name not in (own, "p", "b")), "none")
-    found = {"bias", f"own:{own}", f"up:{up}>{own}", *opened.features}
+    found = {"bias", f"own:{own}", f"{zone}:own:{own}", f"up:{up}>{own}", *opened.features}
     found |= {f"near:{word}" for word in (opened.worded[-1] if opened.worded else ())}
     found.add(f"words:{min(6, n.bit_length())}")
     found.add(f"links:{quarters}")
@@ -209,6 +210,8 @@ def _features(text: str, opened: _OpenElements, n: int, quarters: int) -> list[s
         found.add("stops")
     if "©" in text:
         found.add("copyright")
+    if not any(map(str.isalnum, text)):
+        found.add("signs")
     return sorted(found)
 
 
@@ -418,6 +421,9 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
     for _ in range(n):
         bare = rng.random() < 0.33  # nothing in it has a name that says what it is
         flow = rng.random()
+        if rng.random() < 0.02:  # nothing but signs
+            pages.append(rng.choice(["<", "-", "...", "|", "<p>*</p>", "<div>|</div>", "<div>&gt;</div>"]))
+            continue
         if flow < 0.02:  # no markup at all
             pages.append(MARK + " \n\n".join(words(10, 90) for _ in range(rng.randint(1, 6))))
             continue
