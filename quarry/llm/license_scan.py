@@ -7,7 +7,10 @@ recognised sentences without another recognised one in between; a rule inside a
 matching rule isn't reported.
 
 Line ends of all systems are alike, and marks that begin the lines of a comment are taken
-away. Lines are cut in two ways, each giving a sequence: a line break ends a sentence, or only
+away, as is markup: tags end a sentence, but for those within a line, and of a link its
+text stays. A line that names licences, as `SPDX-License-Identifier: MIT OR Apache-2.0` or
+`License: ISC`, is read as an expression: each licence in it counts, an exception after
+WITH does not. Lines are cut in two ways, each giving a sequence: a line break ends a sentence, or only
 an empty line does (licence texts are often wrapped). All is built-in columns; texts
 without a word that every known sentence has one of aren't cut at all.
 """
@@ -159,13 +162,20 @@ NOTICES = ("Licensed under {}.", "Released under {}.", "Distributed under {}.",
 VERSION_ENDINGS = {"GPL-2.0": ("", "-only", "-or-later"), "GPL-3.0": ("", "-only", "-or-later"), "LGPL-2.1": ("", "-only", "-or-later"), "LGPL-3.0": ("", "-only", "-or-later"), "AGPL-3.0": ("", "-only", "-or-later")}
 
 
+#: Licences whose first sentence no other licence has, so that it is enough.
+FIRST_SENTENCES = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "ISC", "0BSD", "Zlib", "MPL-2.0")
+
+
 def _all_rules() -> dict[str, list[list[str]]]:
-    """RULES with a rule of one sentence for each notice that names a licence and for each identifier."""
+    """RULES with a rule of one sentence for each notice that names a licence, for each identifier, for a name that stands
+    alone as a heading, and for the first sentences that are enough."""
     rules = {name: [] for name in [*RULES, *NAMES]}
     for name, ways in rules.items():
         ways += RULES.get(name, [])
         ways += [[f"SPDX-License-Identifier: {name}{end}"] for end in VERSION_ENDINGS.get(name, ("",))]
         ways += [[notice.format(called)] for called in NAMES.get(name, ()) for notice in NOTICES]
+        ways += [[heading] for called in NAMES.get(name, ()) if re.search("Licen[cs]e", called) for heading in dict.fromkeys((called, re.sub("^(the|a) ", "", called)))]
+        ways += [[RULES[name][0][0]]] if name in FIRST_SENTENCES else []
     return rules
 
 
@@ -175,6 +185,11 @@ TRIGGERS = ("licen", "permission", "warrant", "redistribut", "mpl", "public doma
 COMMENT = r"(?m)^[ \t]*(?:#+|//+!?|/\*+!?|\*+/?|--+|;+|%+|>+|<!--)(?:[ \t]+|$)"
 
 
+#: Tags within a line, other tags, links of Markdown, and lines that name licences.
+INLINE_TAG, TAG, LINK = r"(?i)</?(?:a|b|i|u|em|strong|span|code|tt|small|font|abbr)(?:\s[^<>]*)?>", r"</?[a-zA-Z][^<>]*>|-->", r"\[([^\[\]\n]*)\]\([^()\n]*\)"
+NAMING = r"^[^a-z0-9]*(?:spdx[- ]license[- ]identifier|licen[cs]e)[ \t]*[:=][ \t]*(.*)$"
+
+
 def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
@@ -185,9 +200,23 @@ SENTENCES: dict[str, int] = {s: i for i, s in enumerate(dict.fromkeys(normalised
 SEQUENCES: list[tuple[str, str]] = [(name, "".join(f"|{SENTENCES[normalised(s)]}" for s in way) + "|") for name, ways in _all_rules().items() for way in ways]
 
 
+def _plain(text: Column) -> Column:
+    """A text with line ends of one kind and without marks of comments and markup."""
+    lines = F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), COMMENT, "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(lines, INLINE_TAG, ""), TAG, "\n\n"), LINK, "$1")
+
+
+def _expression(sentence: Column) -> Column:
+    """The sentences that a line stands for: itself, or `SPDX-License-Identifier: X` for each licence X that it names."""
+    named = F.regexp_extract(sentence, NAMING, 1)
+    terms = F.split(F.regexp_replace(F.regexp_replace(named, "[()\"']", " "), "\\s+with\\s+\\S+", " "), "\\s+(?:or|and)\\s+|\\s*[,/|]\\s*")
+    return F.when(sentence.rlike(NAMING), F.transform(terms, lambda t: F.concat(F.lit("spdx license identifier "), t))).otherwise(F.array(sentence))
+
+
 def _sentences(text: Column, line_ends: str) -> Column:
     cut = F.regexp_replace(F.regexp_replace(text, line_ends, "\u0001"), "([.!?])[ \\t\\n]+", "$1\u0001")
-    return F.transform(F.split(F.lower(cut), "\u0001"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    parts = F.flatten(F.transform(F.split(F.lower(cut), "\u0001"), _expression))
+    return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
 def _identifiers(sentences: Column) -> Column:
@@ -207,7 +236,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     read, whatever other columns there are.
     """
     text = F.coalesce("text", F.lit(""))
-    plain = F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), COMMENT, "")
+    plain = _plain(text)
     hit = F.lower(text).rlike("|".join(TRIGGERS))
     none = F.array().cast("array<int>")
     rows = docs.select("doc_id", F.when(hit, plain).alias("_t"))
@@ -230,11 +259,18 @@ def _values(rows: list[tuple]) -> str:
 ORACLE_SQL = f"""
 WITH known(s, i) AS (VALUES {_values(list(SENTENCES.items()))}),
 rules(name, seq) AS (VALUES {_values(SEQUENCES)}),
-d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'),
+e AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'),
   '(?m)^[ \\t]*(?:#+|//+!?|/\\*+!?|\\*+/?|--+|;+|%+|>+|<!--)(?:[ \\t]+|$)', '', 'g') AS t FROM documents),
+d AS (SELECT r, doc_id, regexp_replace(regexp_replace(regexp_replace(t, '</?(?:a|b|i|u|em|strong|span|code|tt|small|font|abbr)(?:\\s[^<>]*)?>', '', 'gi'), '</?[a-zA-Z][^<>]*>|-->', chr(10) || chr(10), 'g'),
+  '\\[([^\\[\\]\\n]*)\\]\\([^()\\n]*\\)', '\\1', 'g') AS t FROM e),
 c AS (SELECT r, 1 AS way, regexp_replace(t, '\\n+', chr(1), 'g') AS t FROM d UNION ALL SELECT r, 2, regexp_replace(t, '\\n[ \\t]*\\n\\s*', chr(1), 'g') FROM d),
 p AS (SELECT r, way, string_split(lower(regexp_replace(t, '([.!?])[ \\t\\n]+', '\\1' || chr(1), 'g')), chr(1)) AS ps FROM c),
-u AS (SELECT r, way, unnest(ps) AS s, unnest(range(len(ps))) AS pos FROM p),
+v AS (SELECT r, way, unnest(ps) AS s, unnest(range(len(ps))) AS pos FROM p),
+x AS (SELECT r, way, pos, regexp_extract_all(regexp_replace(regexp_replace(regexp_extract(s, '(?:identifier|licen[cs]e)[ \\t]*[:=](.*)$', 1), '\\swith\\s+[^\\s()"'']+', '', 'g'), '[,/|]', ' or ', 'g'), '[^\\s()"'']+') AS ts FROM v
+  WHERE regexp_matches(s, '^[^a-z0-9]*(?:spdx[- ]license[- ]identifier|licen[cs]e)[ \\t]*[:=][ \\t]*(.*)$')),
+xs AS (SELECT r, way, pos, unnest(ts) AS t, unnest(range(len(ts))) AS j, len(ts) AS n FROM x),
+u AS (SELECT r, way, pos * 1000000 AS pos, s FROM v ANTI JOIN x USING (r, way, pos)
+  UNION ALL SELECT r, way, pos * 1000000 + min(j), 'spdx license identifier ' || string_agg(t, ' ' ORDER BY j) FROM (SELECT *, count(*) FILTER (t IN ('or', 'and')) OVER (PARTITION BY r, way, pos ORDER BY j) AS g FROM xs) WHERE t NOT IN ('or', 'and') GROUP BY r, way, pos, g),
 k AS (SELECT r, way, pos, i FROM (SELECT r, way, pos, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s FROM u) JOIN known USING (s)),
 q AS (SELECT r, way, list(CAST(i AS INTEGER) ORDER BY pos) AS ids FROM k GROUP BY r, way),
 m AS (SELECT DISTINCT q.r, name, seq FROM q JOIN rules ON contains('|' || array_to_string(ids, '|') || '|', seq)),

@@ -46,6 +46,45 @@ def test_line_ends_and_comments(documents):
     assert names(documents, "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "#SPDX", "Released under the MIT Licence.\r\nMore.") == [["GPL-2.0"], [], ["MIT"]]
 
 
+def test_expressions_headings_and_markup(documents):
+    cases = {
+        "// SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache-2.0", "MIT"],
+        "# SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause": ["BSD-3-Clause", "GPL-2.0"],
+        "SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note": ["GPL-2.0"],
+        "SPDX-License-Identifier: GPL-2.0+": ["GPL-2.0"],
+        "/* SPDX-License-Identifier: ISC */": ["ISC"],
+        "License: BSD-3-Clause": ["BSD-3-Clause"],
+        "name: tool\nlicense = \"MIT\"\nversion: 1": ["MIT"],
+        "License: MIT/Apache-2.0": ["Apache-2.0", "MIT"],
+        "License: see the file": [],
+        "My tool\n\n# MIT License\n\nCopyright me": ["MIT"],
+        "The ISC License": ["ISC"],
+        "<p>Licensed under the MIT License</p>": ["MIT"],
+        "<p>Licensed under <a href=\"/l\">the MIT License</a>.</p>": ["MIT"],
+        "Licensed under [the Apache License 2.0](https://example.org/l).": ["Apache-2.0"],
+        "**Released under the MIT License.**": ["MIT"],
+        s.RULES["MIT"][0][0]: ["MIT"],
+        s.RULES["Apache-2.0"][0][0]: ["Apache-2.0"],
+        s.RULES["GPL-3.0"][0][0]: ["GPL-3.0"],
+        s.RULES["BSD-2-Clause"][0][0]: [],
+        "We talk about the MIT License and others here.": [],
+    }
+    assert dict(zip(cases, names(documents, *cases))) == cases
+
+
+def test_sql_equals_query(spark, documents):
+    """The query's rows and those of its SQL over expressions, markup, comments and whole licences."""
+    import duckdb
+
+    texts = ["// SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX-License-Identifier: (GPL-2.0-only WITH a-b) and ISC", "license: 'MIT', \"Zlib\"", "<p>Licensed under <b>the MIT License</b></p>", "License: or", "[the MIT License](x)", "# MIT License", None, ""]
+    texts += ["\n".join(way) for ways in s.RULES.values() for way in ways]
+    docs = documents(list(enumerate(texts)))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    expected = sorted((i, tuple(a), tuple(b)) for i, a, b in con.sql(s.ORACLE_SQL).fetchall())
+    assert sorted((r["doc_id"], tuple(r["licenses"]), tuple(r["sentences"])) for r in s.scanned(docs).collect()) == expected
+
+
 def test_clashing_columns(documents):
     rows = documents([(1, "SPDX-License-Identifier: Zlib")]).withColumnRenamed("lang", "_t").withColumnRenamed("source", "_lines").withColumnRenamed("n_chars", "licenses")
     assert [tuple(r[:2]) for r in s.scanned(rows).collect()] == [(1, ["Zlib"])]
