@@ -10,9 +10,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from quarry.providers import Scorer, scored_in_groups
+from quarry.session import checkpointed
+
 #: Fixed values of fusion and filtering.
 RRF_K, CANDIDATES, TOP_K = 60, 10, 4
 MIN_TOP_SCORE, FLOOR, HEAD_RATIO = 0.08, 0.05, 0.15
@@ -199,7 +202,11 @@ def reranked(candidates: DataFrame, relevance: Column, k: int = TOP_K) -> DataFr
     return top(candidates.withColumn("score", relevance).drop("rank"), k)
 
 
-def hybrid_search(dense: DataFrame, sparse: DataFrame, allowed: DataFrame | None, relevance: DataFrame, k: int = TOP_K, candidates: int = CANDIDATES) -> DataFrame:
+#: Stages of a hybrid search, as `watch` names them.
+STAGES = ("dense", "sparse", "fused", "permitted", "reranked", "kept")
+
+
+def hybrid_search(dense: DataFrame, sparse: DataFrame, allowed: DataFrame | None, relevance: DataFrame, k: int = TOP_K, candidates: int = CANDIDATES, watch: Callable[[DataFrame, str], DataFrame] = lambda rows, stage: rows) -> DataFrame:
     """(query_id, doc_id, score, rank, reranked): dense and sparse ranks fused, cut to candidates, filtered by access,
     reranked and filtered by thresholds.
 
@@ -207,24 +214,35 @@ def hybrid_search(dense: DataFrame, sparse: DataFrame, allowed: DataFrame | None
     None for all; it is applied after the cut, so that a query may get less than k.
     relevance: (query_id, doc_id, relevance) of a reranking model. A query of which the
     model failed for a candidate (no row, or null) falls back to its fused order and keeps
-    its best k without thresholds.
+    its best k without thresholds. `watch` gets the rows of each of STAGES and returns them.
     """
-    fusion = fused(dense, sparse, candidates=candidates).withColumnRenamed("score", "fused").withColumnRenamed("rank", "fused_rank")
+    fusion = fused(watch(dense, "dense"), watch(sparse, "sparse"), candidates=candidates).withColumnRenamed("score", "fused").drop("rank")
+    fusion = watch(fusion, "fused")
     if allowed is not None:
         fusion = permitted(fusion, allowed, ["query_id", "doc_id"])
     own = Window.partitionBy("query_id")
-    rows = fusion.join(relevance.select("query_id", "doc_id", "relevance"), ["query_id", "doc_id"], "left").withColumn("reranked", F.every(F.col("relevance").isNotNull()).over(own))
-    best = threshold_filtered(reranked(rows.filter("reranked"), F.col("relevance"), k))
-    plain = top(rows.filter("not reranked").withColumn("score", F.col("fused")), k)
-    names = ["query_id", "doc_id", "score", "rank", "reranked"]
-    return best.select(*names).unionByName(plain.select(*names))
+    rows = watch(fusion, "permitted").join(relevance.select("query_id", "doc_id", "relevance"), ["query_id", "doc_id"], "left").withColumn("reranked", F.every(F.col("relevance").isNotNull()).over(own))
+    best = watch(reranked(rows, F.when(F.col("reranked"), F.col("relevance")).otherwise(F.col("fused")), k), "reranked")
+    kept = best.withColumn("_best", F.max("score").over(own)).filter(~F.col("reranked") | _above_thresholds(F.col("score"), F.col("_best")))
+    return watch(kept.select("query_id", "doc_id", "score", "rank", "reranked"), "kept")
+
+
+def watched_counts(search: Callable[[Callable[[DataFrame, str], DataFrame]], DataFrame]) -> tuple[DataFrame, dict[str, int]]:
+    """(rows, rows of each stage) of a search that is run once: `search` gets a `watch` for `hybrid_search`; the counts are
+    observed on the way."""
+    seen = {stage: Observation(stage) for stage in STAGES}
+    rows = checkpointed(search(lambda table, stage: table.observe(seen[stage], F.count(F.lit(1)).alias("n"))))
+    return rows, {stage: o.get["n"] for stage, o in seen.items()}
+
+
+def _above_thresholds(score: Column, best: Column) -> Column:
+    return (best >= MIN_TOP_SCORE) & (score >= F.greatest(F.lit(FLOOR), best * HEAD_RATIO))
 
 
 def threshold_filtered(ranked: DataFrame) -> DataFrame:
     """Nothing if the best score is below MIN_TOP_SCORE, else scores of FLOOR and HEAD_RATIO of the best or more."""
     best = F.max("score").over(Window.partitionBy("query_id"))
-    kept = (F.col("_best") >= MIN_TOP_SCORE) & (F.col("score") >= F.greatest(F.lit(FLOOR), F.col("_best") * HEAD_RATIO))
-    return ranked.withColumn("_best", best).filter(kept).drop("_best")
+    return ranked.withColumn("_best", best).filter(_above_thresholds(F.col("score"), F.col("_best"))).drop("_best")
 
 
 def permitted(candidates: DataFrame, allowed: DataFrame, on: list[str]) -> DataFrame:
@@ -241,6 +259,25 @@ def multi_corpus(candidates: DataFrame, k: int = TOP_K) -> DataFrame:
     return top(once, 2 * k)
 
 
+def merged_search(candidates: DataFrame, scorer: Scorer, reranker: Scorer, k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
+    """((query_id, doc_id, kb_id, score, rank, reranked), (query_id, kb_id, error)) of candidates (query_id, question, kb_id,
+    source, text, doc_id) of several corpora.
+
+    Each corpus is asked for its scores apart from the others, and again if it fails; one that
+    goes on failing is left out for the query and is in the second table. The best 2k of each
+    corpus, one of each (source, text), and of those the best 2k are reranked together; a
+    query whose reranking fails keeps the order of the scores.
+    """
+    asked = checkpointed(scored_in_groups(candidates, ["query_id", "kb_id"], scorer, "score", "error"))
+    failed = asked.filter("error is not null").groupBy("query_id", "kb_id").agg(F.min("error").alias("error"))
+    best = multi_corpus(asked.filter("error is null"), k).withColumnRenamed("score", "first").drop("rank")
+    questions = candidates.select("query_id", "question").dropDuplicates(["query_id"])
+    again = scored_in_groups(best.join(questions, "query_id"), ["query_id"], reranker, "relevance", "error")
+    score = F.when(F.col("error").isNull(), F.col("relevance")).otherwise(F.col("first"))
+    rows = reranked(again.withColumn("reranked", F.col("error").isNull()), score, k)
+    return rows.select("query_id", "doc_id", "kb_id", "score", "rank", "reranked"), failed
+
+
 def located(ranked: DataFrame, source: Column) -> DataFrame:
     """The best candidate of one source for each query, from candidates already cut."""
     return top(ranked.filter(source).drop("rank"), 1)

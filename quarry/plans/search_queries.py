@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine, hash_embedding
 from quarry.operators import ann, cache, evaluation, postings, retrieval, segmentation
-from quarry.providers import overlap_relevance
+from quarry.providers import overlap_relevance, word_share
 from quarry.session import checkpointed, shared_folder, table
 
 
@@ -158,23 +158,59 @@ def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.located(rows, F.col("source") == "src0").select("query_id", "doc_id", "score")
 
 
-def search_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sparse = _sparse(spark, sf_dir)
-    return retrieval.stage_counts(sparse=sparse, top4=sparse.filter("rank <= 4"))
+def _failing_corpus(key: tuple, rows: list[dict]) -> list[float]:
+    """The scores that the rows have, but for corpus src3, which is out of order."""
+    if key[1] == "src3":
+        raise ConnectionError("src3 is out of order")
+    return [r["found"] for r in rows]
 
 
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items over all documents: dense ranks of hash embeddings and sparse ranks, fused, filtered by access (sources src0
-    to src9), reranked by word overlap and cut by thresholds. For every fifth item the reranking model fails."""
+def _failing_reranker(key: tuple, rows: list[dict]) -> list[float]:
+    """Shares of words; it is out of order for every fifth query."""
+    if key[0] % 5 == 0:
+        raise TimeoutError("no answer")
+    return [word_share(r["question"], r["text"]) for r in rows]
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    queries = _texts(spark, sf_dir)[0].select(F.col("id").alias("query_id"), F.col("text").alias("question"))
+    rows = _sparse(spark, sf_dir).join(_sources(spark, sf_dir), "doc_id").join(queries, "query_id").withColumn("kb_id", F.col("source"))
+    return retrieval.merged_search(rows.select("query_id", "question", "kb_id", "source", "text", "doc_id", F.col("score").alias("found")), _failing_corpus, _failing_reranker, 2)
+
+
+def merged_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several corpora searched and reranked together, though one of them and the reranking of some queries fail."""
+    return _merged(spark, sf_dir)[0].select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", "reranked")
+
+
+def corpus_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is reported of the corpora that failed."""
+    return _merged(spark, sf_dir)[1]
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     queries, docs = _texts(spark, sf_dir)
     vectors = lambda t: t.filter("text is not null").select("id", hash_embedding(F.col("text")).alias("vector"))
     dense, sparse = checkpointed(retrieval.dense_top(vectors(queries), vectors(docs), retrieval.CANDIDATES)), _sparse(spark, sf_dir)
     found = checkpointed(dense.select("query_id", "doc_id").union(sparse.select("query_id", "doc_id")).distinct())
     asked = queries.select(F.col("id").alias("query_id"), F.col("text").alias("asked"))
     named = found.join(_sources(spark, sf_dir), "doc_id").join(asked, "query_id")
-    relevance = named.select("query_id", "doc_id", F.when(F.col("query_id") % 5 != 0, F.round(overlap_relevance("asked", "text"), 6)).alias("relevance"))
+    # one reading of the texts serves access and relevance
+    named = checkpointed(named.select("query_id", "doc_id", "source", F.when(F.col("query_id") % 5 != 0, F.round(overlap_relevance("asked", "text"), 6)).alias("relevance")))
     allowed = named.filter(F.col("source").rlike("^src[0-9]$")).select("query_id", "doc_id")
-    return retrieval.hybrid_search(dense, sparse, allowed, relevance)
+    return retrieval.hybrid_search(dense, sparse, allowed, named, **options)
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items over all documents: dense ranks of hash embeddings and sparse ranks, fused, filtered by access (sources src0
+    to src9), reranked by word overlap and cut by thresholds. For every fifth item the reranking model fails."""
+    return _hybrid(spark, sf_dir)
+
+
+def search_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each of the six stages of `hybrid_search`, observed while it is run once."""
+    _, counts = retrieval.watched_counts(lambda watch: _hybrid(spark, sf_dir, watch=watch))
+    return spark.createDataFrame(list(counts.items()), "stage string, n long")
 
 
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +229,7 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (dense_topk, dense_ivf, dense_ivf_recall, bm25_indexed, bm25_index_update, lexicon, bm25_lexicon, vector_similarity, semantic_cache_lookup, bm25_topk, rrf_fusion, rerank_filter, acl_retrieve, multi_corpus, locate, search_stage_counts, hybrid_search, recall_mrr)
+    for f in (dense_topk, dense_ivf, dense_ivf_recall, bm25_indexed, bm25_index_update, lexicon, bm25_lexicon, vector_similarity, semantic_cache_lookup, bm25_topk, rrf_fusion, rerank_filter, acl_retrieve, multi_corpus, merged_corpora, corpus_failures, locate, search_stage_counts, hybrid_search, recall_mrr)
 }
 
 _V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT q.id AS query_id, v.id AS doc_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.id % 20 = 0), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c)"
@@ -206,6 +242,19 @@ _BM25 = r"""q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS
   sc AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / n.mean)) * qtf), 6) AS score FROM tf JOIN idf USING (term) JOIN q USING (term), n GROUP BY ALL),
   r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10 AND score > 0)"""
 
+_HYBRID = rf"""{_BM25}, v AS (SELECT 'q' AS kind, item_id AS id, sha256(text) AS h FROM benchmark UNION ALL SELECT 'd', doc_id, sha256(text) FROM documents),
+      e AS (SELECT kind, id, list_transform(range(32), lambda i: CAST(CAST('0x' || substr(h, i * 2 + 1, 2) AS INTEGER) AS DOUBLE) / 255.0) AS e FROM v),
+      c AS (SELECT q.id AS query_id, d.id AS doc_id, round(list_cosine_similarity(q.e, d.e), 6) AS score FROM e q, e d WHERE q.kind = 'q' AND d.kind = 'd'),
+      dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c) WHERE rank <= 10),
+      f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM r UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY ALL),
+      t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM f) WHERE n <= 10),
+      p AS (SELECT t.query_id, t.doc_id, CAST(score AS DOUBLE) AS fused, list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+')) AS a, regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}]+') AS w
+        FROM t JOIN documents d ON d.doc_id = t.doc_id JOIN benchmark b ON b.item_id = t.query_id WHERE regexp_full_match(source, 'src[0-9]')),
+      s AS (SELECT query_id, doc_id, query_id % 5 <> 0 AS reranked, CASE WHEN query_id % 5 <> 0 THEN round(len(list_intersect(a, w)) / len(a), 6) ELSE fused END AS score FROM p),
+      k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s),
+      b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM k WHERE rank <= 4),
+      kept AS (SELECT * FROM b WHERE NOT reranked OR (best >= 0.08 AND score >= greatest(0.05, best * 0.15)))"""
+
 ORACLE_SQL = {
     "dense_topk": f"WITH {_V} SELECT query_id, doc_id, score, round((1 + score) / 2, 7) AS scaled, CAST(rank AS INTEGER) AS rank FROM d WHERE rank <= 4",
     "dense_ivf_recall": "SELECT count(*) FILTER (vec_id % 20 = 0) * least(4, count(*)) AS expected, true AS recall_ok, 0 AS wrong_scores FROM embeddings",
@@ -224,18 +273,16 @@ ORACLE_SQL = {
     "semantic_cache_lookup": """WITH h AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id % 7 DESC, vec_id % 100 DESC, vec_id DESC) AS place FROM embeddings WHERE vec_id % 20 <> 0 ORDER BY place LIMIT 500),
       c AS (SELECT q.vec_id AS query_id, h.vec_id AS doc_id, place, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(h.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, h WHERE q.vec_id % 20 = 0)
       SELECT query_id, doc_id, score, score >= 0.92 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place DESC) AS n FROM c) WHERE n = 1""",
-    "hybrid_search": rf"""WITH {_BM25}, v AS (SELECT 'q' AS kind, item_id AS id, sha256(text) AS h FROM benchmark UNION ALL SELECT 'd', doc_id, sha256(text) FROM documents),
-      e AS (SELECT kind, id, list_transform(range(32), lambda i: CAST(CAST('0x' || substr(h, i * 2 + 1, 2) AS INTEGER) AS DOUBLE) / 255.0) AS e FROM v),
-      c AS (SELECT q.id AS query_id, d.id AS doc_id, round(list_cosine_similarity(q.e, d.e), 6) AS score FROM e q, e d WHERE q.kind = 'q' AND d.kind = 'd'),
-      dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c) WHERE rank <= 10),
-      f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM r UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY ALL),
-      t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM f) WHERE n <= 10),
-      p AS (SELECT t.query_id, t.doc_id, CAST(score AS DOUBLE) AS fused, list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+')) AS a, regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}]+') AS w
-        FROM t JOIN documents d ON d.doc_id = t.doc_id JOIN benchmark b ON b.item_id = t.query_id WHERE regexp_full_match(source, 'src[0-9]')),
-      s AS (SELECT query_id, doc_id, query_id % 5 <> 0 AS reranked, CASE WHEN query_id % 5 <> 0 THEN round(len(list_intersect(a, w)) / len(a), 6) ELSE fused END AS score FROM p),
-      k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s),
-      b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM k WHERE rank <= 4)
-      SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, reranked FROM b WHERE NOT reranked OR (best >= 0.08 AND score >= greatest(0.05, best * 0.15))""",
+    "hybrid_search": f"WITH {_HYBRID} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, reranked FROM kept",
+    "search_stage_counts": f"""WITH {_HYBRID} SELECT 'dense' AS stage, count(*) AS n FROM dense UNION ALL SELECT 'sparse', count(*) FROM r UNION ALL SELECT 'fused', count(*) FROM t UNION ALL SELECT 'permitted', count(*) FROM p
+      UNION ALL SELECT 'reranked', count(*) FROM b UNION ALL SELECT 'kept', count(*) FROM kept""",
+    "merged_corpora": rf"""WITH {_BM25}, o AS (SELECT query_id, source, text, r.doc_id, score, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, r.doc_id) AS n FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE source <> 'src3'),
+      u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, text ORDER BY score DESC, doc_id) AS m FROM o WHERE n <= 4) WHERE m = 1),
+      b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM u) WHERE place <= 4),
+      x AS (SELECT b.*, query_id % 5 <> 0 AS reranked, list_distinct(regexp_extract_all(lower(i.text), '[\p{{L}}\p{{N}}]+')) AS a, regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+') AS t FROM b JOIN benchmark i ON i.item_id = query_id),
+      s AS (SELECT query_id, doc_id, reranked, CASE WHEN reranked THEN round(len(list_intersect(a, t)) / len(a), 6) ELSE round(score, 6) END AS score FROM x)
+      SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, reranked FROM s) WHERE rank <= 2""",
+    "corpus_failures": f"WITH {_BM25} SELECT DISTINCT query_id, source AS kb_id, 'src3 is out of order' AS error FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE source = 'src3'",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r",
     "rrf_fusion": f"""WITH {_BM25}, o AS (SELECT query_id, r.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, r.doc_id) AS rank FROM r JOIN documents d ON d.doc_id = r.doc_id),
       f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM r UNION ALL SELECT * FROM o) GROUP BY ALL)
@@ -251,7 +298,6 @@ ORACLE_SQL = {
       u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, text ORDER BY score DESC, doc_id) AS m FROM o WHERE n <= 4) WHERE m = 1)
       SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM u) WHERE rank <= 4""",
     "locate": f"WITH {_BM25} SELECT query_id, doc_id, score FROM (SELECT query_id, r.doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r.doc_id) AS n FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE source = 'src0') WHERE n = 1",
-    "search_stage_counts": f"WITH {_BM25} SELECT query_id, 'sparse' AS stage, count(*) AS n FROM r GROUP BY query_id UNION ALL SELECT query_id, 'top4', count(*) FROM r WHERE rank <= 4 GROUP BY query_id",
     "recall_mrr": f"""WITH {_BM25}, o AS (SELECT query_id, r.doc_id, rank, source FROM r JOIN documents d ON d.doc_id = r.doc_id),
       e AS (SELECT item_id AS query_id, arg_min(source, doc_id) AS expected FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) WHERE trim(b.text) <> '' GROUP BY item_id),
       h AS (SELECT e.query_id, min(o.rank) AS hit FROM e LEFT JOIN o ON o.query_id = e.query_id AND o.source = e.expected GROUP BY e.query_id)

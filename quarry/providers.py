@@ -47,6 +47,45 @@ def embedded(rows: DataFrame, embedder: Embedder = hash_embedder, text: str = "t
     return rows.mapInArrow(run, f"{schema}, vector array<double>, embed_error string")
 
 
+#: key of a group and its rows, as dictionaries -> a score for each row. A model behind it may raise anything.
+Scorer = Callable[[tuple, list[dict]], list[float]]
+
+
+def scored_in_groups(rows: DataFrame, by: list[str], scorer: Scorer, name: str, error: str) -> DataFrame:
+    """`rows` with the scores that a model gives to each group of rows, asked for one group at a time.
+
+    A group whose call fails is asked for again, TRIES times in all; then its scores are null
+    and `error` says why, and no other group is touched. A group is one query's candidates.
+    """
+    names = rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.sort_by([(c, "ascending") for c in names if not pa.types.is_nested(table.schema.field(c).type)])
+        held, problem = own.to_pylist(), None
+        scores: list[float | None] = [None] * len(held)
+        for _ in range(TRIES):
+            try:
+                found = [float(x) for x in scorer(tuple(held[0][c] for c in by), held)]
+                if len(found) != len(held):
+                    raise ValueError(f"{len(found)} scores of {len(held)} rows")
+                scores, problem = found, None
+                break
+            except Exception as e:  # noqa: BLE001 - a provider may raise anything
+                problem = str(e)
+        return own.append_column(name, pa.array(scores, pa.float64())).append_column(error, pa.array([problem] * len(held), pa.string()))
+
+    return rows.groupBy(*by).applyInArrow(run, f"{schema}, `{name}` double, `{error}` string")
+
+
+def word_share(question: str | None, text: str | None) -> float:
+    """What `overlap_relevance` computes, of two strings."""
+    import regex
+
+    words, own = (set(regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())) for t in (question, text))
+    return round(len(words & own) / len(words), 6) if words else 0.0
+
+
 def overlap_relevance(question: str, text: str):
     """A stand-in for a reranking model, as a column: the share of the question's words in the text."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(question)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quarry.operators import access, alerts, cache, evaluation, manifest, retrieval, sessions, stats, tables, traces
-from quarry.providers import embedded
+from quarry.providers import embedded, word_share
 
 
 def rows(frame):
@@ -173,3 +173,41 @@ def test_filters_and_counts(spark):
     assert [r["id"] for r in alerts.matching(table, kind="cost").collect()] == [2, 1]
     events = spark.createDataFrame([(1, "ann", "login", 1), (2, "bob", "login", 2)], "id int, actor string, action string, created_at int")
     assert [r["id"] for r in traces.audit_events(events, action="login", since=F.lit(2)).collect()] == [2]
+
+
+def test_merged_search_isolates_failures(spark):
+    """A corpus that fails once is asked again, one that goes on failing is left out and reported, a query whose reranking
+    fails keeps its order; equal texts of a source count once."""
+    rows = [(1, "old tree", kb, "s", f"text {i % 7} of {'tree' if i % 2 else 'house'}", i, float(i)) for i, kb in enumerate(["a"] * 9 + ["b"] * 9 + ["c"] * 3)]
+    rows += [(2, "old tree", "a", "s", f"other {i}", 100 + i, float(i)) for i in range(5)]
+    frame = spark.createDataFrame(rows, "query_id long, question string, kb_id string, source string, text string, doc_id long, found double")
+    calls = []
+
+    def scorer(key, held):
+        if key[1] == "c":
+            raise ConnectionError("down")
+        if key == (1, "b") and not calls:
+            calls.append(key)
+            raise ConnectionError("busy")
+        return [r["found"] for r in held]
+
+    def reranker(key, held):
+        if key[0] == 2:
+            raise TimeoutError("late")
+        return [word_share(r["question"], r["text"]) for r in held]
+
+    found, failed = retrieval.merged_search(frame, scorer, reranker, 2)
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"], r["reranked"]) for r in found.collect()}
+    assert got == {(1, 1): (15, 0.5, True), (1, 2): (17, 0.5, True), (2, 1): (104, 4.0, False), (2, 2): (103, 3.0, False)}
+    assert [tuple(r) for r in failed.collect()] == [(1, "c", "down")]
+    assert retrieval.merged_search(frame.limit(0), scorer, reranker)[0].collect() == []
+
+
+def test_stages_are_counted_in_one_run(spark):
+    ranked = spark.createDataFrame([(1, i, i + 1) for i in range(6)], "query_id long, doc_id long, rank int")
+    other = spark.createDataFrame([(1, i + 3, i + 1) for i in range(6)], "query_id long, doc_id long, rank int")
+    allowed = ranked.filter("doc_id <> 4").select("query_id", "doc_id")
+    relevance = spark.createDataFrame([(1, i, 0.9 if i == 3 else 0.1) for i in range(9)], "query_id long, doc_id long, relevance double")
+    rows, counts = retrieval.watched_counts(lambda watch: retrieval.hybrid_search(ranked, other, allowed, relevance, k=3, candidates=8, watch=watch))
+    assert counts == {"dense": 6, "sparse": 6, "fused": 8, "permitted": 5, "reranked": 3, "kept": 1}
+    assert [r["doc_id"] for r in rows.collect()] == [3]
