@@ -14,18 +14,21 @@ little for a frequent one. So from every state the words' probabilities, the unk
 word's included, add up to 1. A state that training lacks fails at weight 1.
 
 A text is traversed once from left to right, from the state of the text's start to its
-end token, and the log-probabilities of the arcs taken add up to its score. As the state
-after a word is made of the last two words, the arcs of all tokens of a block are looked
-up together.
+end token. A step looks the word up among the sorted arcs of the state; without an arc it
+adds the weight of the failure arc and tries again from the state that this leads to, at
+last from the root, which has an arc for every word. The logarithms add up to the text's
+score, and the state after the word is carried on. The texts of a block are traversed side
+by side, long ones as several pieces that begin in the state that the last two words make.
 
 Nothing is sampled or pruned and the model isn't broadcast: it grows with the corpus.
 Documents are dealt into blocks by a hash. A block counts its words, pairs and triples,
-and sends them to buckets of a hash; a bucket adds up the blocks' counts and answers each
-block, in the block's own order, with the totals of what it asked about and with its part
-of N and of the numbers of different words, pairs and triples. The block then holds the
-part of the automaton that its own documents can reach. A frequent word, pair or triple
-is one row a block in its bucket. Blocks and buckets grow in number with the characters
-of the corpus.
+and sends them to buckets of a hash, with nothing for a bucket of which it has none; a
+bucket adds up the blocks' counts and answers each block, in the block's own order, with
+the totals of what it asked about. N and the numbers of different words, pairs and triples
+are sums over buckets. The block then holds the part of the automaton that its own
+documents can reach. A frequent word, pair or triple is one row a block in its bucket. The
+rows that are shuffled are at most as many as a block's different words, pairs and
+triples, so they grow with the corpus and no faster, however many blocks and buckets.
 
 Words are keyed by 64-bit hashes, pairs and triples by 56 bits of one.
 """
@@ -40,15 +43,19 @@ from pyspark.sql import functions as F
 from quarry.llm.tokens import mixed, packed, release_memory, unpacked, word_codes
 
 #: Characters of text for each block and for each bucket, on average. There are at least as many of both as
-#: shuffle partitions. Blocks times buckets rows are shuffled: for a very large corpus raise both numbers.
+#: shuffle partitions. For a very large corpus raise both numbers, so that a row holds many counts.
 BLOCK_CHARACTERS, BUCKET_CHARACTERS = 8_000_000, 32_000_000
 ALPHA = 0.1
 _START, _END = np.uint64(0x5B8D1F2A3C4E6071), np.uint64(0x1D2E3F4A5B6C7D8F)
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WORDS, PAIRS, TRIPLES = range(3)
 
+#: Tokens of a text that are traversed one after another; a longer text is several pieces.
+PIECE = 1_024
+
 ASKED = "bucket int, block int, n int, keys binary, counts binary"
-ANSWERED = "block int, bucket int, n int, totals binary, sums array<long>"
+#: Block -1 has the sums of a bucket: tokens and different keys.
+ANSWERED = "block int, bucket int, n int, totals binary, tokens long, different long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -102,7 +109,7 @@ def _bucket_edges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
 
 
 def _questions(buckets: int):
-    """The rows of a block's keys, one of words, one of pairs and one of triples for each bucket."""
+    """The rows of a block's keys, of words, of pairs and of triples for each bucket that some of them fall into."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -115,6 +122,8 @@ def _questions(buckets: int):
             edges = _bucket_edges(keys, buckets, 64 if kind == WORDS else 56)
             for b in range(buckets):
                 lo, hi = edges[b], edges[b + 1]
+                if lo == hi:
+                    continue
                 steps = np.diff(keys[lo:hi], prepend=np.uint64(0))
                 rows.append((3 * b + kind, block, int(hi - lo), packed(steps), packed(counts[lo:hi])))
         del grams
@@ -126,7 +135,7 @@ def _questions(buckets: int):
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """Totals of a bucket's keys for each block, in the block's order; sums: tokens and different keys of the whole bucket."""
+    """Totals of a bucket's keys for each block, in the block's order, and the sums of the whole bucket."""
     rows = table.to_pylist()
     bucket = rows[0]["bucket"]
     keys = [np.cumsum(unpacked(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows]
@@ -134,56 +143,117 @@ def _answers(table: pa.Table) -> pa.Table:
     known, slot = np.unique(np.concatenate(keys), return_inverse=True)
     del keys
     totals = np.bincount(slot, np.concatenate(counts), len(known)).astype(np.int64)
-    sums = [int(totals.sum()), int((totals > 0).sum())]
-    out, at = [], 0
+    out, at = [(-1, bucket, 0, b"", int(totals.sum()), int((totals > 0).sum()))], 0
     for r in rows:
-        out.append((r["block"], bucket, r["n"], packed(totals[slot[at : at + r["n"]]]), sums))
+        out.append((r["block"], bucket, r["n"], packed(totals[slot[at : at + r["n"]]]), 0, 0))
         at += r["n"]
     release_memory()
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "bucket", "n", "totals", "sums"])
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "bucket", "n", "totals", "tokens", "different"])
 
 
-def _totals(kind: int, keys: np.ndarray, rows: list[dict]) -> tuple[np.ndarray, int, int]:
-    """(total of each key, tokens, different keys) from the buckets' answers."""
+def _totals(kind: int, keys: np.ndarray, rows: list[dict]) -> np.ndarray:
+    """The total of each key from the buckets' answers."""
     rows = [r for r in rows if r["bucket"] % 3 == kind]
     out = np.zeros(len(keys), np.int64)
     if rows:
         out[np.argsort(keys)] = np.concatenate([unpacked(r["totals"], r["n"], np.int64) for r in rows])
-    return out, sum(r["sums"][0] for r in rows), sum(r["sums"][1] for r in rows)
+    return out
+
+
+class Automaton:
+    """The states that a block's texts can reach: 0 is the root, then words and then pairs of words that training has.
+
+    `arcs` are the sorted numbers state * words + word, `arc_log` their log-probabilities; `fail_to` and `fail_log` are the
+    failure arcs, `root_log` the root's arcs to all words. `after_pair[i]` is the state after pair i of the block's pairs.
+    """
+
+    def __init__(self, grams: _Grams, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, tokens: int, different: tuple[int, int, int]) -> None:
+        n = grams.n_words
+        count = np.zeros(n)
+        count[grams.words] = words
+        root = (count + ALPHA) / (tokens + ALPHA * (different[WORDS] + 1))
+        history = count.copy()
+        history[1] = count[0]  # a text starts as often as it ends
+        # the mean number of different words after a word, and after a pair
+        after_word, after_pair = max(1.0, different[PAIRS] / max(1, different[WORDS])), max(1.0, different[TRIPLES] / max(1, different[PAIRS]))
+        left, right = grams.pairs // n, grams.pairs % n
+        seen = np.flatnonzero(pairs > 0)
+        own_words, own_pairs = 1 + np.flatnonzero(history[1:] > 0), seen[right[seen] > 0]  # nothing comes after an end
+        word_state, pair_state = np.zeros(n, np.int64), np.zeros(len(grams.pairs), np.int64)
+        word_state[own_words] = 1 + np.arange(len(own_words))
+        pair_state[own_pairs] = 1 + len(own_words) + np.arange(len(own_pairs))
+        self.fail_to = np.concatenate([[0], np.zeros(len(own_words), np.int64), word_state[right[own_pairs]]])
+        fail = np.concatenate([[1.0], after_word / (history[own_words] + after_word), after_pair / (pairs[own_pairs] + after_pair)])
+        # of each pair of the block: the probability of its last word after its first, whether or not that is an arc
+        second = (pairs + after_word * root[right]) / (history[left] + after_word)
+        known = np.flatnonzero(triples > 0)
+        before, last = grams.triples[known] // n, grams.triples[known] % n
+        shorter = np.searchsorted(grams.pairs, right[before] * n + last)
+        third = (triples[known] + after_pair * second[shorter]) / (pairs[before] + after_pair)
+        arcs = np.concatenate([word_state[left[seen]] * n + right[seen], pair_state[before] * n + last])
+        order = np.argsort(arcs)
+        self.n_words, self.known_word = n, count > 0
+        self.arcs = np.append(arcs[order], np.iinfo(np.int64).max)
+        self.arc_log = np.append(np.log10(np.concatenate([second[seen], third]))[order], 0.0)
+        self.fail_log, self.root_log = np.log10(fail), np.log10(root)
+        self.start = int(word_state[1])
+        self.after_pair = np.where(pair_state > 0, pair_state, word_state[right])
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The log-probabilities of words from states, along failure arcs where there is no arc."""
+        out = np.zeros(len(word))
+        rest, state = np.arange(len(word)), state.copy()
+        while len(rest):
+            key = state[rest] * self.n_words + word[rest]
+            at = np.searchsorted(self.arcs, key)
+            found = self.arcs[at] == key
+            out[rest[found]] += self.arc_log[at[found]]
+            rest = rest[~found]
+            root = state[rest] == 0
+            out[rest[root]] += self.root_log[word[rest[root]]]
+            rest = rest[~root]
+            out[rest] += self.fail_log[state[rest]]
+            state[rest] = self.fail_to[state[rest]]
+        return out
+
+    def traversed(self, offsets: np.ndarray, codes: np.ndarray, pair_at: np.ndarray) -> np.ndarray:
+        """The log-probability of each token; texts side by side, each from left to right."""
+        after = self.after_pair[pair_at]
+        pieces = -(-np.diff(offsets) // PIECE)
+        number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts = np.repeat(offsets[:-1], pieces) + number * PIECE
+        sizes = np.minimum(PIECE, np.repeat(offsets[1:], pieces) - starts)
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes, number = starts[order], sizes[order], number[order]
+        state = np.where(number > 0, after[starts - 1], self.start)
+        out = np.zeros(len(codes))
+        live = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")  # pieces that have a token at each step
+        for step, k in enumerate(live.tolist()):
+            at = starts[:k] + step
+            out[at] = self.step(state[:k], codes[at])
+            state[:k] = after[at]
+        return out
 
 
 def _scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """The scores of a block's documents by the part of the automaton that they can reach."""
     offsets, hashes, grams, _ = _grams_of(docs)
     rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-    words, pairs, triples = (_totals(kind, keys, rows) for kind, keys in enumerate(grams.keys(hashes)))
+    tokens, different = (rows[0]["n_tokens"], (rows[0]["d0"], rows[0]["d1"], rows[0]["d2"])) if rows else (0, (0, 0, 0))
+    totals = [_totals(kind, keys, rows) for kind, keys in enumerate(grams.keys(hashes))]
     del rows
-    tokens, different = words[1:]
-    n_words = grams.n_words
-    count = np.zeros(n_words)
-    count[grams.words] = words[0]
-    root = (count + ALPHA) / (tokens + ALPHA * (different + 1))
-    history = count.copy()
-    history[1] = count[0]  # a text starts as often as it ends
-    # the mean number of different words after a word, and after a pair
-    after_word, after_pair = max(1.0, pairs[2] / max(1, different)), max(1.0, triples[2] / max(1, pairs[2]))
-    left, right = grams.pairs // n_words, grams.pairs % n_words
-    second = (pairs[0] + after_word * root[right]) / (history[left] + after_word)
-    before, last = grams.triples // n_words, grams.triples % n_words
-    shorter = np.searchsorted(grams.pairs, right[before] * n_words + last)
-    third = (triples[0] + after_pair * second[shorter]) / (pairs[0][before] + after_pair)
-    taken = second[grams.pair_at]
-    taken[grams.inner] = third[grams.triple_at]
-    known = np.concatenate([[0], np.cumsum(count[grams.codes] > 0)])
-    summed = lambda x: np.add.reduceat(np.log10(x), offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
+    automaton = Automaton(grams, *totals, tokens, different)
+    taken = automaton.traversed(offsets, grams.codes, grams.pair_at)
+    known = np.concatenate([[0], np.cumsum(automaton.known_word[grams.codes])])
+    summed = lambda x: np.add.reduceat(x, offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
     return pa.table({
         "doc_id": docs.column("doc_id"),
         "held_out": docs.column("held_out"),
         "n_tokens": np.diff(offsets).astype(np.int64),
         "n_known": (known[offsets[1:]] - known[offsets[:-1]]).astype(np.int64),
         "train_tokens": np.full(len(offsets) - 1, tokens, np.int64),
-        "base_score": summed(root[grams.codes]),
+        "base_score": summed(automaton.root_log[grams.codes]),
         "score": summed(taken),
     })
 
@@ -205,4 +275,8 @@ def model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     dealt = rows.withColumn("train", ~F.col("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     questions = dealt.groupBy("block").applyInArrow(_questions(buckets), ASKED)
     answers = questions.groupBy("bucket").applyInArrow(_answers, ANSWERED)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores, SCORED)
+    of_kind = lambda kind: F.coalesce(F.sum(F.when(F.col("bucket") % 3 == kind, F.col("different"))), F.lit(0)).alias(f"d{kind}")
+    words = F.coalesce(F.sum(F.when(F.col("bucket") % 3 == WORDS, F.col("tokens"))), F.lit(0)).alias("n_tokens")
+    sums = answers.filter("block = -1").agg(words, *[of_kind(k) for k in (WORDS, PAIRS, TRIPLES)])  # one row
+    told = answers.filter("block >= 0").select("block", "bucket", "n", "totals").crossJoin(F.broadcast(sums))
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores, SCORED)

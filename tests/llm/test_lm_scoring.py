@@ -38,9 +38,10 @@ def plain_model(rows):
     return sorted(out), p
 
 
-@pytest.mark.parametrize("block", [500, 10**9])
-def test_equals_a_plain_model(documents, monkeypatch, block):
+@pytest.mark.parametrize("block,piece", [(500, 7), (10**9, 1_024)])
+def test_equals_a_plain_model(documents, monkeypatch, block, piece):
     monkeypatch.setattr(lm_scoring, "BLOCK_CHARACTERS", block)
+    monkeypatch.setattr(lm_scoring, "PIECE", piece)
     rng = random.Random(6)
     rows = [(i, " ".join(f"W{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(60)))) for i in range(80)] + [(200, None), (201, ""), (None, "w1 w2"), (202, "unseen words here")]
     got = lm_scoring.model_scores(documents(rows), F.expr(HELD_OUT)).collect()
@@ -71,6 +72,47 @@ def test_every_state_adds_up_to_one(documents, tmp_path, spark):
         assert sum(p(w, *history) for w in [*vocabulary, "\n"]) == pytest.approx(1), history
 
 
+def test_shuffled_rows_grow_with_the_corpus(documents, monkeypatch):
+    """Of four times the documents, and blocks and buckets of one size, four times the rows and no more, though there are
+    sixteen times as many pairs of a block and a bucket."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_CHARACTERS", 300)
+    monkeypatch.setattr(lm_scoring, "BUCKET_CHARACTERS", 20)
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(8))
+    rows = [(i, text()) for i in range(1_600)]
+    made = []
+    inner = lm_scoring._questions
+    for n in (400, 1_600):
+        docs = documents(rows[:n])
+        characters = sum(len(t) for _, t in rows[:n])
+        blocks, buckets = characters // 300, characters // 20
+        dealt = docs.select("text", F.lit(True).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+        made.append(dealt.groupBy("block").applyInArrow(inner(buckets), lm_scoring.ASKED).count())
+    assert made[1] < 4.4 * made[0]
+
+
+def test_automaton_states_and_failures():
+    """The states and arcs of a small corpus: probabilities from each state along arcs and failures add up to 1."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["a b a c", "a b b", "c a"])
+    offsets, codes, hashes = lm_scoring._tokens(texts)
+    grams = lm_scoring._Grams(offsets, codes, len(hashes))
+    counts = grams.counts(np.ones(len(codes), bool))
+    model = lm_scoring.Automaton(grams, *counts, len(codes), tuple(int((c > 0).sum()) for c in counts))
+    words = np.delete(np.arange(len(hashes)), 1)  # all but the start
+    for state in range(len(model.fail_to)):
+        unknown = 1 / (len(codes) * 10 + (len(words) + 1))  # the root's share of a word not seen
+        held = 10 ** model.step(np.full(len(words), state), words)
+        down, s = 1.0, state
+        while s:
+            down, s = down * 10 ** model.fail_log[s], model.fail_to[s]
+        assert held.sum() + down * unknown == pytest.approx(1)
+        assert model.fail_to[state] < max(1, state)
+    assert (np.diff(model.arcs) > 0).all()
+
+
 def test_clashing_columns(documents):
     docs = documents([(1, "a b c"), (10, "a b")])
     clashing = docs.withColumnRenamed("lang", "block").withColumnRenamed("source", "train").withColumn("held_out", F.lit("x"))
