@@ -42,26 +42,40 @@ NO_DATA_HELP = [
 
 #: Dates in questions, most precise first.
 DATES = [r"\d{4}年\d{1,2}月\d{1,2}[日号]", r"\d{4}-\d{1,2}-\d{1,2}", r"\d{4}/\d{1,2}/\d{1,2}", r"\d{1,2}月\d{1,2}[日号]", r"\d{4}年\d{1,2}月"]
-DATA_WORDS = (
-    "票房 销量 营收 利润 市值 估值 融资 股价 涨跌 用户数 活跃用户 DAU MAU 转化率 留存率 点击率 曝光 "
-    "互动量 点赞 评论 转发 播放量 阅读量 下载量 排名 榜单 第几名 热搜 热度 TOP 发布 上线 宣布 公布 报道 消息 新闻"
-).split()
-TIME_WORDS = (
-    "今天 今日 昨天 前天 明天 后天 今年 去年 明年 本年 上年 本月 上月 这个月 上个月 本周 上周 这周 上周 "
-    "当前 现在 目前 此刻 最新 最近 近期 近日 刚刚 刚才 实时 即时 最新版 新版 热点 热门 爆火 火爆"
-).split()
+DATA_WORDS = [
+    "票房", "销量", "营收", "利润", "市值", "估值", "融资", "股价", "涨跌", "用户数", "活跃用户", "DAU", "MAU", "转化率", "留存率", "点击率", "曝光", "互动量", "点赞", "评论", "转发", "播放量",
+    "阅读量", "下载量", "排名", "榜单", "第几名", "热搜", "热度", "TOP", "发布", "上线", "宣布", "公布", "报道", "消息", "新闻",
+]
+TIME_WORDS = [
+    "今天", "今日", "昨天", "前天", "明天", "后天", "今年", "去年", "明年", "本年", "上年", "本月", "上月", "这个月", "上个月", "本周", "上周", "这周", "上周", "当前", "现在", "目前", "此刻", "最新",
+    "最近", "近期", "近日", "刚刚", "刚才", "实时", "即时", "最新版", "新版", "热点", "热门", "爆火", "火爆",
+]
 
 #: Topics whose answers age, with the confidence of each, then topics whose answers don't.
 TIMELY_TOPICS = {
-    "policy": (0.9, "政策 法规 条例 规定 办法 通知 许可 申请 审批 禁止 允许 限制 管理 要求 标准 流程 手续 证件 禁渔 开放 关闭 封闭 管制".split()),
-    "permission": (0.85, "能不能 可以吗 允许吗 能否 是否可以 能去 能钓 能做 能用 能办".split()),
-    "current_state": (0.85, "哪里 在哪 什么地方 哪个区域 开没开 开了吗 营业吗 开放吗 现在 目前 当前 如今".split()),
-    "data": (0.8, "数据 统计 报告 排名 榜单 票房 销量 股价 市值 营收 用户数 转化率 增长率 占比".split()),
+    "policy": (0.9, [
+        "政策", "法规", "条例", "规定", "办法", "通知", "许可", "申请", "审批", "禁止", "允许", "限制", "管理", "要求", "标准", "流程", "手续", "证件", "禁渔", "开放", "关闭", "封闭", "管制",
+    ]),
+    "permission": (0.85, [
+        "能不能", "可以吗", "允许吗", "能否", "是否可以", "能去", "能钓", "能做", "能用", "能办",
+    ]),
+    "current_state": (0.85, [
+        "哪里", "在哪", "什么地方", "哪个区域", "开没开", "开了吗", "营业吗", "开放吗", "现在", "目前", "当前", "如今",
+    ]),
+    "data": (0.8, [
+        "数据", "统计", "报告", "排名", "榜单", "票房", "销量", "股价", "市值", "营收", "用户数", "转化率", "增长率", "占比",
+    ]),
 }
 TIMELESS_TOPICS = {
-    "knowledge": "什么是 是什么 定义 概念 原理 介绍 解释 说明 讲解".split(),
-    "history": "历史 由来 起源 发展史 过去 曾经 以前 当时".split(),
-    "tech": "怎么做 如何 方法 步骤 教程 代码 实现 配置 安装".split(),
+    "knowledge": [
+        "什么是", "是什么", "定义", "概念", "原理", "介绍", "解释", "说明", "讲解",
+    ],
+    "history": [
+        "历史", "由来", "起源", "发展史", "过去", "曾经", "以前", "当时",
+    ],
+    "tech": [
+        "怎么做", "如何", "方法", "步骤", "教程", "代码", "实现", "配置", "安装",
+    ],
 }
 PLACE_ACTIVITY = r"(天津|北京|上海|深圳|广州|杭州|成都|武汉|[省市区县])\s*(钓鱼|滑雪|露营|徒步|登山|游泳|野餐)"
 
@@ -74,3 +88,22 @@ CITED_SOURCE = r"\[来源: ([^\]·\n]+?\.(?:md|pdf|docx|xlsx|txt|png|jpg|jpeg|we
 #: Replacements, in order, that make Markdown speakable.
 SPEECH = [(r"```[\s\S]*?```", " 代码块略。"), (r"\[来源:[^\]\n]*\]", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"[#*`>|]", ""), (r"!\[[^\]]*\]", ""), (r"\n+", "。")]
 SPEECH_LIMIT = 500
+
+#: Warnings of a document's age, with the year and the age in the braces.
+FROM_YEAR = "该文档来自 {year} 年（距今 {age} 年）"
+NO_YEAR_WARNING = "⚠️ 文档未标注年份，无法判断时效性"
+AGE_3_WARNING = "⚠️ 严重过期：{from_year}，信息可能已失效"
+AGE_2_WARNING = "⚠️ 数据过期：{from_year}，建议核实最新信息"
+AGE_1_DATED_WARNING = "⚠️ 可能过期：{from_year}，政策/数据可能已更新"
+AGE_1_WARNING = "💡 文档来自 {year} 年（距今 {age} 年）"
+RECENT_NOTE = "✓ 文档来自 {year} 年（较新）"
+
+#: Further parts of the reply where no data was found, with what they name in the braces.
+NO_DATA_SEARCHED = "抱歉，我已尝试联网搜索，但未能找到关于**{date}**的具体{named}数据。"
+NO_DATA_UNSEARCHED = "抱歉，由于联网搜索暂时不可用，无法获取**{date}**的实时数据。"
+NO_DATA_FUTURE = "您询问的是未来时间（{date}），该数据尚不存在"
+NO_DATA_MONTH = "- 尝试查询整个**{month}月**的数据"
+NO_DATA_YEAR = "- 查看**{year}年度**的总体数据"
+NO_DATA_OFFICIAL = "- 访问官方平台或专业数据网站查询{type}"
+NO_DATA_WHY = "\n**可能的原因：**"
+NO_DATA_INSTEAD = "\n**替代建议：**"

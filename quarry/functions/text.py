@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -102,6 +103,12 @@ def findings_summary(findings: Column) -> Column:
     return F.when(F.size(findings) == 0, F.lit("无异常")).otherwise(F.concat(F.array_join(shown, "、"), more))
 
 
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    """A text with columns in the place of the names in braces."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
+
+
 # --- freshness of documents ---------------------------------------------------------
 
 
@@ -132,15 +139,16 @@ def freshness(name: Column, content: Column, year_now: int) -> Column:
     )
     expired = year.isNotNull() & (kind != "knowledge") & ((age >= 2) | ((age >= 1) & dated))
     search = F.when(year.isNull(), dated).when(kind == "knowledge", F.lit(False)).when(age >= 3, F.lit(True)).when(age >= 1, dated).otherwise(False)
-    from_year = F.concat(F.lit("该文档来自 "), year.cast("string"), F.lit(" 年（距今 "), age.cast("string"), F.lit(" 年）"))
+    told = {"year": year.cast("string"), "age": age.cast("string")}
+    told["from_year"] = _filled(L.FROM_YEAR, told)
     warning = (
-        F.when(year.isNull(), F.lit("⚠️ 文档未标注年份，无法判断时效性"))
+        F.when(year.isNull(), F.lit(L.NO_YEAR_WARNING))
         .when(kind == "knowledge", F.lit(""))
-        .when(age >= 3, F.concat(F.lit("⚠️ 严重过期："), from_year, F.lit("，信息可能已失效")))
-        .when(age >= 2, F.concat(F.lit("⚠️ 数据过期："), from_year, F.lit("，建议核实最新信息")))
-        .when((age >= 1) & dated, F.concat(F.lit("⚠️ 可能过期："), from_year, F.lit("，政策/数据可能已更新")))
-        .when(age >= 1, F.concat(F.lit("💡 文档来自 "), year.cast("string"), F.lit(" 年（距今 "), age.cast("string"), F.lit(" 年）")))
-        .otherwise(F.concat(F.lit("✓ 文档来自 "), year.cast("string"), F.lit(" 年（较新）")))
+        .when(age >= 3, _filled(L.AGE_3_WARNING, told))
+        .when(age >= 2, _filled(L.AGE_2_WARNING, told))
+        .when((age >= 1) & dated, _filled(L.AGE_1_DATED_WARNING, told))
+        .when(age >= 1, _filled(L.AGE_1_WARNING, told))
+        .otherwise(_filled(L.RECENT_NOTE, told))
     )
     return F.struct(year.alias("doc_year"), kind.alias("doc_type"), F.coalesce(expired, F.lit(False)).alias("is_expired"), risk.alias("expire_risk"), F.coalesce(F.when(kind == "knowledge", age).otherwise(age), F.lit(0)).alias("age_years"), warning.alias("warning"), search.alias("should_search"))
 
@@ -238,23 +246,21 @@ def no_data_reply(analysis: Column, year_now: int, searched: bool = True) -> Col
     analysis: that of `timeliness`. A question without a date gets a general word for it.
     """
     date = F.coalesce(analysis["detected_date"], F.lit(L.NO_DATE))
-    bold = lambda x: F.concat(F.lit("**"), x, F.lit("**"))
-    named = F.array_join(F.slice(analysis["data_types"], 1, 2), "/")
-    tried = F.concat(F.lit("抱歉，我已尝试联网搜索，但未能找到关于"), bold(date), F.lit("的具体"), named, F.lit("数据。"))
-    opening = tried if searched else F.concat(F.lit("抱歉，由于联网搜索暂时不可用，无法获取"), bold(date), F.lit("的实时数据。"))
+    told = {"date": date, "named": F.array_join(F.slice(analysis["data_types"], 1, 2), "/"), "type": F.get(analysis["data_types"], F.lit(0))}
+    opening = _filled(L.NO_DATA_SEARCHED if searched else L.NO_DATA_UNSEARCHED, told)
     parts = date_parts(date)
     year, month, day = parts["year"], parts["month"], parts["day"]
-    ahead = F.when(year.cast("int") > year_now, F.concat(F.lit("您询问的是未来时间（"), date, F.lit("），该数据尚不存在")))
+    told |= {"year": year, "month": month}
+    ahead = F.when(year.cast("int") > year_now, _filled(L.NO_DATA_FUTURE, told))
     reasons = F.slice(F.array_compact(F.array(ahead, *[F.lit(r) for r in L.NO_DATA_REASONS])), 1, 3)
     numbered = F.transform(reasons, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r))
     ways = F.array_compact(F.array(
-        F.when(day.isNotNull() & month.isNotNull(), F.concat(F.lit("- 尝试查询整个"), bold(F.concat(month, F.lit("月"))), F.lit("的数据"))),
-        F.when(day.isNotNull() & year.isNotNull(), F.concat(F.lit("- 查看"), bold(F.concat(year, F.lit("年度"))), F.lit("的总体数据"))),
-        F.when(F.size(analysis["data_types"]) > 0, F.concat(F.lit("- 访问官方平台或专业数据网站查询"), F.get(analysis["data_types"], F.lit(0)))),
+        F.when(day.isNotNull() & month.isNotNull(), _filled(L.NO_DATA_MONTH, told)),
+        F.when(day.isNotNull() & year.isNotNull(), _filled(L.NO_DATA_YEAR, told)),
+        F.when(F.size(analysis["data_types"]) > 0, _filled(L.NO_DATA_OFFICIAL, told)),
         F.lit(L.NO_DATA_REPORTS),
     ))
-    heads = lambda x: F.array(F.lit(f"\n**{x}：**"))
-    lines = F.concat(F.array(opening), heads("可能的原因"), numbered, heads("替代建议"), F.slice(ways, 1, 3), F.array(*[F.lit(x) for x in L.NO_DATA_HELP]))
+    lines = F.concat(F.array(opening, F.lit(L.NO_DATA_WHY)), numbered, F.array(F.lit(L.NO_DATA_INSTEAD)), F.slice(ways, 1, 3), F.array(*[F.lit(x) for x in L.NO_DATA_HELP]))
     return F.array_join(lines, "\n")
 
 

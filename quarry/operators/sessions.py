@@ -31,6 +31,24 @@ def user_questions(messages: DataFrame, keyword: str | None = None) -> DataFrame
     return rows.filter(F.col("content").ilike(f"%{plain}%"))
 
 
+def asked_by_users(messages: DataFrame, sessions: DataFrame, user: str | None = None, keyword: str | None = None, since: Column | None = None, limit: int = 500) -> DataFrame:
+    """(user, session_id, title, question, created_at) of users' messages in sessions that there are, newest first, 1 to 2000
+    of them: a page is the feature. Of equal times the greater session_id comes first."""
+    rows = user_questions(messages, keyword).join(sessions.select("session_id", "user", "title"), "session_id")
+    rows = rows if user is None else rows.filter(F.col("user") == user)
+    rows = rows if since is None else rows.filter(F.col("created_at") >= since)
+    return rows.select("user", "session_id", "title", F.col("content").alias("question"), "created_at").orderBy(F.desc("created_at"), F.desc("session_id")).limit(max(1, min(limit, 2_000)))
+
+
+def store_overview(users: DataFrame, sessions: DataFrame, messages: DataFrame, feedback: DataFrame, statuses: DataFrame) -> DataFrame:
+    """One row: users, sessions, messages, ratings up and down, and those down that nobody has dealt with."""
+    counts = [t.agg(F.count("*").alias(name)) for name, t in (("users", users), ("sessions", sessions), ("messages", messages))]
+    ratings = feedback_overview(feedback, statuses).select(F.col("up").alias("feedback_up"), F.col("down").alias("feedback_down"), F.col("pending").alias("badcase_pending"))
+    for one in counts:
+        ratings = one.crossJoin(ratings)  # one row each
+    return ratings.select("users", "sessions", "messages", "feedback_up", "feedback_down", "badcase_pending")
+
+
 def badcases(feedback: DataFrame, messages: DataFrame) -> DataFrame:
     """Feedback rated down with its answer and the message of the number before it, none where that is missing."""
     answers = messages.select("session_id", "seq", F.col("content").alias("answer"))

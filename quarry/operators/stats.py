@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from quarry.session import checkpointed
 
 
-def exact_percentiles(rows: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, ps: dict[str, float], weight: str | None = None) -> DataFrame:
     """(keys, one column for each percentile): the element at floor(n * p) of a group's sorted values (the last one
     at most), rounded to 1 digit. It differs from `percentile_disc`: of 10, 20, 30, 40 the 0.5 one is 30.
 
     Different values are counted and dealt out by ranges of (keys, value), so that neither a
     large group nor all rows meet in one task; a range learns from the ranges' sums how many
-    values lie before it. Only a row for each range and key is summed up in order.
+    values lie before it. Only a row for each range and key is summed up in order. A row
+    stands for `weight` values where that column is named, else for one.
     """
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
     counts = checkpointed(counts.repartitionByRange(ranges, *keys, "_value").withColumn("_range", F.spark_partition_id()))
     sums = counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
     own = Window.partitionBy(*keys)

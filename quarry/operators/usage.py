@@ -6,7 +6,7 @@ output_tokens; `now` is a parameter, never the clock.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.stats import exact_percentiles
@@ -78,6 +78,21 @@ def overview(traces: DataFrame) -> DataFrame:
     )
 
 
+def viewer_totals(traces: DataFrame, n: int = 20) -> DataFrame:
+    """One row: how many of the last n records there are, and the tokens of those of them that are model calls."""
+    last = traces.orderBy(F.desc("ts"), F.desc("id")).limit(n)
+    tokens = lambda c: F.coalesce(F.sum(F.when(F.col("kind") == "generation", F.col(c))), F.lit(0)).cast("long").alias(c)
+    return last.agg(F.count("*").alias("records"), tokens("input_tokens"), tokens("output_tokens"))
+
+
+def usage_table(traces: DataFrame, since: Column | None = None) -> DataFrame:
+    """Usage by day and model with two orders: `place` by day, within a day the costliest first, and `cost_place` the
+    costliest first of all; ties by model and day."""
+    rows = usage_by(traces, ["day", "model"], since)  # a row for each day and model
+    place = F.row_number().over(Window.orderBy("day", F.desc("cost"), "model"))
+    return rows.withColumn("place", place).withColumn("cost_place", F.row_number().over(Window.orderBy(F.desc("cost"), "model", "day")))
+
+
 def recent_days(traces: DataFrame, days: int = 7) -> DataFrame:
     """(day, input_tokens, output_tokens) of the last days that have model calls."""
     return usage_by(traces, ["day"]).select("day", "input_tokens", "output_tokens").orderBy(F.desc("day")).limit(days)

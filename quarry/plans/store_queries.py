@@ -55,6 +55,21 @@ def feedback_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.feedback_overview(feedback, statuses)
 
 
+def store_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of users (customers), sessions, messages and ratings; feedback on the first answer is dealt with."""
+    m = _messages(spark, sf_dir)
+    feedback = _feedback(m)
+    statuses = feedback.filter("seq = 1").select("session_id", "seq", F.lit("resolved").alias("status"))
+    return sessions.store_overview(table(spark, sf_dir, "customer"), _sessions(m), m, feedback, statuses)
+
+
+def user_query_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest questions with "the" of one of seven users; sessions whose number ends in 9 are gone."""
+    m = _messages(spark, sf_dir).withColumn("created_at", F.col("session_id") % 50 * 100 + F.col("seq"))
+    own = _sessions(m).filter("session_id % 10 <> 9").withColumn("user", F.concat(F.lit("u"), (F.col("session_id") % 7).cast("string")))
+    return sessions.asked_by_users(m, own, "u3", "the", F.lit(1_000), 2_000)
+
+
 def session_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sessions(_messages(spark, sf_dir)).withColumn("assistant_id", F.col("session_id") % 5)
     assistants = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.col("r_regionkey").cast("long").alias("assistant_id"), F.col("r_name").alias("name"))
@@ -173,7 +188,7 @@ def miss_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sessions_list, session_last_turns, session_next_seq, user_questions, badcases, feedback_overview, session_groups, session_export, users_rich, user_stats,
+        sessions_list, session_last_turns, session_next_seq, user_questions, badcases, feedback_overview, store_overview, user_query_list, session_groups, session_export, users_rich, user_stats,
         upsert_latest, upsert_orders, insert_or_ignore, cascade_delete, tasks_done, acl_visible, manifest_diff, manifest_counts, fingerprints, corpus_fingerprint,
         folder_stats, cache_stats, eval_trend, miss_count,
     )
@@ -194,6 +209,8 @@ ORACLE_SQL = {
     "user_questions": f"WITH {_M} SELECT session_id, seq, substr(content, 1, 100) AS excerpt FROM m WHERE role = 'user' AND content ILIKE '%the%'",
     "badcases": f"WITH {_M}, {_F} SELECT f.session_id, f.seq, substr(q.content, 1, 100) AS question, substr(a.content, 1, 200) AS answer FROM f JOIN m a ON a.session_id = f.session_id AND a.seq = f.seq LEFT JOIN m q ON q.session_id = f.session_id AND q.seq = f.seq - 1 WHERE rating = 'down'",
     "feedback_overview": f"WITH {_M}, {_F} SELECT count(*) FILTER (rating = 'up') AS up, count(*) FILTER (rating = 'down') AS down, count(*) FILTER (rating = 'down' AND seq <> 1) AS pending FROM f",
+    "store_overview": f"WITH {_M}, {_S}, {_F} SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM s) AS sessions, (SELECT count(*) FROM m) AS messages, count(*) FILTER (rating = 'up') AS feedback_up, count(*) FILTER (rating = 'down') AS feedback_down, count(*) FILTER (rating = 'down' AND seq <> 1) AS badcase_pending FROM f",
+    "user_query_list": f"WITH {_M}, {_S} SELECT 'u' || m.session_id % 7 AS user, m.session_id, title, content AS question, m.session_id % 50 * 100 + seq AS created_at FROM m JOIN s USING (session_id) WHERE role = 'user' AND content ILIKE '%the%' AND m.session_id % 10 <> 9 AND m.session_id % 7 = 3 AND m.session_id % 50 * 100 + seq >= 1000 ORDER BY created_at DESC, m.session_id DESC LIMIT 2000",
     "session_groups": f"WITH {_M}, {_S}, g AS (SELECT CASE WHEN r_regionkey IS NULL OR r_regionkey >= 3 THEN 'default' ELSE CAST(session_id % 5 AS VARCHAR) END AS assistant_id, r_name, r_regionkey, updated_at FROM s LEFT JOIN region ON r_regionkey = session_id % 5) SELECT assistant_id, CASE WHEN assistant_id = 'default' THEN 'default' ELSE max(r_name) END AS name, count(*) AS n, max(updated_at) AS last_at FROM g GROUP BY assistant_id",
     "session_export": f"WITH {_M}, {_S}, e AS (SELECT session_id, list({{'seq': seq, 'role': role, 'content': content}} ORDER BY seq) AS messages FROM m GROUP BY session_id) SELECT 'u' AS user, CAST(to_json({{'session_id': session_id, 'title': title, 'messages': messages}}) AS VARCHAR) AS session FROM s JOIN e USING (session_id)",
     "users_rich": "SELECT c_custkey AS user, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS sessions, (SELECT count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey) AS messages FROM customer",

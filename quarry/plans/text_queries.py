@@ -97,6 +97,15 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.glossary_notes(rows, sessions.glossary_entries(lines))
 
 
+def relevant_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as search results for questions that name the first word of a document or of the next one."""
+    word = F.regexp_extract("text", r"[A-Za-z]+", 0)
+    asked = F.concat(F.lit("《"), F.when(F.col("doc_id") % 2 == 0, word).otherwise(F.reverse(word)), F.lit("》的销量"))
+    types = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("of"))).otherwise(F.array(F.lit("销量")))
+    rows = _docs(spark, sf_dir).withColumn("result", F.concat("text", F.when(F.col("doc_id") % 5 == 0, "[错误]").otherwise("")))
+    return rows.select("doc_id", text.result_is_relevant(F.col("result"), asked, types).alias("relevant"))
+
+
 def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.concat("text", F.lit("\n"), _pick(ANSWERS, F.col("doc_id")))
     allowed = F.array(F.lit("a.md"), F.when(F.col("doc_id") % 2 == 0, F.lit("b.pdf")).otherwise(F.lit("z.md")))
@@ -163,7 +172,7 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        pii_flags, pii_mask, guard_scan, sanitize, doc_type, doc_freshness, timeliness, search_rewrite, intent, question_flags, glossary, cited_sources, answer_scores,
+        pii_flags, pii_mask, guard_scan, sanitize, doc_type, doc_freshness, timeliness, search_rewrite, intent, question_flags, glossary, relevant_results, cited_sources, answer_scores,
         score_summary, agent_rules, repeated_calls, step_limit, text_keys, speakable, suggestions, table_rows, chunks, chunk_stats,
     )
 }
@@ -237,6 +246,9 @@ ORACLE_SQL = {
         CASE WHEN NOT i.n THEN false WHEN turn = 2 THEN true WHEN turn = 4 THEN true ELSE false END AS search_first FROM i""",
     "question_flags": f"""WITH {_Q} SELECT conv_id, turn, regexp_matches(question, {_quoted(lexicons.MEME)}) AS meme, regexp_matches(question, {_quoted(lexicons.AMBIGUITY)}) AS ambiguous,
       regexp_matches(question, {_quoted(lexicons.FOLLOW_UP)}) OR length(question) <= 12 AS follow_up FROM q""",
+    "relevant_results": """WITH w AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]+') AS word FROM documents), e AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN word ELSE reverse(word) END AS named FROM w)
+      SELECT doc_id, length(text) + CASE WHEN doc_id % 5 = 0 THEN 4 ELSE 0 END >= 50 AND doc_id % 5 <> 0 AND NOT contains(text, '[错误]') AND NOT contains(text, '暂不可用')
+        AND (contains(text, named) OR contains(text, CASE WHEN doc_id % 3 = 0 THEN 'of' ELSE '销量' END)) AS relevant FROM e""",
     "glossary": f"""WITH {_Q}, g(alias, definition, pos, sub) AS (VALUES ('票房', '卖出多少', 0, 1), ('销量', '卖出多少', 0, 2), ('热搜', '热门话题', 1, 1)),
       n AS (SELECT conv_id || '-' || turn AS query_id, string_agg(alias || '＝' || definition, '；' ORDER BY pos, alias || '＝' || definition) AS note FROM q JOIN g ON contains(question, alias) GROUP BY 1)
       SELECT conv_id || '-' || turn AS query_id, coalesce(note, '') AS note FROM q LEFT JOIN n ON n.query_id = conv_id || '-' || turn""",

@@ -7,11 +7,14 @@ the last event.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import alerts, stats, tables, traces, usage
-from quarry.session import table
+from quarry.session import shared_folder, table
+from quarry.streaming import rollups
 
 
 def trace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +56,33 @@ def usage_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.overview(trace_table(spark, sf_dir))
 
 
+def viewer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the last thousand records."""
+    return usage.viewer_totals(trace_table(spark, sf_dir), 1_000)
+
+
+def usage_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.usage_table(trace_table(spark, sf_dir)).select("day", "model", "calls", "cost", "place", "cost_place")
+
+
+def sla_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`sla_daily` from partial counts of each hour, written by four batches of which one comes twice."""
+    rows = trace_table(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    for batch in (0, 1, 2, 1, 3):
+        rollups.written(rows.filter(F.col("event_id") % 4 == batch), batch, folder)
+    return rollups.sla(rollups.merged(spark, folder), ["day"])
+
+
+def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage of each model from such partial counts."""
+    rows = trace_table(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    for batch in (0, 1, 0):
+        rollups.written(rows.filter(F.col("event_id") % 2 == batch), batch, folder)
+    return rollups.usage(rollups.merged(spark, folder), ["model"])
+
+
 def top_cost_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.top_queries(trace_table(spark, sf_dir), F.col("user_id").cast("string"), 10)
 
@@ -125,7 +155,7 @@ def exclusive_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sla_summary, sla_daily, usage_summary, usage_by_type, usage_daily, usage_overview, top_cost_users, stage_stats, latency_histogram, load_percentiles, trace_filter_page,
+        sla_summary, sla_daily, usage_summary, usage_by_type, usage_daily, usage_overview, viewer_totals, usage_ordered, sla_rollup, usage_rollup, top_cost_users, stage_stats, latency_histogram, load_percentiles, trace_filter_page,
         cost_last_24h, errors_last_1h, named_events_7d, alert_rules, alert_dedupe, alert_insert_if_closed, alert_sliding, exclusive_flag,
     )
 }
@@ -143,6 +173,10 @@ ORACLE_SQL = {
     "sla_summary": f"WITH {_T} SELECT {_SLA} FROM t",
     "sla_daily": f"WITH {_T} SELECT day, {_SLA} FROM t GROUP BY day",
     "usage_summary": f"WITH {_T} SELECT CASE grouping(model, day) WHEN 1 THEN 'model' WHEN 2 THEN 'day' ELSE 'all' END AS level, model, day, {_SUMS} FROM t GROUP BY GROUPING SETS ((model), (day), ())",
+    "viewer_totals": f"WITH {_T} SELECT count(*) AS records, CAST(count(*) * 100 AS BIGINT) AS input_tokens, CAST(coalesce(sum(k), 0) AS BIGINT) AS output_tokens FROM (SELECT * FROM t ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC LIMIT 1000)",
+    "usage_ordered": f"WITH {_T} SELECT day, model, calls, cost, CAST(row_number() OVER (ORDER BY day, cost DESC, model) AS INTEGER) AS place, CAST(row_number() OVER (ORDER BY cost DESC, model, day) AS INTEGER) AS cost_place FROM (SELECT day, model, {_SUMS} FROM t GROUP BY day, model)",
+    "sla_rollup": f"WITH {_T} SELECT day, {_SLA} FROM t GROUP BY day",
+    "usage_rollup": f"WITH {_T} SELECT model, {_SUMS} FROM t GROUP BY model",
     "usage_by_type": f"WITH {_T} SELECT *, round(cost / calls * 1000, 4) AS cost_per_1000, input_tokens + output_tokens AS total_tokens FROM (SELECT model, {_SUMS} FROM t GROUP BY model)",
     "usage_daily": f"WITH {_T} SELECT *, round(output_tokens / max(output_tokens) OVER (), 6) AS bar FROM (SELECT day, {_SUMS} FROM t GROUP BY day)",
     "usage_overview": f"WITH {_T} SELECT count(*) AS generations, CAST(0 AS BIGINT) AS tool_calls, CAST(count(*) * 100 AS BIGINT) AS input_tokens, CAST(sum(k) AS BIGINT) AS output_tokens, count(*) FILTER (status <> 'ok') AS errors FROM t",
