@@ -6,11 +6,17 @@ numbers; customer, orders and lineitem stand for users, sessions and messages.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import access, cache, evaluation, manifest, sessions, tables
-from quarry.session import table
+from quarry.session import shared_folder, table
+from quarry.sources import text_files
+
+#: A keyword that few messages have.
+RARE_WORD = "THHEST"
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +76,14 @@ def user_query_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.asked_by_users(m, own, "u3", "the", F.lit(1_000), 2_000)
 
 
+def user_questions_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' messages with a rare word, read from the files that have all its trigrams."""
+    folder = f"{shared_folder(spark)}/questions-{uuid.uuid4().hex}"
+    text_files.written(_messages(spark, sf_dir).filter("role = 'user'"), "content", folder, ["session_id", "seq"], 500)
+    rows, _ = text_files.containing(spark, folder, "content", RARE_WORD)
+    return rows.select("session_id", "seq", F.substring("content", 1, 100).alias("excerpt"))
+
+
 def session_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sessions(_messages(spark, sf_dir)).withColumn("assistant_id", F.col("session_id") % 5)
     assistants = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.col("r_regionkey").cast("long").alias("assistant_id"), F.col("r_name").alias("name"))
@@ -188,7 +202,7 @@ def miss_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sessions_list, session_last_turns, session_next_seq, user_questions, badcases, feedback_overview, store_overview, user_query_list, session_groups, session_export, users_rich, user_stats,
+        sessions_list, session_last_turns, session_next_seq, user_questions, badcases, feedback_overview, store_overview, user_query_list, user_questions_indexed, session_groups, session_export, users_rich, user_stats,
         upsert_latest, upsert_orders, insert_or_ignore, cascade_delete, tasks_done, acl_visible, manifest_diff, manifest_counts, fingerprints, corpus_fingerprint,
         folder_stats, cache_stats, eval_trend, miss_count,
     )
@@ -209,6 +223,7 @@ ORACLE_SQL = {
     "user_questions": f"WITH {_M} SELECT session_id, seq, substr(content, 1, 100) AS excerpt FROM m WHERE role = 'user' AND content ILIKE '%the%'",
     "badcases": f"WITH {_M}, {_F} SELECT f.session_id, f.seq, substr(q.content, 1, 100) AS question, substr(a.content, 1, 200) AS answer FROM f JOIN m a ON a.session_id = f.session_id AND a.seq = f.seq LEFT JOIN m q ON q.session_id = f.session_id AND q.seq = f.seq - 1 WHERE rating = 'down'",
     "feedback_overview": f"WITH {_M}, {_F} SELECT count(*) FILTER (rating = 'up') AS up, count(*) FILTER (rating = 'down') AS down, count(*) FILTER (rating = 'down' AND seq <> 1) AS pending FROM f",
+    "user_questions_indexed": f"WITH {_M} SELECT session_id, seq, substr(content, 1, 100) AS excerpt FROM m WHERE role = 'user' AND content ILIKE '%{RARE_WORD}%'",
     "store_overview": f"WITH {_M}, {_S}, {_F} SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM s) AS sessions, (SELECT count(*) FROM m) AS messages, count(*) FILTER (rating = 'up') AS feedback_up, count(*) FILTER (rating = 'down') AS feedback_down, count(*) FILTER (rating = 'down' AND seq <> 1) AS badcase_pending FROM f",
     "user_query_list": f"WITH {_M}, {_S} SELECT 'u' || m.session_id % 7 AS user, m.session_id, title, content AS question, m.session_id % 50 * 100 + seq AS created_at FROM m JOIN s USING (session_id) WHERE role = 'user' AND content ILIKE '%the%' AND m.session_id % 10 <> 9 AND m.session_id % 7 = 3 AND m.session_id % 50 * 100 + seq >= 1000 ORDER BY created_at DESC, m.session_id DESC LIMIT 2000",
     "session_groups": f"WITH {_M}, {_S}, g AS (SELECT CASE WHEN r_regionkey IS NULL OR r_regionkey >= 3 THEN 'default' ELSE CAST(session_id % 5 AS VARCHAR) END AS assistant_id, r_name, r_regionkey, updated_at FROM s LEFT JOIN region ON r_regionkey = session_id % 5) SELECT assistant_id, CASE WHEN assistant_id = 'default' THEN 'default' ELSE max(r_name) END AS name, count(*) AS n, max(updated_at) AS last_at FROM g GROUP BY assistant_id",
