@@ -60,6 +60,16 @@ def tasks_done(tasks: DataFrame, kb: str, modes: tuple[str, ...] = ("upload", "d
     return updated_where(tasks, hit, {"status": F.lit("done")} | ({} if at is None else {"updated_at": at}))
 
 
+def tasks_failed(tasks: DataFrame, failures: DataFrame, at: Column | None = None) -> DataFrame:
+    """Pending tasks that failures (id, message) name become error with the message; those that are done or failed stay."""
+    told = failures.groupBy("id").agg(F.min("message").alias("_message"))
+    rows = tasks.join(told, "id", "left")
+    hit = (F.col("status") == "pending") & F.col("_message").isNotNull()
+    changes = {"status": F.lit("error"), "message": F.col("_message")} | ({} if at is None else {"updated_at": at})
+    rows = rows if "message" in tasks.columns else rows.withColumn("message", F.lit(None).cast("string"))
+    return updated_where(rows, hit, changes).drop("_message")
+
+
 def next_seq(messages: DataFrame) -> DataFrame:
     """(session_id, next_seq): one above the greatest, 0 for none."""
     return messages.groupBy("session_id").agg((F.coalesce(F.max("seq"), F.lit(-1)) + 1).alias("next_seq"))

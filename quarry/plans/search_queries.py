@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine, hash_embedding
-from quarry.operators import ann, cache, evaluation, postings, retrieval, segmentation
+from quarry.operators import access, ann, cache, evaluation, postings, retrieval, segmentation
 from quarry.providers import overlap_relevance, word_share
 from quarry.session import checkpointed, shared_folder, table
 
@@ -213,6 +213,33 @@ def search_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(counts.items()), "stage string, n long")
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as requests for two of the twenty sources, with keys of which some have ended or hold for src0 to src9 alone."""
+    key = F.col("item_id")
+    kb = lambda k: F.concat(F.lit("src"), F.pmod(key + k, F.lit(20)).cast("string"))
+    scope = F.when(key % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(*[F.lit(f"src{i}") for i in range(10)]))
+    ends = F.when(key % 7 == 0, F.lit(5)).when(key % 7 == 1, F.lit(20))
+    question = F.when(key % 11 == 0, F.lit(" ")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select(key.alias("query_id"), question.alias("question"), F.array(kb(0), kb(1)).alias("kb_ids"), scope.alias("scope"), F.when(key % 13 == 0, 1).alias("revoked_at"), ends.alias("expires_at"))
+
+
+def open_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that the open interface refuses, and why."""
+    return access.admitted(_requests(spark, sf_dir), F.lit(10))[1]
+
+
+def open_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open interface as a whole: admitted requests, dense and sparse ranks fused, hits of the knowledge bases asked for
+    merged and reranked together; a knowledge base or a reranking that fails doesn't fail the request."""
+    may, _ = access.admitted(_requests(spark, sf_dir), F.lit(10))
+    queries, docs = _texts(spark, sf_dir)
+    vectors = lambda t: t.filter("text is not null").select("id", hash_embedding(F.col("text")).alias("vector"))
+    dense = checkpointed(retrieval.dense_top(vectors(queries), vectors(docs), retrieval.CANDIDATES))
+    fused = retrieval.fused(dense, _sparse(spark, sf_dir), candidates=2 * retrieval.CANDIDATES).select("query_id", "doc_id", F.col("score").alias("found"))
+    hits = fused.join(_sources(spark, sf_dir), "doc_id").join(may, (F.col("source") == F.col("kb_id")) & (may["query_id"] == fused["query_id"])).select(may["query_id"], "question", "kb_id", "source", "text", "doc_id", "found")
+    return retrieval.merged_search(hits, _failing_corpus, _failing_reranker)[0].select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", "reranked")
+
+
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 4 and MRR of sparse search; a question expects the source of the first of all documents that holds it.
 
@@ -229,7 +256,7 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (dense_topk, dense_ivf, dense_ivf_recall, bm25_indexed, bm25_index_update, lexicon, bm25_lexicon, vector_similarity, semantic_cache_lookup, bm25_topk, rrf_fusion, rerank_filter, acl_retrieve, multi_corpus, merged_corpora, corpus_failures, locate, search_stage_counts, hybrid_search, recall_mrr)
+    for f in (dense_topk, dense_ivf, dense_ivf_recall, bm25_indexed, bm25_index_update, lexicon, bm25_lexicon, vector_similarity, semantic_cache_lookup, bm25_topk, rrf_fusion, rerank_filter, acl_retrieve, multi_corpus, merged_corpora, corpus_failures, open_refusals, open_search, locate, search_stage_counts, hybrid_search, recall_mrr)
 }
 
 _V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT q.id AS query_id, v.id AS doc_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.id % 20 = 0), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c)"
@@ -255,6 +282,10 @@ _HYBRID = rf"""{_BM25}, v AS (SELECT 'q' AS kind, item_id AS id, sha256(text) AS
       b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM k WHERE rank <= 4),
       kept AS (SELECT * FROM b WHERE NOT reranked OR (best >= 0.08 AND score >= greatest(0.05, best * 0.15)))"""
 
+_ASKED = """a0 AS (SELECT item_id AS query_id, CASE WHEN item_id % 11 = 0 THEN ' ' ELSE text END AS question, ['src' || item_id % 20, 'src' || (item_id + 1) % 20] AS kbs,
+        CASE WHEN item_id % 4 = 0 THEN list_transform(range(20), lambda i: 'src' || i) ELSE list_transform(range(10), lambda i: 'src' || i) END AS scope, item_id % 7 = 0 OR item_id % 13 = 0 AS ended FROM benchmark),
+      a AS (SELECT *, CASE WHEN ended THEN 401 WHEN trim(coalesce(question, '')) = '' THEN 400 WHEN NOT list_has_all(scope, kbs) THEN 403 ELSE 200 END AS status FROM a0)"""
+
 ORACLE_SQL = {
     "dense_topk": f"WITH {_V} SELECT query_id, doc_id, score, round((1 + score) / 2, 7) AS scaled, CAST(rank AS INTEGER) AS rank FROM d WHERE rank <= 4",
     "dense_ivf_recall": "SELECT count(*) FILTER (vec_id % 20 = 0) * least(4, count(*)) AS expected, true AS recall_ok, 0 AS wrong_scores FROM embeddings",
@@ -282,6 +313,15 @@ ORACLE_SQL = {
       x AS (SELECT b.*, query_id % 5 <> 0 AS reranked, list_distinct(regexp_extract_all(lower(i.text), '[\p{{L}}\p{{N}}]+')) AS a, regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+') AS t FROM b JOIN benchmark i ON i.item_id = query_id),
       s AS (SELECT query_id, doc_id, reranked, CASE WHEN reranked THEN round(len(list_intersect(a, t)) / len(a), 6) ELSE round(score, 6) END AS score FROM x)
       SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, reranked FROM s) WHERE rank <= 2""",
+    "open_refusals": f"WITH {_ASKED} SELECT query_id, status, CASE status WHEN 401 THEN 'key' WHEN 400 THEN 'question' ELSE array_to_string(list_filter(kbs, lambda k: NOT list_contains(scope, k)), ', ') END AS reason FROM a WHERE status <> 200",
+    "open_search": rf"""WITH {_HYBRID}, {_ASKED},
+      h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM f) WHERE place <= 20),
+      o AS (SELECT h.query_id, source, text, h.doc_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY h.query_id, source ORDER BY score DESC, h.doc_id) AS n2 FROM h JOIN documents d ON d.doc_id = h.doc_id JOIN a ON a.query_id = h.query_id AND status = 200 AND list_contains(kbs, source) WHERE source <> 'src3'),
+      u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, text ORDER BY score DESC, doc_id) AS m FROM o WHERE n2 <= 8) WHERE m = 1),
+      g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM u) WHERE place <= 8),
+      x AS (SELECT g.*, g.query_id % 5 <> 0 AS again, list_distinct(regexp_extract_all(lower(trim(i.text)), '[\p{{L}}\p{{N}}]+')) AS aw, regexp_extract_all(lower(g.text), '[\p{{L}}\p{{N}}]+') AS tw FROM g JOIN benchmark i ON i.item_id = g.query_id),
+      y AS (SELECT query_id, doc_id, again AS reranked, CASE WHEN again THEN round(len(list_intersect(aw, tw)) / len(aw), 6) ELSE round(score, 6) END AS score, CASE WHEN again THEN round(len(list_intersect(aw, tw)) / len(aw), 6) ELSE score END AS exact FROM x)
+      SELECT query_id, doc_id, score, rank, reranked FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, doc_id) AS INTEGER) AS rank FROM y) WHERE rank <= 4""",
     "corpus_failures": f"WITH {_BM25} SELECT DISTINCT query_id, source AS kb_id, 'src3 is out of order' AS error FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE source = 'src3'",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r",
     "rrf_fusion": f"""WITH {_BM25}, o AS (SELECT query_id, r.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, r.doc_id) AS rank FROM r JOIN documents d ON d.doc_id = r.doc_id),

@@ -144,6 +144,14 @@ def tasks_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.tasks_done(tasks, "kb").groupBy("mode", "status").agg(F.count("*").alias("n"))
 
 
+def tasks_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ingest tasks: files of every third one can't be read."""
+    orders = table(spark, sf_dir, "orders")
+    tasks = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done").alias("status"))
+    failures = orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("can't read "), F.col("o_orderpriority")).alias("message"))
+    return tables.tasks_failed(tasks, failures).groupBy("status", "message").agg(F.count("*").alias("n"))
+
+
 def acl_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as documents of a nation's knowledge base: odd ones restricted, every third granted."""
     docs = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("kb_id"), F.col("s_suppkey").alias("doc"))
@@ -203,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sessions_list, session_last_turns, session_next_seq, user_questions, badcases, feedback_overview, store_overview, user_query_list, user_questions_indexed, session_groups, session_export, users_rich, user_stats,
-        upsert_latest, upsert_orders, insert_or_ignore, cascade_delete, tasks_done, acl_visible, manifest_diff, manifest_counts, fingerprints, corpus_fingerprint,
+        upsert_latest, upsert_orders, insert_or_ignore, cascade_delete, tasks_done, tasks_failed, acl_visible, manifest_diff, manifest_counts, fingerprints, corpus_fingerprint,
         folder_stats, cache_stats, eval_trend, miss_count,
     )
 }
@@ -235,6 +243,7 @@ ORACLE_SQL = {
     "insert_or_ignore": "SELECT s_nationkey AS key FROM supplier UNION SELECT n_nationkey FROM nation",
     "cascade_delete": "SELECT 'customer' AS table_name, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
     "tasks_done": "SELECT mode, status, count(*) AS n FROM (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'edit' ELSE 'upload' END AS mode, CASE WHEN o_orderstatus <> 'P' THEN 'error' WHEN o_orderpriority = '1-URGENT' THEN 'pending' ELSE 'done' END AS status FROM orders) GROUP BY ALL",
+    "tasks_failed": "SELECT status, message, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus <> 'P' THEN 'done' WHEN o_orderkey % 3 = 0 THEN 'error' ELSE 'pending' END AS status, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 'can''t read ' || o_orderpriority END AS message FROM orders) GROUP BY ALL",
     "acl_visible": "SELECT s_nationkey AS kb_id, s_suppkey AS doc FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0",
     "manifest_diff": f"WITH {_DIFF} SELECT * FROM d",
     "manifest_counts": f"WITH {_DIFF} SELECT status, count(*) AS n FROM d GROUP BY status",
