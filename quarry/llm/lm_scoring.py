@@ -54,8 +54,8 @@ WORDS, PAIRS, TRIPLES = range(3)
 PIECE = 1_024
 
 ASKED = "bucket int, block int, n int, keys binary, counts binary"
-#: Block -1 has the sums of a bucket: tokens and different keys.
-ANSWERED = "block int, bucket int, n int, totals binary, tokens long, different long"
+ANSWERED = "block int, bucket int, n int, totals binary"
+SUMMED = "bucket int, tokens long, different long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -134,22 +134,33 @@ def _questions(buckets: int):
     return run
 
 
-def _answers(table: pa.Table) -> pa.Table:
-    """Totals of a bucket's keys for each block, in the block's order, and the sums of the whole bucket."""
-    rows = table.to_pylist()
-    bucket = rows[0]["bucket"]
+def _added_up(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(totals of a bucket's different keys, which of them each key of each row is)."""
     keys = [np.cumsum(unpacked(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows]
     counts = [unpacked(r["counts"], r["n"], np.uint32) for r in rows]
     known, slot = np.unique(np.concatenate(keys), return_inverse=True)
-    del keys
-    totals = np.bincount(slot, np.concatenate(counts), len(known)).astype(np.int64)
-    out, at = [(-1, bucket, 0, b"", int(totals.sum()), int((totals > 0).sum()))], 0
+    return np.bincount(slot, np.concatenate(counts), len(known)).astype(np.int64), slot
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """Totals of a bucket's keys for each block, in the block's order."""
+    rows = table.to_pylist()
+    totals, slot = _added_up(rows)
+    out, at = [], 0
     for r in rows:
-        out.append((r["block"], bucket, r["n"], packed(totals[slot[at : at + r["n"]]]), 0, 0))
+        out.append((r["block"], r["bucket"], r["n"], packed(totals[slot[at : at + r["n"]]])))
         at += r["n"]
     release_memory()
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "bucket", "n", "totals", "tokens", "different"])
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "bucket", "n", "totals"])
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """Tokens and different keys of a bucket."""
+    rows = table.to_pylist()
+    totals, _ = _added_up(rows)
+    release_memory()
+    return pa.table({"bucket": pa.array([rows[0]["bucket"]], pa.int32()), "tokens": [int(totals.sum())], "different": [int((totals > 0).sum())]})
 
 
 def _totals(kind: int, keys: np.ndarray, rows: list[dict]) -> np.ndarray:
@@ -274,9 +285,10 @@ def model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     blocks = max(partitions, -(-characters // BLOCK_CHARACTERS))
     dealt = rows.withColumn("train", ~F.col("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     questions = dealt.groupBy("block").applyInArrow(_questions(buckets), ASKED)
-    answers = questions.groupBy("bucket").applyInArrow(_answers, ANSWERED)
+    # both read one exchange: a bucket's answers, and one row of sums
+    answers, each = (questions.groupBy("bucket").applyInArrow(made, schema) for made, schema in ((_answers, ANSWERED), (_sums, SUMMED)))
     of_kind = lambda kind: F.coalesce(F.sum(F.when(F.col("bucket") % 3 == kind, F.col("different"))), F.lit(0)).alias(f"d{kind}")
-    words = F.coalesce(F.sum(F.when(F.col("bucket") % 3 == WORDS, F.col("tokens"))), F.lit(0)).alias("n_tokens")
-    sums = answers.filter("block = -1").agg(words, *[of_kind(k) for k in (WORDS, PAIRS, TRIPLES)])  # one row
-    told = answers.filter("block >= 0").select("block", "bucket", "n", "totals").crossJoin(F.broadcast(sums))
+    tokens = F.coalesce(F.sum(F.when(F.col("bucket") % 3 == WORDS, F.col("tokens"))), F.lit(0)).alias("n_tokens")
+    sums = each.agg(tokens, *[of_kind(k) for k in (WORDS, PAIRS, TRIPLES)])  # one row
+    told = answers.crossJoin(F.broadcast(sums))
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores, SCORED)
