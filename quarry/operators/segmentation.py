@@ -13,9 +13,12 @@ Runs are counted first and each different one is read once, weighted by its coun
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ MIN_COUNT, MIN_INFORMATION, MIN_ENTROPY = 5, 2.0, 0.8
 #: Words of a lexicon, the most frequent ones; it goes to every task.
 LEXICON_WORDS = 200_000
 DIGITS = 4
+#: Runs whose strings a task adds up together; texts that are cut together; runs whose words a worker remembers.
+RUNS_AT_ONCE, TEXTS_AT_ONCE, REMEMBERED = 300_000, 500, 500_000
 
 
 def run_counts(texts: DataFrame, runs: str = HAN, text: str = "text") -> DataFrame:
@@ -34,29 +39,68 @@ def run_counts(texts: DataFrame, runs: str = HAN, text: str = "text") -> DataFra
     return texts.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(runs), F.lit(0))).alias("run")).filter("run <> ''").groupBy("run").agg(F.count("*").alias("n"))
 
 
-def _grams(counted: DataFrame) -> DataFrame:
-    """(gram, size, left, right, n): strings of up to LONGEST characters with the characters around them."""
-    chars = counted.select("n", F.regexp_extract_all("run", F.lit("(?s)."), F.lit(0)).alias("c")).filter("size(c) > 0")
-    out = None
+def _packed_grams(runs: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of `_grams` for some runs: strings are numbers in the base of the alphabet, added up before they are spelt."""
+    sizes = pc.utf8_length(runs).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    text = "".join(f"^{run}$" for run in runs.to_pylist())
+    points, chars = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
+    if len(points) ** (LONGEST + 1) >= 2**63:  # a single run has fewer characters, so that halves end
+        half = len(runs) // 2
+        if not half:
+            raise ValueError("a run with more different characters than can be packed")
+        yield from _packed_grams(runs.slice(0, half), n[:half])
+        yield from _packed_grams(runs.slice(half), n[half:])
+        return
+    letters, chars = np.array([chr(p) for p in points], object), chars.astype(np.int64)
+    weight, ends = np.repeat(n, sizes), np.repeat(np.cumsum(sizes), sizes)
+    starts = np.cumsum(sizes) - sizes
+    first = np.zeros(len(chars), bool)
+    first[starts] = True
+    place = np.arange(len(chars))
     for size in range(1, LONGEST + 1):
-        rows = chars.filter(F.size("c") >= size).select("n", "c", F.explode(F.sequence(F.lit(0), F.size("c") - size)).alias("i"))
-        gram = F.concat(*[F.get("c", F.col("i") + k) for k in range(size)])
-        rows = rows.select(gram.alias("gram"), F.lit(size).alias("size"), F.coalesce(F.get("c", F.col("i") - 1), F.lit("^")).alias("left"), F.coalesce(F.get("c", F.col("i") + size), F.lit("$")).alias("right"), "n")
-        out = rows if out is None else out.union(rows)
-    return out.groupBy("gram", "size", "left", "right").agg(F.sum("n").alias("n"))
+        for side in ("left", "right"):
+            # a gram with the character before it starts anywhere but ends before the closing mark; one with that after it doesn't start with the opening mark
+            at = np.flatnonzero(place + size + 1 < ends) if side == "left" else np.flatnonzero((place + size + 1 <= ends) & ~first)
+            code = np.zeros(len(at), np.int64)
+            for k in range(size + 1):
+                code = code * len(points) + chars[at + k]
+            codes, own = np.unique(code, return_inverse=True)
+            total = np.zeros(len(codes), np.int64)
+            np.add.at(total, own, weight[at])
+            spelt = [letters[codes // len(points) ** (size - k) % len(points)] for k in range(size + 1)]
+            gram = sum(spelt[2:], spelt[1]) if side == "left" else sum(spelt[1:-1], spelt[0])
+            yield pa.record_batch({"gram": pa.array(gram, pa.string()), "size": pa.array(np.full(len(codes), size, np.int32)), "side": pa.array([side] * len(codes), pa.string()), "next": pa.array(spelt[0] if side == "left" else spelt[-1], pa.string()), "n": pa.array(total)})
+
+
+def _grams(counted: DataFrame) -> DataFrame:
+    """(gram, size, side, next, n): strings of up to LONGEST characters with the character on either side of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= RUNS_AT_ONCE:
+                whole, held, rows = pa.Table.from_batches(held).combine_chunks(), [], 0
+                yield from _packed_grams(whole.column("run").combine_chunks(), whole.column("n").to_numpy())
+        if rows:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            yield from _packed_grams(whole.column("run").combine_chunks(), whole.column("n").to_numpy())
+
+    rows = counted.filter("run <> ''").select("run", "n").mapInArrow(run, "gram string, size int, side string, next string, n long")
+    return rows.groupBy("gram", "size", "side", "next").agg(F.sum("n").alias("n"))
 
 
 def _entropy(grams: DataFrame, side: str) -> DataFrame:
     """(gram, side): the entropy of the characters on one side, in nats."""
-    each = grams.groupBy("gram", side).agg(F.sum("n").alias("n"))
-    return each.groupBy("gram").agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(side))
+    return grams.filter(F.col("side") == side).groupBy("gram").agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(side))
 
 
 def gram_statistics(counted: DataFrame) -> DataFrame:
     """(gram, size, n, information, left, right) of runs (run, n): counts of all strings of up to LONGEST characters and,
     for those of two or more that occur MIN_COUNT times, the least information of a cut and both entropies."""
     grams = checkpointed(_grams(counted))
-    counts = checkpointed(grams.groupBy("gram", "size").agg(F.sum("n").alias("n")))
+    counts = checkpointed(grams.filter("side = 'left'").groupBy("gram", "size").agg(F.sum("n").alias("n")))
     total = counts.filter("size = 1").agg(F.sum("n")).first()[0] or 0
     often = counts.filter(f"size > 1 and n >= {MIN_COUNT}")
     cuts = often.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
@@ -109,20 +153,32 @@ def learnt(texts: DataFrame, runs: str = HAN, text: str = "text") -> Lexicon:
 def segmenter(lexicon: Lexicon, runs: str = HAN, others: str = r"[\p{L}\p{N}&&[^\p{IsHan}]]+") -> Callable[[Column], Column]:
     """A function from a text column to its words: runs cut by the lexicon, and `others` as they are, all lower-cased."""
 
-    @F.pandas_udf("array<string>")
-    def cut(parts: pd.Series, is_run: pd.Series) -> pd.Series:
-        memory: dict[str, list[str]] = {}  # of one batch
-        return pd.Series([[word for part, run in zip(own, flags) for word in (_known(memory, lexicon, part) if run else [part])] for own, flags in zip(parts, is_run)])
+    memory: dict[str, list[str]] = {}  # of one worker, once this function has been sent there
+
+    def pieces(part: str) -> list[str]:
+        if part not in memory:
+            if len(memory) >= REMEMBERED:
+                memory.clear()
+            memory[part] = lexicon.cut(part) if regex.fullmatch(f"(?:{runs})", part) else [part]
+        return memory[part]
+
+    def of_slice(parts: pa.ListArray) -> pa.ListArray:
+        coded = parts.flatten().dictionary_encode()
+        known = [pieces(part) for part in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, known), np.int64, len(known))
+        codes = coded.indices.to_numpy()
+        size = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], size) + np.arange(ends[-1])
+        offsets = parts.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]], pa.int32()), pa.array([w for own in known for w in own], pa.string()).take(pa.array(at)))
+
+    @F.arrow_udf("array<string>")
+    def cut(parts: pa.Array) -> pa.Array:
+        slices = [of_slice(parts.slice(at, TEXTS_AT_ONCE)) for at in range(0, len(parts), TEXTS_AT_ONCE)]
+        return pa.concat_arrays(slices) if slices else pa.array([], pa.list_(pa.string()))
 
     def words(text: Column) -> Column:
-        parts = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{runs}|{others}"), F.lit(0))
-        flags = F.transform(parts, lambda p: p.rlike(f"^(?:{runs})$"))
-        return F.when(F.exists(flags, lambda x: x), cut(parts, flags)).otherwise(parts)
+        return cut(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{runs}|{others}"), F.lit(0)))
 
     return words
-
-
-def _known(memory: dict[str, list[str]], lexicon: Lexicon, run: str) -> list[str]:
-    if run not in memory:
-        memory[run] = lexicon.cut(run)
-    return memory[run]
