@@ -211,3 +211,14 @@ def test_stages_are_counted_in_one_run(spark):
     rows, counts = retrieval.watched_counts(lambda watch: retrieval.hybrid_search(ranked, other, allowed, relevance, k=3, candidates=8, watch=watch))
     assert counts == {"dense": 6, "sparse": 6, "fused": 8, "permitted": 5, "reranked": 3, "kept": 1}
     assert [r["doc_id"] for r in rows.collect()] == [3]
+
+
+def test_sparse_search_reads_few_texts_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "TEXT_ROOM", 100)
+    batch = pa.record_batch({"id": pa.array(range(40)), "text": pa.array([None if i % 9 == 0 else "x" * (i * 7 % 60) for i in range(39)] + ["y" * 500])})
+    parts = list(retrieval._parts([batch], 10))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(sum(len(t or "") for t in p.column("text").to_pylist()) <= 100 or p.num_rows == 1 for p in parts)
+    assert all(p.num_rows <= 4 for p in retrieval._parts([batch.select(["id"])], retrieval.MATRIX_ROOM // 4))
