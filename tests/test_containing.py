@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quarry.operators import containing as c
@@ -62,3 +63,9 @@ def test_holders_and_notes(spark):
     glossary = spark.createDataFrame([("票房", "卖出", 2), ("销量", "卖出", 1), ("票", "一张", 0)], "alias string, definition string, pos int")
     questions = spark.createDataFrame([(1, "票房和销量"), (2, "没有"), (3, None)], "query_id long, question string")
     assert {r["query_id"]: r["note"] for r in glossary_notes(questions, glossary).collect()} == {1: "票＝一张；销量＝卖出；票房＝卖出", 2: "", 3: ""}
+
+
+def test_only_wanted_grams_leave_a_task(spark):
+    texts = spark.createDataFrame([(1, 10, "0123456789abcdef" * 500), (2, 20, "x" * 15), (3, 30, "0123456789abcde"), (4, 40, "f0123456789abcdef")], "id long, t long, text string")
+    wanted = c._hashes(np.frombuffer(b"0123456789abcdef", np.uint8), 16)
+    assert sorted((r["id"], r["t"]) for r in c._text_grams(texts, [16], wanted).collect()) == [(1, 10), (4, 40)]
