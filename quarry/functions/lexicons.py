@@ -16,6 +16,13 @@ INJECTIONS = [
     ("套取提示词", "mid", r"(?iuU)(system\s*prompt|系统提示词|内部指令|你的设定)"),
     ("角色劫持", "mid", r"(?iuU)你现在(不再是|是)|从现在起你是|请扮演|角色扮演为|进入.{0,6}模式"),
 ]
+#: Patterns whose every match has one of some words without upper or lower case, so that texts without them needn't be searched.
+INJECTION_PARTS = {
+    INJECTIONS[0][2]: ["忽略"],
+    INJECTIONS[2][2]: ["不要"],
+    INJECTIONS[4][2]: ["提示词"],
+    INJECTIONS[7][2]: ["你现在", "从现在起你是", "请扮演", "角色扮演为", "进入"],
+}
 FILTERED_SENTENCE = "【⚠️ 检测到疑似注入指令，该句已过滤】"
 
 #: Document types by keyword, in order of priority; without one a document is knowledge.
