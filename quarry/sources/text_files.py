@@ -7,33 +7,67 @@ a keyword of fewer than three characters reads all files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZE = 3
 #: Rows of a file, about.
 FILE_ROWS = 20_000
+#: Texts whose trigrams are taken together.
+TEXTS_AT_ONCE = 500
+
+
+def _trigrams(texts: list[str]) -> np.ndarray:
+    """The different trigrams of texts, as numbers of three code points of 21 bits."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    if len(points) < SIZE:
+        return np.zeros(0, np.int64)
+    ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    grams = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+    return pc.unique(pa.array(grams[np.arange(len(grams)) + SIZE <= ends[: len(grams)]])).to_numpy()
+
+
+def _file_trigrams(rows: DataFrame) -> DataFrame:
+    """(file, gram) of rows (file, text) in lower case; a pair stands there once for each part of a file that a task reads."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = None, np.zeros(0, np.int64)
+        pair = lambda: pa.record_batch({"file": pa.array([own] * len(seen), pa.string()), "gram": pa.array(seen)})
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                names = part.column("file").to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if names[a] != own:
+                        if own is not None:
+                            yield pair()
+                        own, seen = names[a], np.zeros(0, np.int64)
+                    seen = pc.unique(pa.array(np.concatenate([seen, _trigrams(part.column("text").slice(a, b - a).to_pylist())]))).to_numpy()
+        if own is not None:
+            yield pair()
 
-def _trigrams(text: Column) -> Column:
-    """The different trigrams of a text in lower case, as hashes."""
-    chars = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?s)."), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(0), F.size(chars) - SIZE), lambda i: F.xxhash64(*[F.get(chars, i + k) for k in range(SIZE)]))
-    return F.when(F.size(chars) >= SIZE, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    return rows.mapInArrow(run, "file string, gram long")
 
 
 def written(rows: DataFrame, text: str, folder: str, order: list[str], file_rows: int = FILE_ROWS) -> None:
     """Puts rows into files of neighbours in `order`, and the trigrams of each file beside them."""
     files = max(1, -(-rows.count() // file_rows))
     rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/rows")
-    held = rows.sparkSession.read.parquet(f"{folder}/rows").select(F.input_file_name().alias("file"), F.explode(_trigrams(F.col(text))).alias("gram"))
+    held = _file_trigrams(rows.sparkSession.read.parquet(f"{folder}/rows").select(F.input_file_name().alias("file"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text")))
     # sorted by trigram, so that a search reads the row groups of a keyword's trigrams alone
     held.distinct().repartitionByRange(max(1, files // 16), "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{folder}/trigrams")
 
 
 def candidate_files(spark: SparkSession, folder: str, keyword: str) -> list[str] | None:
     """The files that have all trigrams of the keyword; None where it is too short to tell."""
-    grams = spark.range(1).select(_trigrams(F.lit(keyword)).alias("g")).first()["g"]
+    lowered = spark.range(1).select(F.lower(F.lit(keyword)).alias("k")).first()["k"]
+    grams = _trigrams([lowered]).tolist()
     if not grams:
         return None
     held = spark.read.parquet(f"{folder}/trigrams").filter(F.col("gram").isin(grams))

@@ -19,3 +19,12 @@ def test_rows_and_files_of_a_keyword(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     text_files.written(spark.createDataFrame([], "id long, content string"), "content", str(tmp_path), ["id"])
     assert text_files.containing(spark, str(tmp_path), "content", "word")[0].collect() == []
+
+
+def test_trigrams_are_added_up_in_tasks(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["abcabc", "ABC", "天地人天地人", "ab", "", None, "\U0001f600\U0001f600\U0001f600"])]
+    text_files.written(spark.createDataFrame(rows, "id long, content string"), "content", str(tmp_path), ["id"], 100)
+    found = spark.read.parquet(f"{tmp_path}/trigrams")
+    plain = {tuple(t.lower()[i : i + 3]) for _, t in rows if t for i in range(len(t) - 2)}
+    spelt = {tuple(chr(r["gram"] >> s & (1 << 21) - 1) for s in (42, 21, 0)) for r in found.collect()}
+    assert spelt == plain and found.count() == len(plain)
