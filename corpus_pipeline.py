@@ -6,6 +6,8 @@ and read again as the next stage's docs. All but the last return the columns of
 
 Rows with nulls, empty and very long texts, repeated rows and empty tables pass each
 stage with the result that its docstring states; ties go the same way in each run.
+A stage whose work runs in Python sends the package to the executors first, so that a
+stage can be run alone, on executors whose path doesn't have it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, mixing, ngram_join, quality_classifier, quality_rules
-from quarry.session import dropped, shared_folder, table
+from quarry.session import dropped, shared_folder, shipped, table
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +32,7 @@ def keep_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null texts score as empty ones. Without labels all documents score alike and stay.
     """
+    shipped(spark)
     model = quality_classifier.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     kept = quality_classifier.scored(docs, model, "_quality").filter(F.col("_quality") >= quality_classifier.THRESHOLD)
     return kept.select([F.col(f"`{c}`") for c in docs.columns])
@@ -39,6 +42,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """One document of each group that n-gram Jaccard links tie together: that of the smallest doc_id, then of the smallest
     hash of its text. Of repeated rows one stays; rows without a doc_id stay only where no other is linked with them;
     wordless texts are linked with nothing."""
+    shipped(spark)
     return ngram_join.one_of_each_component(docs)
 
 

@@ -1,4 +1,7 @@
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -32,3 +35,24 @@ def test_stages_keep_columns_and_empty_tables(spark):
         assert out.count() == 0
         if name != "mixing":
             assert out.columns == docs.columns
+
+
+APART = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+conf = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": "file://" + sys.argv[2], "spark.driver.host": "127.0.0.1"}
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config(map=conf).getOrCreate()
+import corpus_pipeline
+name, stage = corpus_pipeline.STAGES[int(sys.argv[4])]
+print(name, stage(spark, spark.read.parquet(sys.argv[3] + "/documents.parquet"), sys.argv[3]).count())
+spark.stop()
+"""
+
+
+@pytest.mark.parametrize("number", [1, 2])
+def test_stages_run_on_executors_without_the_package(tmp_path, number):
+    """Modules on the driver's sys.path alone, found by no path of the executors."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", APART, str(Path(corpus_pipeline.__file__).parent), str(tmp_path), SF, str(number)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and done.stdout.startswith(corpus_pipeline.STAGES[number][0]), done.stderr[-2000:]
