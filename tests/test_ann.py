@@ -60,6 +60,33 @@ def test_hot_cell_and_many_queries_are_dealt_out(index, monkeypatch):
     assert pairs(ann.search(queries, folder)) == before
 
 
+def test_rows_leave_tasks_once_for_a_query(index):
+    """The best of all cells are ranked where they are compared; they aren't shuffled for each cell that a query looks into."""
+    vectors, folder, model = index
+    plan = ann._candidates(ann._filled(vectors.filter("id % 20 = 0")), folder, model)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan
+
+
+def test_groups_of_codes_and_of_vectors(index, monkeypatch):
+    vectors, folder, model = index
+    queries = vectors.filter("id % 20 = 0")
+    best = lambda: sorted((r["query_id"], r["rank"], r["doc_id"]) for r in ann._candidates(ann._filled(queries), folder, model).collect())
+    near, before = best(), pairs(ann.search(queries, folder))
+    for name, value in (("GROUP_CODES", 700), ("GROUP_VECTORS", 500), ("CANDIDATE_ROOM", 100), ("ROOM", 300)):
+        monkeypatch.setattr(ann, name, value)
+    assert best() == near and pairs(ann.search(queries, folder)) == before
+
+
+def test_repeated_rows(spark, tmp_path):
+    """A row that is there twice is found once, and one id with two vectors by both."""
+    rows = clustered(300)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + [(7, rows[7].tolist()), (8, rows[9].tolist())], SCHEMA)
+    model = ann.trained(vectors, cells=3)
+    ann.written(vectors, model, str(tmp_path))
+    found = sorted((r["doc_id"], r["score"]) for r in ann.search(vectors.filter("id in (7, 9)"), str(tmp_path), k=2).filter("score = 1").collect())
+    assert found == [(7, 1.0), (8, 1.0), (9, 1.0)]
+
+
 def test_parts_of_a_cell(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ann, "CELL_BLOCK", 100)
     rows = clustered(600, clusters=1)
