@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.vectors import as_matrix, as_unit
 from quarry.operators.retrieval import TOP_K, dense_top, top
 from quarry.session import checkpointed
 
@@ -63,11 +64,6 @@ def _filled(rows: DataFrame) -> DataFrame:
     return rows.filter("id is not null and vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(rows, axis=-1, keepdims=True)
-    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
-
-
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The number of the centre at the least distance from each row; of equal ones the first."""
     return np.argmin((centres**2).sum(1)[None] - 2 * rows @ centres.T, axis=1)
@@ -89,7 +85,7 @@ def _centres(rows: np.ndarray, n: int, unit: bool, seed: int) -> np.ndarray:
         if len(lost):
             far = np.argsort(-((rows - centres[own]) ** 2).sum(1), kind="stable")[: len(lost)]
             moved[lost] = rows[far]
-        centres = _unit(moved) if unit else moved
+        centres = as_unit(moved) if unit else moved
     return centres
 
 
@@ -101,7 +97,7 @@ def trained(vectors: DataFrame, cells: int | None = None, seed: int = 7) -> Mode
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(TRAINED).select("vector").collect()
     if not sample:
         return Model(np.zeros((1, 1)), np.zeros((1, WORDS, 1)), 1, TOP_K)
-    matrix = _unit(np.array([r["vector"] for r in sample], np.float64))
+    matrix = as_unit(np.array([r["vector"] for r in sample], np.float64))
     cells = cells or min(MAX_CELLS, max(1, round(n**0.5 / 2)))
     centres = _centres(matrix, cells, True, seed)
     left = matrix - centres[_nearest(matrix, centres)]
@@ -110,17 +106,12 @@ def trained(vectors: DataFrame, cells: int | None = None, seed: int = 7) -> Mode
     return Model(centres, words, cells, max(TOP_K, len(sample)))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-
-
 def _coded(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _unit(_matrix(batch.column("vector")))
+            rows = as_unit(as_matrix(batch.column("vector")))
             cell = _nearest(rows, model.centres)
             left = np.split(rows - model.centres[cell], len(model.words), axis=1)
             codes = np.stack([_nearest(part, words) for part, words in zip(left, model.words)], axis=1).astype(np.uint8)
@@ -163,7 +154,7 @@ def _probed(model: Model):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _unit(_matrix(batch.column("vector")))
+            rows = as_unit(as_matrix(batch.column("vector")))
             order = np.argsort(-(rows @ model.centres.T), axis=1, kind="stable")[:, : model.probes]
             at = np.repeat(np.arange(len(rows)), order.shape[1])
             ids = batch.column("id")
@@ -178,7 +169,7 @@ def _cells(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.record_batch([pa.array(np.flatnonzero(_looks_into(_unit(_matrix(batch.column("vector"))), model).any(axis=0)).astype(np.int32))], names=["cell"])
+                yield pa.record_batch([pa.array(np.flatnonzero(_looks_into(as_unit(as_matrix(batch.column("vector"))), model).any(axis=0)).astype(np.int32))], names=["cell"])
 
     return run
 
@@ -247,7 +238,7 @@ def _compared(model: Model):
         best = _Best(queries.num_rows, model.depth)
         best.add(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, np.zeros(0))
         if queries.num_rows and codes.num_rows:
-            asked = _unit(_matrix(queries.column("asked").combine_chunks()))
+            asked = as_unit(as_matrix(queries.column("asked").combine_chunks()))
             looks = _looks_into(asked, model)
             for row in codes.select(["cell", "ids", "codes"]).sort_by([("cell", "ascending"), ("ids", "ascending")]).to_batches(max_chunksize=1):
                 cell, ids = row.column("cell")[0].as_py(), np.frombuffer(row.column("ids")[0].as_buffer(), "<i8")
@@ -308,7 +299,7 @@ def _exact(k: int, digits: int):
         if not pairs.num_rows or not vectors.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         asked = vectors.column("asked").to_numpy()
-        ids, matrix = vectors.column("id").to_numpy(), _unit(_matrix(vectors.column("vector").combine_chunks()))
+        ids, matrix = vectors.column("id").to_numpy(), as_unit(as_matrix(vectors.column("vector").combine_chunks()))
         query_id, doc_id = pairs.column("query_id").to_numpy(), pairs.column("doc_id").to_numpy()
         place, q = _matched(query_id, ids[asked])
         more, d = _matched(doc_id[place], ids[~asked])

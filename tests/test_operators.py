@@ -1,5 +1,7 @@
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.operators import access, alerts, cache, evaluation, manifest, retrieval, sessions, stats, tables, traces
@@ -42,6 +44,46 @@ def test_dense_search_over_many_blocks(spark, monkeypatch):
     assert rows(found.select("query_id", "rank", "doc_id")) == [(1, 1, 1), (1, 2, 5), (2, 1, 2), (2, 2, 6)]
 
 
+def test_dense_search_deals_rows_in_proportion(spark):
+    vectors = lambda n: spark.range(n).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    dealt = lambda n: sum(t.count() for t in retrieval._dealt(vectors(n).filter("id % 20 = 0"), vectors(n)))
+    assert dealt(600_000) <= 6 * dealt(100_000)
+
+
+def test_dense_search_ranks_by_rounded_scores(spark, monkeypatch):
+    """Scores that differ after the sixth digit tie, and go to the smaller id, in whichever block and place they are."""
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), *((i, [1.0, 0.0004 - i * 1e-6]) for i in range(1, 40))], "id long, vector array<double>")
+    found = lambda: rows(retrieval.dense_top(vectors.filter("id = 0"), vectors, 5).select("query_id", "rank", "doc_id", "score"))
+    expected = [(0, i + 1, i, 1.0) for i in range(5)]
+    assert found() == expected
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCKS", 1)
+    for n in (3, 7):
+        monkeypatch.setattr(retrieval, "VECTORS_AT_ONCE", n)
+        assert found() == expected
+
+
+def test_dense_search_keeps_k_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTORS_AT_ONCE", 100)
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 7)
+    vectors = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [-2.0, float(i)]) for i in range(1_000)], "id long, vector array<double>")
+    found = retrieval.dense_top(vectors.filter("id % 20 = 0"), vectors, 3)
+    by_query = {}
+    for r in found.collect():
+        by_query.setdefault(r["query_id"], {})[r["rank"]] = r["doc_id"]
+    assert all(by_query[i] == {1: 1, 2: 2, 3: 4} for i in range(0, 1_000, 20) if i % 3)
+    ids, rest = np.arange(1_000), [[1.0, 2.0]] * 1_000
+    out = retrieval._block_top(3, 6)(pa.table({"query_id": ids, "asked": rest}), pa.table({"id": ids, "vector": rest}))
+    assert out.num_rows == 3_000 and set(out.column("doc_id").to_pylist()) == {0, 1, 2}
+
+
+def test_dense_search_with_endless_numbers(spark):
+    """A vector without a direction is never found, and hides no other."""
+    inf = float("inf")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [inf, 1.0]), (3, [inf, 1.0]), (4, [0.0, 1.0]), (5, None), (None, [1.0, 0.0])], "id long, vector array<double>")
+    found = retrieval.dense_top(vectors.filter("id = 1"), vectors, 4)
+    assert rows(found.select("query_id", "rank", "doc_id", "score")) == [(1, 1, 1, 1.0), (1, 2, 4, 0.0)]
+
+
 def test_sparse_search_by_matrix_and_by_join(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 9 + 1))) for i in range(60)] + [(70, None), (None, "w1")], "id long, text string")
     queries = spark.createDataFrame([(1, "w3 W3, w5!"), (2, "w0 nothing"), (3, ""), (4, None)], "id long, text string")
