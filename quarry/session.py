@@ -62,13 +62,16 @@ _shipped: set[str] = set()
 
 
 def shipped(spark: SparkSession) -> None:
-    """Sends this package to the session's executors, once; their Python workers may not find it on a path of their own."""
+    """Sends this package to the session's executors, once; their Python workers may not find it on a path of their own.
+
+    Files may bear any date; the archive's path names no folder of this process alone.
+    """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="quarry-"), "quarry.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quarry-")), "quarry.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED, strict_timestamps=False) as out:
         for path in sorted(package.rglob("*.py")):
             out.write(path, path.relative_to(package.parent))
     context.addPyFile(archive)

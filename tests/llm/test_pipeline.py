@@ -1,8 +1,10 @@
 import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pyspark
 import pytest
 
 import corpus_pipeline
@@ -13,6 +15,16 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
+@pytest.fixture(autouse=True)
+def spark_home(tmp_path_factory, monkeypatch):
+    """A home of links to Spark's, in which the workers of a local cluster can make their folder `work`."""
+    home = tmp_path_factory.mktemp("home")
+    for path in Path(os.environ.get("SPARK_HOME") or Path(pyspark.__file__).parent).iterdir():
+        if path.name != "work":
+            (home / path.name).symlink_to(path)
+    monkeypatch.setenv("SPARK_HOME", str(home))
+
+
 def test_stages_compose_the_operators(spark):
     docs = table(spark, SF, "documents")
     kept = {r["doc_id"] for r in quality_rules.verdicts(quality_rules.ledger(docs)).filter("kept").collect()}
@@ -56,3 +68,25 @@ def test_stages_run_on_executors_without_the_package(tmp_path, number):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", APART, str(Path(corpus_pipeline.__file__).parent), str(tmp_path), SF, str(number)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0 and done.stdout.startswith(corpus_pipeline.STAGES[number][0]), done.stderr[-2000:]
+
+
+def test_stages_run_from_files_dated_before_1980(tmp_path):
+    """As they are unpacked from archives without dates; zip files can't state such a date."""
+    top, copy = Path(corpus_pipeline.__file__).parent, tmp_path / "copy"
+    shutil.copytree(top / "quarry", copy / "quarry", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(top / "corpus_pipeline.py", copy)
+    for path in copy.rglob("*.py"):
+        os.utime(path, (0, 0))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", APART, str(copy), str(tmp_path), SF, "1"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and done.stdout.startswith(corpus_pipeline.STAGES[1][0]), done.stderr[-2000:]
+
+
+def test_package_is_sent_from_a_folder_named_by_process(tmp_path):
+    """A temporary folder below /proc/self/cwd is another one to the JVM once Python has changed its folder."""
+    for folder in (tmp_path, tmp_path / "own"):
+        (folder / ".tmp").mkdir(parents=True)
+    moved = APART.replace("import corpus_pipeline", "import os; os.chdir('own')\nimport corpus_pipeline")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"TMPDIR": "/proc/self/cwd/.tmp"}
+    done = subprocess.run([sys.executable, "-c", moved, str(Path(corpus_pipeline.__file__).parent), str(tmp_path), SF, "1"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and done.stdout.startswith(corpus_pipeline.STAGES[1][0]), done.stderr[-2000:]
